@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from residua.llm import chat, mixing, sharding, urlfilter
+from residua.llm import chat, forest, mixing, sharding, substring, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,14 +110,62 @@ FROM drawn d JOIN best b ON d.source IS NOT DISTINCT FROM b.source AND d.seed =
 """
 
 
+def op8_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return forest.near_duplicates(docs, "doc_id", "text")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) > 1 THEN ws[i] || ' ' || ws[i + 1] ELSE ws[1] END AS s
+  FROM w, unnest(range(1, greatest(len(ws), 2))) AS t(i) WHERE len(ws) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+classes AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sig) AS rep FROM (SELECT doc_id, md5(string_agg(s, chr(1) ORDER BY s)) AS sig FROM sh GROUP BY doc_id)),
+reps AS (SELECT s.doc_id, s.s FROM sh s JOIN classes c ON s.doc_id = c.doc_id AND c.rep = c.doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM reps a JOIN reps b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs p JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)
+  UNION SELECT rep, doc_id FROM classes WHERE rep <> doc_id),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id,
+  d.doc_id = least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS kept
+FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id
+"""
+
+
+def op10_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substring.drop_repeats(docs, "doc_id", "text")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+wins AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM w, unnest(range(1, len(ws) - 48)) AS t(i)),
+late AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS m FROM wins) WHERE m < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM late, unnest(range(50)) AS t(k)),
+kept AS (
+  SELECT w.doc_id, i, ws[i] AS x FROM w, unnest(range(1, len(ws) + 1)) AS t(i)
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = w.doc_id AND g.i = t.i)),
+joined AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS x FROM kept GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(x, '')) AS kept_sha256
+FROM w LEFT JOIN joined j ON w.doc_id = j.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat_formatting": op2_chat_formatting,
         "op3_consistent_hash_sharding": op3_consistent_hash_sharding,
         "op7_url_filters": op7_url_filters,
+        "op8_minhash_lsh_forest": op8_minhash_lsh_forest,
         "op9_source_mixing": op9_source_mixing,
+        "op10_relative_lz_dedup": op10_relative_lz_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op7_url_filters": OP7_SQL, "op9_source_mixing": OP9_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op7_url_filters": OP7_SQL, "op8_minhash_lsh_forest": OP8_SQL, "op9_source_mixing": OP9_SQL, "op10_relative_lz_dedup": OP10_SQL}
