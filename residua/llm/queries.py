@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from residua.llm import chat, forest, mixing, sharding, substring, urlfilter
+from residua.llm import chat, decontaminate, forest, langid, mixing, sharding, sketch, substring, tokencount, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -156,10 +156,55 @@ FROM w LEFT JOIN joined j ON w.doc_id = j.doc_id
 """
 
 
+def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest overlap of each document with each benchmark item that it contains."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.overlaps(docs, "doc_id", "text", table(spark, sf_dir, "benchmark"))
+
+
+def learned_language(docs: DataFrame) -> langid.Model | None:
+    """A model from the documents whose id's CRC-32 leaves a remainder modulo 5."""
+    return langid.fit(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0), "doc_id", "text", "lang")
+
+
+def op4_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learned_language(docs.select("doc_id", "text", "lang"))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return langid.predict(docs.select("doc_id", "text"), "text", model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op5_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sketch.edited_fingerprints(docs, "doc_id", "text")
+
+
+def op6_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after three edits: a deletion, an insertion and a new ending."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = tokencount.build_trees(docs, "doc_id", "text")
+    n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    edit = lambda a, b, x: F.struct(a.cast("long").alias("start"), b.cast("long").alias("stop"), F.lit(x).alias("replacement"))
+    edits = F.array(edit(F.floor(n / 5), F.floor(n / 5) + 7, ""), edit(F.floor(n / 2), F.floor(n / 2), " edited text 42"), edit(n, n + 8, "\nThe end."))
+    after = tokencount.apply_edits(trees.withColumn("edits", edits), "doc_id")
+    return after.select(
+        "doc_id",
+        "tokens_before",
+        F.col("char_tree")[1].cast("long").alias("n_chars"),
+        F.col("token_tree")[1].cast("long").alias("n_tokens"),
+        "chars_encoded",
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_spaced_seed_decontamination": op1_spaced_seed_decontamination,
         "op2_chat_formatting": op2_chat_formatting,
         "op3_consistent_hash_sharding": op3_consistent_hash_sharding,
+        "op4_hierarchical_language_id": op4_hierarchical_language_id,
+        "op5_scaled_fingerprints": op5_scaled_fingerprints,
+        "op6_edit_aware_token_counts": op6_edit_aware_token_counts,
         "op7_url_filters": op7_url_filters,
         "op8_minhash_lsh_forest": op8_minhash_lsh_forest,
         "op9_source_mixing": op9_source_mixing,
