@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from residua.scratch import written
 from residua.ship import map_arrow, shipped
 
 
@@ -150,13 +151,16 @@ def near_duplicates(df: DataFrame, key: str, text: Column, size: int = 3, thresh
     classes are joined by prefix filtering, rarest shingles first, and confirmed on the full sets. Rows with fewer
     tokens than a shingle have one shingle of what there is; rows without tokens have none and match nothing.
     """
-    grams = F.when(F.size(text) >= size, F.transform(F.sequence(F.lit(1), F.size(text) - size + 1), lambda i: F.array_join(F.slice(text, i, size), " "))).when(F.size(text) > 0, F.array(F.array_join(text, " ")))
-    sets = df.select(F.col(key).alias("id"), F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))).alias("s")).where("size(s) > 0")
-    sets = sets.withColumn("s", F.array_sort("s"))
-    classes = sets.groupBy("s").agg(F.min("id").alias("rep"), F.collect_list("id").alias("ids"))
+    hashed = df.select(F.col(key).alias("id"), F.transform(text, lambda w: F.xxhash64(w)).alias("h"))
+    gram = lambda i: F.xxhash64(*[F.col("h")[i + k] for k in range(size)])
+    grams = F.when(F.size("h") >= size, F.transform(F.sequence(F.lit(0), F.size("h") - size), gram)).when(F.size("h") > 0, F.array(F.xxhash64("h")))
+    # written once, before any filter: the sets are read by every step below, and a predicate on them that was pushed
+    # under the projection would compute the tokens anew for every shingle
+    sets = written(hashed.select("id", F.array_sort(F.array_distinct(grams)).alias("s")), "sets")
+    classes = written(sets.where("size(s) > 0").groupBy("s").agg(F.min("id").alias("rep"), F.collect_list("id").alias("ids")), "classes")
     same = classes.select("rep", F.size("s").alias("n"), F.explode("ids").alias("b")).where("b <> rep").select(F.col("rep").alias("a"), "b", F.col("n").alias("common"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
     reps = classes.select(F.col("rep").alias("id"), "s", F.size("s").alias("n"))
-    flat = reps.select("id", "n", F.explode("s").alias("g"))
+    flat = written(reps.select("id", "n", F.explode("s").alias("g")), "shingles")
     seen = flat.groupBy("g").agg(F.count("*").alias("f"))
     ranked = flat.join(seen.hint("merge"), "g").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("f", "g")))
     # of the smaller set, so many shingles are in common at least; one of its n - that + 1 rarest is then among them
