@@ -118,8 +118,10 @@ def repeated_windows(docs: DataFrame, key: str, text: str, window: int = 50, gra
     found = map_arrow(keyed, _block_rows(window, gram), rows)
     seen = found.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("span").alias("a"), F.max("span").alias("b"))
     shared = seen.where("least < most").select("anchor", "least", (F.col("a") != F.col("b")).alias("mixed"))
+    # written, so that the join's sides are plain shuffles and a passage that very many documents share can be split
+    shared = written(shared, "anchors")
     shared = written(found.join(shared.hint("merge"), "anchor"), "blocks")
-    whole = shared.where("mixed").groupBy("anchor", "span").agg(F.min("id").alias("least_same"))
+    whole = written(shared.where("mixed").groupBy("anchor", "span").agg(F.min("id").alias("least_same")), "spans")
     placed = shared.where("mixed").join(whole.hint("merge"), ["anchor", "span"])
     sure = shared.where("not mixed and id > least").select("id", "sig", "at")
     sure = sure.unionByName(placed.where("id > least_same").select("id", "sig", "at"))
