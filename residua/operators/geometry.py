@@ -81,7 +81,7 @@ def cloud_summary(residues: DataFrame, keys: list[str], anchor: str = "CA", excl
     are left out, and without other atoms only n = 0 is given. The spread is the population's."""
     a = F.filter("atoms", lambda z: z["atom"] == anchor)
     others = F.filter("atoms", lambda z: ~z["atom"].isin(list(exclude)))
-    df = residues.select(*keys, a[0].alias("a"), others.alias("o")).where("a is not null")
+    df = residues.select(*keys, F.get(a, F.lit(0)).alias("a"), others.alias("o")).where("a is not null")
     df = df.withColumn("ds", F.transform("o", lambda z: _pair_distance(z, F.col("a")))).withColumn("n", F.size("o"))
     add = lambda acc, x: acc + x
     n = F.when(F.col("n") > 0, F.col("n").cast("double"))

@@ -18,14 +18,14 @@ def duplicate_edges(t: Tables) -> DataFrame:
 
 
 PAIR_SQL = r"""w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-sh AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 3 THEN ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] ELSE array_to_string(ws, ' ') END AS s FROM w, unnest(range(1, greatest(len(ws) - 1, 2))) AS t(i) WHERE len(ws) > 0),
-sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1), sigs AS (SELECT doc_id, md5(string_agg(s, chr(1) ORDER BY s)) AS sig FROM sh GROUP BY 1),
-reps AS (SELECT min(doc_id) AS rep, sig FROM sigs GROUP BY sig),
-met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id WHERE a.doc_id IN (SELECT rep FROM reps) AND b.doc_id IN (SELECT rep FROM reps) GROUP BY 1, 2),
-edges AS (SELECT a, b, common, x.n AS n_a, y.n AS n_b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE common >= 0.9 * (x.n + y.n - common)
-  UNION ALL SELECT rep, doc_id, n, n, n FROM sigs JOIN reps USING (sig) JOIN sizes USING (doc_id) WHERE doc_id <> rep)"""
-COMP_SQL = f"""WITH RECURSIVE {PAIR_SQL}, sym AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach(id, b) AS (SELECT a, b FROM sym UNION SELECT r.id, s.b FROM reach r JOIN sym s ON r.b = s.a),
-comp AS (SELECT d.doc_id AS id, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component FROM documents d LEFT JOIN reach r ON r.id = d.doc_id GROUP BY 1)"""
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 3 THEN ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] ELSE array_to_string(ws, ' ') END AS s FROM w, unnest(range(1, greatest(len(ws) - 1, 2))) AS t(i) WHERE len(ws) > 0),
+sigs AS MATERIALIZED (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY sig) AS rep FROM (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(1) ORDER BY s)) AS sig FROM sh GROUP BY 1)),
+rsh AS MATERIALIZED (SELECT sh.doc_id, s, n FROM sh JOIN sigs ON sh.doc_id = sigs.doc_id AND sigs.rep = sigs.doc_id),
+edges AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) AS n_a, any_value(b.n) AS n_b FROM rsh a JOIN rsh b ON a.s = b.s AND a.doc_id < b.doc_id
+    GROUP BY 1, 2 HAVING count(*) >= 0.9 * (any_value(a.n) + any_value(b.n) - count(*))
+  UNION ALL SELECT rep, doc_id, n, n, n FROM sigs WHERE doc_id <> rep)"""
+COMP_SQL = f"""WITH RECURSIVE {PAIR_SQL}, sym AS MATERIALIZED (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach(id, b) AS (SELECT a, b FROM sym UNION SELECT r.id, s.b FROM reach r JOIN sym s ON r.b = s.a),
+comp AS MATERIALIZED (SELECT d.doc_id AS id, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component FROM documents d LEFT JOIN reach r ON r.id = d.doc_id GROUP BY 1)"""
 
 
 @query(f"WITH {PAIR_SQL} SELECT a, b, CAST(common AS INTEGER) AS common, CAST(n_a AS INTEGER) AS n_a, CAST(n_b AS INTEGER) AS n_b FROM edges")
