@@ -12,17 +12,23 @@ from pyspark.sql.window import Window
 
 from residua.ship import map_arrow
 
+#: Rows of one side of a grid cell, about.
+BLOCK_ROWS = 8192
+
 
 def _vectors(col: pa.Array) -> np.ndarray:
     flat = np.asarray(col.flatten(), dtype=np.float64)
     return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 0)
 
 
-def block_top_k(df: DataFrame, key: str, group: str, vec: str, k: int, blocks: int = 16, approx: bool = False, bucket: float = 0.5, tables: int = 8) -> DataFrame:
+def block_top_k(df: DataFrame, key: str, group: str, vec: str, k: int, blocks: int | None = None, approx: bool = False, bucket: float = 0.5, tables: int = 8) -> DataFrame:
     """Each row is sent to one cell of a (query block, row block) grid for every block of the other side, so a cell holds a
-    bounded share of both; cells give each query's k best, and those are ranked. ``blocks`` grows with the table so
-    that a cell stays small; work is the table squared by nature, in the exact mode."""
+    bounded share of both; cells give each query's k best, and those are ranked. By default there are as many blocks
+    as leave about ``BLOCK_ROWS`` rows to each; work is the table squared by nature, in the exact mode."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(group).cast("string").alias("g"), F.col(vec).cast("array<double>").alias("v")).where("v is not null")
+    if approx:
+        return _approx(rows, k, bucket, tables).withColumnRenamed("id", key)
+    blocks = blocks or max(2, -(-rows.count() // BLOCK_ROWS))
     part = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     asks = rows.withColumn("a", part).withColumn("b", every).withColumn("side", F.lit(0))
@@ -56,8 +62,6 @@ def block_top_k(df: DataFrame, key: str, group: str, vec: str, k: int, blocks: i
                 held[int(side[lo])].append((b.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False), np.array(b.column(3).slice(lo, hi - lo).to_pylist(), object), _vectors(b.column(4).slice(lo, hi - lo))))
         yield from done()
 
-    if approx:
-        return _approx(rows, k, bucket, tables).withColumnRenamed("id", key)
     scored = map_arrow(cells, score, "id long, neighbour long, score double")
     w = Window.partitionBy("id").orderBy(F.col("score").desc(), "neighbour")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("id").alias(key), "rank", "neighbour", "score")
