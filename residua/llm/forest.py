@@ -13,12 +13,14 @@ from pyspark.sql.window import Window
 from residua.llm import words as W
 from residua.operators.components import connected_components
 from residua.scratch import written
-from residua.ship import map_arrow
+from residua.ship import map_arrow, shipped
 
 TREES, LEAST_DEPTH, NEIGHBOURS, HASHES = 24, 4, 8, 128
 #: Of 128 one-bit signature bits, a pair must agree in so many to be looked at: at a likeness of 0.8, 115 do on average with a
 #: standard deviation of 3.4.
 LEAST_AGREE = 97
+#: Rows of a crowded region, of either side, that one block of its exact comparison holds.
+BLOCK = 256
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -106,6 +108,55 @@ def _sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(buf, offsets, size)
 
 
+def _link_block(size: int, percent: int):
+    """(lo, hi) of links between the asking rows of a block and its other rows, one for each component that a row meets."""
+
+    def run(block: pa.Table) -> pa.Table:
+        asks, ids, comps = (block.column(c).to_numpy() for c in ("asks", "id", "component"))
+        sets = [s for chunk in block.column("text").chunks for s in _sets(chunk, size)]
+        other = np.flatnonzero(~asks)
+        links = []
+        if len(other):
+            lengths = np.array([len(sets[i]) for i in other])
+            known, at = np.unique(np.concatenate([sets[i] for i in other]), return_inverse=True)
+            starts = np.cumsum(lengths) - lengths
+            held = np.zeros(len(known), np.int32)
+            for i in np.flatnonzero(asks).tolist():
+                mine = np.searchsorted(known, sets[i])
+                mine = mine[(mine < len(known)) & (known[np.minimum(mine, len(known) - 1)] == sets[i])]
+                held[mine] = 1
+                both = np.add.reduceat(held[at], starts)
+                held[mine] = 0
+                alike = np.flatnonzero((100 * both >= percent * (lengths + len(sets[i]) - both)) & (comps[other] != comps[i]))
+                _, one = np.unique(comps[other][alike], return_index=True)
+                links += [(int(min(ids[i], y)), int(max(ids[i], y))) for y in ids[other][alike][one].tolist()]
+        return pa.table({"lo": pa.array([x for x, _ in links], pa.int64()), "hi": pa.array([y for _, y in links], pa.int64())})
+
+    return run
+
+
+def _apart(crowded: DataFrame, comps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(lo, hi): the links in crowded regions between different components, near in the order or not.
+
+    Of a region's components, all rows but those of the largest are asked against the whole region, on full sets. Both
+    sides are cut into blocks by a hash, so that a task holds ``BLOCK`` rows or so of either side, and only links leave it.
+    """
+    rows = crowded.join(comps.select("id", "component").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = written(rows.select("tree", "k", "n", "id", "component"), "crowded")
+    per = rows.groupBy("tree", "k", "component").agg(F.count("*").alias("held"))
+    top = per.groupBy("tree", "k").agg(F.max(F.struct("held", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    cut = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = rows.join(top.select("tree", "k", "top").hint("merge"), ["tree", "k"])
+    mixed = mixed.select("tree", "k", "id", "component", (F.col("component") != F.col("top.component")).alias("asks"), cut(F.col("n")).alias("ys"), cut(F.col("n") - F.col("top.held")).alias("xs"))
+    mixed = written(mixed.join(texts.hint("merge"), "id"), "mixed")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int").alias(n[0])
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n[0])
+    whole = mixed.select("tree", "k", each("xs"), own("ys"), F.lit(False).alias("asks"), "id", "component", "text")
+    asking = mixed.where("asks").select("tree", "k", own("xs"), each("ys"), "asks", "id", "component", "text")
+    shipped(crowded.sparkSession)
+    return whole.unionByName(asking).groupBy("tree", "k", "x", "y").applyInArrow(_link_block(size, percent), "lo long, hi long").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 2, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -116,7 +167,9 @@ def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 2, percent
     ``TREES`` orders, each sorted by its own sequence of min-hash values; rows that share the first ``LEAST_DEPTH`` values
     are a region, and in it each row's nearest ``NEIGHBOURS`` in the order, those with the longest common prefix,
     are candidates: sparse regions are used from depth ``LEAST_DEPTH``, dense ones as deep as their neighbours agree.
-    A pair of likeness 0.8 shares a region in at least one tree with a probability of 0.999997. Candidates
+    A pair of likeness 0.8 shares a region in at least one tree with a probability of 0.999997. In regions of more rows,
+    what is farther apart in the order but still in different components is compared in blocks at the end, on full sets.
+    Candidates
     must agree in ``LEAST_AGREE`` of 128 signature bits; links are confirmed on the full sets of both texts, first
     each document's best candidate, then those that would still join two components, since a link inside a component
     changes nothing. Null or wordless texts have no shingles and stay alone; rows with a null key stay, with a null
@@ -130,15 +183,20 @@ def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 2, percent
     )
     rows = distinct.select(F.col("rep").alias("id"), "b1", "b2", F.posexplode(F.arrays_zip("keys", "tails")).alias("tree", "at"))
     rows = rows.select("id", "b1", "b2", "tree", F.col("at.keys").alias("k"), F.col("at.tails").alias("tail"))
-    order = Window.partitionBy("tree", "k").orderBy("tail", "id")
+    region = Window.partitionBy("tree", "k")
+    order = region.orderBy("tail", "id")
     me = F.struct("id", "b1", "b2")
-    beside = rows.select("id", "b1", "b2", F.array(*[F.lead(me, i).over(order) for i in range(1, NEIGHBOURS + 1)]).alias("next"))
+    beside = rows.select("id", "b1", "b2", "tree", "k", F.array(*[F.lead(me, i).over(order) for i in range(1, NEIGHBOURS + 1)]).alias("next"), F.count("*").over(region).alias("n"))
     agree = lambda z: 128 - F.bit_count(z["b1"].bitwiseXOR(F.col("b1"))) - F.bit_count(z["b2"].bitwiseXOR(F.col("b2")))
-    near = beside.select("id", F.explode(F.filter(F.transform("next", lambda z: F.struct(z["id"].alias("id"), agree(z).alias("agree"))), lambda z: z["agree"] >= LEAST_AGREE)).alias("z"))
-    pairs = near.where("id <> z.id").select(F.least("id", "z.id").alias("lo"), F.greatest("id", "z.id").alias("hi"), F.col("z.agree").alias("agree"))
+    near = F.filter(F.transform("next", lambda z: F.struct(z["id"].alias("id"), agree(z).alias("agree"))), lambda z: z["agree"] >= LEAST_AGREE)
+    beside = beside.select("id", "tree", "k", "n", near.alias("near")).where((F.size("near") > 0) | (F.col("n") > NEIGHBOURS + 1))
+    beside = written(beside, "beside")
+    pairs = beside.select("id", F.explode("near").alias("z")).where("id <> z.id")
+    pairs = pairs.select(F.least("id", "z.id").alias("lo"), F.greatest("id", "z.id").alias("hi"), F.col("z.agree").alias("agree"))
     pairs = written(pairs.groupBy("lo", "hi").agg(F.max("agree").alias("agree")), "pairs")
+    crowded = beside.where(F.col("n") > NEIGHBOURS + 1).drop("near")
 
-    needed = pairs.select(F.col("lo").alias("id")).unionByName(pairs.select(F.col("hi").alias("id"))).distinct()
+    needed = pairs.select(F.col("lo").alias("id")).unionByName(pairs.select(F.col("hi").alias("id"))).unionByName(crowded.select("id")).distinct()
     texts = written(own.join(needed.hint("merge"), "id"), "texts")
 
     def confirmed(some: DataFrame) -> DataFrame:
@@ -156,6 +214,9 @@ def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 2, percent
     more = confirmed(written(left.where("c_lo <> c_hi").select("lo", "hi"), "open"))
     links = written(links.unionByName(more), "links")
     comps = connected_components(links, src="lo", dst="hi")
+    rest = written(_apart(crowded, comps, texts, size, percent), "rest")
+    if not rest.isEmpty():
+        comps = connected_components(comps.select(F.col("component").alias("lo"), F.col("id").alias("hi")).unionByName(rest), src="lo", dst="hi")
 
     classes = distinct.select("n_shingles", "d1", "d2", "rep").join(comps.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left")
     classes = written(classes.select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component")), "classes")
