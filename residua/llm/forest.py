@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 2, percent
     are a region, and in it each row's nearest ``NEIGHBOURS`` in the order, those with the longest common prefix,
     are candidates: sparse regions are used from depth ``LEAST_DEPTH``, dense ones as deep as their neighbours agree.
     A pair of likeness 0.8 shares a region in at least one tree with a probability of 0.999997. In regions of more rows,
-    what is farther apart in the order but still in different components is compared in blocks at the end, on full sets.
+    what is farther apart in the order but still in different components is compared in blocks, on full sets.
     Candidates
     must agree in ``LEAST_AGREE`` of 128 signature bits; links are confirmed on the full sets of both texts, first
     each document's best candidate, then those that would still join two components, since a link inside a component
@@ -212,11 +212,9 @@ def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 2, percent
         comp = first.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"))
         left = left.join(comp.hint("merge"), end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
     more = confirmed(written(left.where("c_lo <> c_hi").select("lo", "hi"), "open"))
-    links = written(links.unionByName(more), "links")
+    rest = _apart(crowded, first, texts, size, percent)
+    links = written(links.unionByName(more).unionByName(rest), "links")
     comps = connected_components(links, src="lo", dst="hi")
-    rest = written(_apart(crowded, comps, texts, size, percent), "rest")
-    if not rest.isEmpty():
-        comps = connected_components(comps.select(F.col("component").alias("lo"), F.col("id").alias("hi")).unionByName(rest), src="lo", dst="hi")
 
     classes = distinct.select("n_shingles", "d1", "d2", "rep").join(comps.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left")
     classes = written(classes.select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component")), "classes")
