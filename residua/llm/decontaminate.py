@@ -13,12 +13,19 @@ from pyspark.sql import functions as F
 from residua.llm import words as W
 from residua.ship import map_arrow
 
-#: The masks; positions with 0 are ignored.
-MASKS = ("11011011", "1110100111", "111111")
+#: The masks; positions with 0 are ignored. Of n tokens with a fifth changed at most, the unchanged ones fall
+#: into n // 5 + 1 runs; from 11 tokens on, one run has four tokens, or two runs of three stand beside one change.
+MASKS = ("1111", "1110111")
+#: Masks more for items of so many tokens, whose overlaps are the whole item and can escape the masks above.
+SHORT_MASKS = {1: ("1",), 2: ("11",), 3: ("111",), 5: ("11101", "11011", "10111"), 6: ("111011", "110111"), 10: ("1110110111",)}
 #: A matching token counts 1 and another this much less than nothing, so a sum of 0 is four matches of five.
 MISMATCH = 4
 #: An overlap has so many tokens at least, or the whole item if that is shorter.
 LEAST_TOKENS = 13
+#: An overlap of twice ``LEAST_TOKENS`` or more has a half that is one as well, so each has a part of fewer tokens with a hit in it.
+REACH = 2 * LEAST_TOKENS - 2
+#: Hits that are looked at together.
+HITS = 1 << 15
 #: Tokens of benchmark items that are broadcast at once; more are taken in blocks, one pass over the documents each.
 BLOCK_TOKENS = 4_000_000
 
@@ -47,17 +54,15 @@ class Index:
         w = tokens(buf, offsets)
         self.ids, self.first, self.hashes = np.array(ids, np.int64), w.first, w.hashes
         lengths = np.diff(w.first)
-        full = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
-        least = max(len(m) for m in MASKS)
-        # an item that is shorter than the widest mask is looked for as a whole
-        short = [list(range(n)) for n in sorted({int(n) for n in lengths if 0 < n < least})]
         self.seeds = []
-        for offsets_of, whole in [(m, False) for m in full] + [(m, True) for m in short]:
+        for mask, only in [(m, None) for m in MASKS] + [(m, n) for n, ms in SHORT_MASKS.items() if (lengths == n).any() for m in ms]:
+            offsets_of = [i for i, c in enumerate(mask) if c == "1"]
             h, items, places = seed_hashes(w.hashes, offsets_of), [], []
             doc = np.repeat(np.arange(len(lengths)), lengths)[: len(h)]
             at = np.arange(len(h))
             keep = at + offsets_of[-1] < w.first[doc + 1]
-            keep &= (lengths[doc] == len(offsets_of)) if whole else (lengths[doc] >= least)
+            if only is not None:
+                keep &= lengths[doc] == only
             h, items, places = h[keep], doc[keep], (at - w.first[doc])[keep]
             order = np.argsort(h, kind="stable")
             bits = max(16, int(len(h)).bit_length() + 4)
@@ -66,8 +71,8 @@ class Index:
             self.seeds.append((offsets_of, h[order], items[order], places[order], bits, seen))
 
     def hits(self, w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (document, item, diagonal) of all seeds that agree; the diagonal is where the item's first token falls."""
-        found = []
+        """Distinct (document, item, diagonal) with an overlap around a seed that agrees; the diagonal is where the item's first token falls."""
+        found = [np.zeros((0, 3), np.int64)]
         doc_of = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
         for offsets, known, items, places, bits, seen in self.seeds:
             h = seed_hashes(w.hashes, offsets)
@@ -75,12 +80,30 @@ class Index:
             at = at[at + offsets[-1] < w.first[doc_of[at] + 1]]
             lo, hi = np.searchsorted(known, h[at], "left"), np.searchsorted(known, h[at], "right")
             at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            k = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            at = np.repeat(at, n)
-            found.append(np.stack([doc_of[at], items[k], at - w.first[doc_of[at]] - places[k]], axis=1))
-        rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+            ends = np.cumsum(n)
+            for begin in range(0, int(n.sum()), HITS):
+                pair = np.arange(begin, min(begin + HITS, int(ends[-1])))
+                row = np.searchsorted(ends, pair, "right")
+                k = lo[row] + pair - (ends - n)[row]
+                doc, item, place = doc_of[at[row]], items[k], places[k]
+                ok = self.near(w, at[row], doc, item, place, offsets[-1])
+                found.append(np.unique(np.stack([doc, item, at[row] - w.first[doc] - place], axis=1)[ok], axis=0))
+        rows = np.unique(np.concatenate(found), axis=0)
         return rows[:, 0], rows[:, 1], rows[:, 2]
 
+    def near(self, w: W.Words, at: np.ndarray, doc: np.ndarray, item: np.ndarray, place: np.ndarray, last: int) -> np.ndarray:
+        """Whether the tokens around each hit, ``REACH`` to either side, hold an overlap; each overlap has a hit where they do."""
+        step = np.arange(-REACH, last + REACH + 1)
+        own, its = at[:, None] + step, (self.first[item] + place)[:, None] + step
+        there = (own >= w.first[doc][:, None]) & (own < w.first[doc + 1][:, None]) & (its >= self.first[item][:, None]) & (its < self.first[item + 1][:, None])
+        same = w.hashes[np.clip(own, 0, len(w.hashes) - 1)] == self.hashes[np.clip(its, 0, len(self.hashes) - 1)]
+        s = np.zeros((len(at), len(step) + 1), np.int32)
+        np.cumsum(np.where(there, np.where(same, 1, -MISMATCH), -MISMATCH * len(step)), axis=1, out=s[:, 1:])
+        low = np.minimum.accumulate(s, axis=1)
+        need = np.minimum(LEAST_TOKENS, self.first[item + 1] - self.first[item])
+        start = np.arange(s.shape[1]) - need[:, None]
+        return ((s >= np.take_along_axis(low, np.maximum(start, 0), axis=1)) & (start >= 0)).any(axis=1)
+
     def overlaps(self, w: W.Words) -> list[tuple[int, int, int, int, int, int]]:
         """(document, item id, first token, tokens, matches, item tokens) of the longest overlap of each document and item."""
         best: dict[tuple[int, int], tuple] = {}
@@ -137,7 +160,8 @@ def overlaps(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item: s
     """(key, item_id, first_token, n_tokens, n_matched, item_tokens): the longest overlap of each document with each item.
 
     Where all tokens under a mask agree, the item is laid over the document on that diagonal, and the longest stretch
-    of which four of five tokens agree is an overlap if it has ``LEAST_TOKENS`` tokens or the whole item. Documents are
+    of which four of five tokens agree is an overlap if it has ``LEAST_TOKENS`` tokens or the whole item. The masks leave no
+    such stretch without a hit, wherever its changes are. Documents are
     read once for each block of items and nothing is shuffled: a block's index is broadcast, and the number of blocks
     follows the benchmark's counted tokens, so a broadcast never exceeds its bound. Null and empty texts overlap with nothing, null items are left
     out, repeated documents give repeated rows; a null key stays null; an empty benchmark gives no rows.

@@ -101,6 +101,40 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.overlaps(odd, "doc_id", "text", b.limit(0)).count() == 0
 
 
+def test_masks():
+    """Whatever a fifth of the tokens is changed, a mask fits between the changes."""
+    for n in range(1, 24):
+        masks = [m for m in (*decontaminate.MASKS, *decontaminate.SHORT_MASKS.get(n, ())) if len(m) <= n]
+        for changed in itertools.combinations(range(n), n // 5):
+            assert any(all(c == "0" or a + i not in changed for i, c in enumerate(m)) for m in masks for a in range(n - len(m) + 1)), (n, changed)
+
+
+def test_one_change_in_five(spark):
+    rng = random.Random(17)
+    vocab = [f"w{i}" for i in range(4000)]
+    items = [[rng.choice(vocab) for _ in range(n)] for n in (3, 5, 6, 7, 9, 10, 12, 13, 15, 16, 60, 500)]
+    docs = []
+    for y in items:
+        n = len(y)
+        for changed in [range(p, n, 5) for p in range(5)] + [rng.sample(range(n), n // 5) for _ in range(12)]:
+            if len(changed) <= n // 5:
+                docs.append([rng.choice(vocab) for _ in range(rng.randrange(9))] + ["new" if k in set(changed) else t for k, t in enumerate(y)] + ["end"])
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_tokens"], r["n_matched"]) for r in decontaminate.overlaps(d, "doc_id", "text", b).collect()}
+    want = {}
+    for i, x in enumerate(docs):
+        for j, y in enumerate(items):
+            for k in range(-len(y) + 1, len(x)):
+                a, e = max(0, -k), min(len(y), len(x) - k)
+                same = np.array([t == u for t, u in zip(y[a:e], x[a + k : e + k], strict=True)])
+                n = decontaminate.longest(same)[:2] if same.any() else (0, 0)
+                if n[0] >= min(13, len(y)):
+                    want[i, j] = max(want.get((i, j), (0, 0)), n)
+    assert got == want and {i for i, _ in want} == set(range(len(docs)))
+    assert decontaminate.drop_overlapping(d, "text", b).count() == 0
+
+
 # 2
 
 
