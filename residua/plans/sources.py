@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residua.plans.geometry import ATOMS, residues
@@ -68,13 +68,33 @@ def keys_from_path(t: Tables) -> DataFrame:
     return files.keys_from_paths(t.pages, "url", r"^([0-9]+)(\.html)?", ["key", "suffix"])
 
 
+#: Positions of a file; numbers in files have four or five columns, and a file's text is one cell.
+FILE_POSITIONS = 500
+
+
+def _file(label: str, pos: str) -> Column:
+    """(label, part): the file that holds a label's position, numbered from 1 in it."""
+    return F.named_struct(F.lit("label"), F.col(label), F.lit("part"), F.floor(F.col(pos) / FILE_POSITIONS))
+
+
+def _number(pos: str) -> Column:
+    return F.pmod(F.col(pos), F.lit(FILE_POSITIONS)) + 1
+
+
+def _whole(rows: DataFrame, number: str | None = "res_id") -> DataFrame:
+    """``label`` in place of ``file``, and the number in the file made the position again."""
+    if number is not None:
+        rows = rows.withColumn(number, (F.col("file.part") * FILE_POSITIONS + F.col(number) - 1).cast("int"))
+    return rows.select("file.label", *[c for c in rows.columns if c != "file"])
+
+
 def structure_files(t: Tables) -> DataFrame:
-    """(label, text): each label's residues as fixed-width lines in two models; the second one is shifted."""
-    atoms = residues(t).select("label", "pos", F.posexplode("atoms").alias("i", "a"))
+    """(file, text): each label's residues as fixed-width lines in two models; the second one is shifted."""
+    atoms = residues(t).select(_file("label", "pos").alias("file"), "label", _number("pos").alias("pos"), F.posexplode("atoms").alias("i", "a"))
     line = lambda dx: F.format_string("ATOM  %5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f", F.col("i"), F.col("a.atom"), F.lit("ALA"), F.char(F.lit(65) + F.col("label")), F.col("pos"), F.col("a.x") + dx, F.col("a.y"), F.col("a.z"), F.lit(1.0), F.col("a.x") * 10)
     body = lambda dx: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "i", line(dx).alias("l")))), lambda z: z["l"]), "\n")
-    both = atoms.groupBy("label").agg(body(0.0).alias("m1"), body(1.0).alias("m2"))
-    return both.select("label", F.concat_ws("\n", F.lit("MODEL        1"), "m1", F.lit("ENDMDL"), F.lit("MODEL        2"), "m2", F.lit("ENDMDL"), F.lit("END")).alias("text"))
+    both = atoms.groupBy("file").agg(body(0.0).alias("m1"), body(1.0).alias("m2"))
+    return both.select("file", F.concat_ws("\n", F.lit("MODEL        1"), "m1", F.lit("ENDMDL"), F.lit("MODEL        2"), "m2", F.lit("ENDMDL"), F.lit("END")).alias("text"))
 
 
 COORD = "CAST(printf('%.3f', {c}) AS DOUBLE)"
@@ -82,22 +102,23 @@ COORD = "CAST(printf('%.3f', {c}) AS DOUBLE)"
 
 @query(f"WITH {ATOMS} SELECT label, CAST(1 AS INTEGER) AS model, chr(65 + label) AS chain, CAST(vec_id AS INTEGER) AS res_id, 'ALA' AS res_name, atom, {', '.join(COORD.format(c=c) + ' AS ' + c for c in 'xyz')} FROM atoms WHERE vec_id <= 9999")
 def atoms_fixed_width(t: Tables) -> DataFrame:
-    return structures.read_atoms(structure_files(t), "label")
+    """All positions are written and read; the bound is the SQL's own."""
+    return _whole(structures.read_atoms(structure_files(t), "file")).where("res_id <= 9999")
 
 
 @query("SELECT label, CAST(m AS INTEGER) AS model, chr(65 + label) AS chain, count(*) * 21 AS n FROM embeddings, range(1, 3) r(m) GROUP BY 1, 2, 3")
 def atoms_all_models(t: Tables) -> DataFrame:
-    return structures.read_atoms(structure_files(t), "label", first_model=False).groupBy("label", "model", "chain").agg(F.count("*").alias("n"))
+    return _whole(structures.read_atoms(structure_files(t), "file", first_model=False)).groupBy("label", "model", "chain").agg(F.count("*").alias("n"))
 
 
 @query("SELECT DISTINCT label, chr(65 + label) AS chain FROM embeddings")
 def distinct_keys(t: Tables) -> DataFrame:
-    return structures.list_chains(structure_files(t), "label")
+    return _whole(structures.list_chains(structure_files(t), "file"), None).distinct()
 
 
 @query("SELECT label, chr(65 + label) AS chain, CAST(vec_id AS INTEGER) AS res_id, CAST(printf('%.2f', CAST(embedding[4] AS DOUBLE) * 10) AS DOUBLE) AS b_factor FROM embeddings")
 def ca_bfactors(t: Tables) -> DataFrame:
-    return structures.ca_bfactors(structure_files(t), "label")
+    return _whole(structures.ca_bfactors(structure_files(t), "file"))
 
 
 @query(

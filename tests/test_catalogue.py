@@ -1,9 +1,12 @@
 """Every query of the catalogue against its SQL on the smallest tables."""
 
+import duckdb
 import pytest
 from oracle import connect, differences
+from pyspark.sql import functions as F
 
-from residua.plans import catalogue
+from residua.plans import catalogue, sources
+from residua.plans.registry import Tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -28,3 +31,25 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.fixture(scope="module")
+def far(spark, tmp_path_factory):
+    """The embeddings with positions around and far beyond four and five columns."""
+    at = str(tmp_path_factory.mktemp("far"))
+    ids = spark.createDataFrame([(i, 9_960 + i) for i in range(60)] + [(60 + i, 99_990 + 7 * i) for i in range(20)], "vec_id long, at long")
+    rows = spark.read.parquet(f"{SMALL}/embeddings.parquet").join(ids, "vec_id")
+    rows.withColumn("vec_id", F.col("at")).drop("at").write.parquet(f"{at}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{at}/embeddings.parquet/*.parquet'")
+    return at, con
+
+
+@pytest.mark.parametrize("name", ["atoms_fixed_width", "atoms_all_models", "ca_bfactors", "distinct_keys"])
+def test_far_positions(spark, far, name):
+    assert differences(catalogue.queries()[name](spark, far[0]), far[1], catalogue.oracle_sql()[name]) == ""
+
+
+def test_files_hold_all_positions(spark, far):
+    got = sources._whole(sources.structures.read_atoms(sources.structure_files(Tables(spark, far[0])), "file")).agg(F.countDistinct("res_id"), F.max("res_id")).first()
+    assert tuple(got) == (80, 100_123)
