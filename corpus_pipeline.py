@@ -20,9 +20,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that five-word shingles link at 0.8 or more."""
-    kept = forest.near_duplicates(docs, "doc_id", "text", size=5).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """One row of each group of rows that five-word shingles link at 0.8 or more: that with the smallest id.
+
+    Rows and not ids are compared, so repeated rows of one id and rows with a null id are copies like any others; null
+    ids come last, and rows of one id go by a hash of all columns. Rows without words have no copies and all stay.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    told = forest.near_duplicates(rows, "_row", "text", size=5).select("_row", "component_id")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "_row")
+    ranked = rows.select("_row", rank.alias("_rank")).join(told.hint("merge"), "_row")
+    kept = ranked.groupBy("component_id").agg(F.min("_rank")["_row"].alias("_row")).select("_row")
+    return rows.join(kept.hint("merge"), "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -447,3 +447,16 @@ def test_pipeline(spark, small):
             assert out.columns == docs.columns
         kept = out
     assert max(Counter(r["shard"] for r in kept.collect()).values()) - min(Counter(r["shard"] for r in kept.collect()).values()) <= 1
+
+
+def test_pipeline_repeated_rows(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(31)
+    a, b, c, d = (" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(4))
+    rows = [(7, a, "x"), (7, a, "x"), (7, b, "x"), (9, a, "y"), (5, b + " more", "z"), (None, c, "x"), (None, c, "y"), (None, a, "x"), (11, d, "x"), (None, d, "x"), (8, "", "x"), (12, None, "x"), (None, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = P.near_dedup(spark, docs, "")
+    assert out.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert got == Counter([(7, a), (5, b + " more"), (None, c), (11, d), (8, ""), (12, None), (None, "")])
