@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from residua.llm import words as W
+from residua.scratch import written
 from residua.ship import map_arrow
 
 #: The masks; positions with 0 are ignored. Of n tokens with a fifth changed at most, the unchanged ones fall
@@ -29,6 +31,9 @@ HITS = 1 << 15
 #: Tokens of benchmark items that are broadcast at once; more are taken in blocks, one pass over the documents each.
 BLOCK_TOKENS = 4_000_000
 
+#: A token as ``tokens`` takes it, for counting.
+TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 
 def tokens(buf: np.ndarray, offsets: np.ndarray) -> W.Words:
     """Runs of letters and digits, A-Z and Latin-1 capitals in lower case; all other ASCII parts them."""
@@ -131,16 +136,22 @@ def longest(same: np.ndarray) -> tuple[int, int, int]:
     return length, int((gain.max() + MISMATCH * length) // (MISMATCH + 1)), int(i[j])
 
 
+def _blocks(benchmark: DataFrame, item: str, text: str, block_tokens: int) -> DataFrame:
+    """(id, text, n, bucket, part): distinct items, and the block of each; a block has less than ``block_tokens`` tokens and one item more."""
+    items = benchmark.select(F.col(item).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text")).where("id is not null").distinct()
+    items = items.withColumn("n", F.regexp_count("text", F.lit(TOKEN)).cast("long"))
+    total = items.agg(F.sum("n")).first()[0] or 0
+    items = items.where("n > 0").withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(max(1, -(-total // block_tokens)))))
+    before = F.sum("n").over(Window.partitionBy("bucket").orderBy("id", "text").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return items.withColumn("part", F.floor(before / block_tokens))
+
+
 def _indexes(benchmark: DataFrame, item: str, text: str, block_tokens: int) -> Iterator:
-    """A broadcast index for each block of items; blocks are made so that each holds about ``block_tokens`` tokens at most."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col(item).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text")).where("id is not null")
-    total = items.agg(F.sum(F.regexp_count("text", F.lit(r"\S+")) + 1)).first()[0] or 0
-    blocks = -(-total // block_tokens)
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect()
-        if rows:
-            yield spark.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows]))
+    """A broadcast index for each block of items. The driver holds one block's texts at a time; the broadcasts live as long as the result."""
+    items = written(_blocks(benchmark, item, text, block_tokens), "items")
+    for bucket, part in sorted(tuple(r) for r in items.select("bucket", "part").distinct().collect()):
+        rows = items.where((F.col("bucket") == bucket) & (F.col("part") == part)).select("id", "text").orderBy("id", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows]))
 
 
 def _find(index):
@@ -163,7 +174,8 @@ def overlaps(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item: s
     of which four of five tokens agree is an overlap if it has ``LEAST_TOKENS`` tokens or the whole item. The masks leave no
     such stretch without a hit, wherever its changes are. Documents are
     read once for each block of items and nothing is shuffled: a block's index is broadcast, and the number of blocks
-    follows the benchmark's counted tokens, so a broadcast never exceeds its bound. Null and empty texts overlap with nothing, null items are left
+    follows the benchmark's counted tokens, so a broadcast holds less than ``block_tokens`` and one item more. Repeated items count
+    once. Null and empty texts overlap with nothing, null items are left
     out, repeated documents give repeated rows; a null key stays null; an empty benchmark gives no rows.
     """
     own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))

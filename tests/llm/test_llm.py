@@ -135,6 +135,22 @@ def test_one_change_in_five(spark):
     assert decontaminate.drop_overlapping(d, "text", b).count() == 0
 
 
+def test_blocks_are_bounded(spark):
+    rng = random.Random(2)
+    items = [(i, ",".join(f"w{rng.randrange(99)}é" for _ in range(rng.randrange(1, 30)))) for i in range(60)] + [(7, "a-b c")] * 50 + [(99, "x." * 400)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate._blocks(b, "item_id", "text", 100).collect()
+    assert sorted((r["id"], r["text"]) for r in rows) == sorted(set(items))
+    for r in rows:
+        assert r["n"] == len(decontaminate.tokens(*W.flat(pa.array([r["text"]]))).hashes)
+    blocks = {}
+    for r in rows:
+        blocks.setdefault((r["bucket"], r["part"]), []).append(r["n"])
+    assert all(sum(x) < 100 + max(x) for x in blocks.values()) and len(blocks) > 5
+    d = spark.createDataFrame([(1, "A b, c")], "doc_id long, text string")
+    assert [tuple(r)[:2] for r in decontaminate.overlaps(d, "doc_id", "text", b, block_tokens=100).collect()] == [(1, 7)]
+
+
 # 2
 
 
