@@ -49,13 +49,22 @@ def first_match(t: Tables) -> DataFrame:
     return entries.extract_db_link(docs, "user_id", "doc")
 
 
+#: A list of excluded ids covers so many values of the id.
+LIST_IDS = 1000
+
+
+def exclusion_lists(t: Tables) -> DataFrame:
+    """Bare lists of the toxic documents, named lists of those of low quality; each of a range of ids."""
+    ids = F.collect_set(F.col("doc_id").cast("string"))
+    part = F.floor(F.col("doc_id") / LIST_IDS).alias("part")
+    bare = t.labels.where("toxic = 1").groupBy(part).agg(F.to_json(ids).alias("doc"))
+    named = t.labels.where("quality = 0").groupBy(part).agg(F.to_json(F.struct(ids.alias("bmrbs"))).alias("doc"))
+    return bare.unionByName(named).select("doc")
+
+
 @query("SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM labels WHERE toxic = 1 OR quality = 0")
 def load_exclusions(t: Tables) -> DataFrame:
-    """A bare list of the toxic documents, a named list of those of low quality."""
-    ids = F.collect_list(F.col("doc_id").cast("string"))
-    bare = t.labels.where("toxic = 1").agg(F.to_json(ids).alias("doc"))
-    named = t.labels.where("quality = 0").agg(F.to_json(F.struct(ids.alias("bmrbs"))).alias("doc"))
-    return entries.load_exclusions(bare.unionByName(named), "doc")
+    return entries.load_exclusions(exclusion_lists(t), "doc")
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS id, upper(x) AS item FROM part, unnest(string_split(p_name, ' ')) u(x) WHERE trim(x) <> ''")
@@ -133,14 +142,14 @@ def fixed_width_defaults(t: Tables) -> DataFrame:
     # 0-based columns: 5 number, 11 chain, 13 residue, 16 class, 34 area, 39 to 82 four bonds, 103 and 109 angles
     bond = F.when(n % 5 == 0, F.rpad(F.lit("    x, y"), 11, " ")).otherwise(F.rpad(F.lit("    -3,-1.5"), 11, " "))
     line = F.concat(
-        F.lpad(n.cast("string"), 5, " "), F.lpad(n.cast("string"), 5, " "), F.lit(" "), F.char(F.lit(65) + F.col("label")), F.lit(" "),
+        F.lpad(_number("vec_id").cast("string"), 5, " "), F.lpad(_number("vec_id").cast("string"), 5, " "), F.lit(" "), F.char(F.lit(65) + F.col("label")), F.lit(" "),
         F.when(n % 10 == 9, "!").when(n % 3 == 0, "A").otherwise("x"), F.lit("  "), F.when(n % 4 == 0, " ").otherwise("H"), F.rpad(F.lit(""), 17, " "),
         F.lpad(F.round(F.abs(e[2].cast("double").cast("float")) * 500, 0).cast("int").cast("string"), 4, " "), F.lit(" "), bond, F.rpad(F.lit("     0, 0.0"), 53, " "),
         F.format_string("%6.1f%6.1f", e[0].cast("double") * 1000, e[1].cast("double") * 1000), F.rpad(F.lit(""), 20, " "),
     )
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(n, line.alias("l")))), lambda z: z["l"]), "\n")
-    reports = t.embeddings.groupBy("label").agg(F.concat(F.lit("==== report\n  #  RESIDUE AA STRUCTURE\n"), body).alias("text"))
-    out = structures.read_ss_report(reports, "label")
+    reports = t.embeddings.groupBy(_file("label", "vec_id").alias("file")).agg(F.concat(F.lit("==== report\n  #  RESIDUE AA STRUCTURE\n"), body).alias("text"))
+    out = _whole(structures.read_ss_report(reports, "file"))
     return out.select("label", "chain", "res_id", "aa", "ss", "phi", "psi", F.round("rel_acc", 6).alias("rel_acc"), "nh_o_1_relidx", "nh_o_1_energy")
 
 

@@ -45,7 +45,7 @@ def far(spark, tmp_path_factory):
     return at, con
 
 
-@pytest.mark.parametrize("name", ["atoms_fixed_width", "atoms_all_models", "ca_bfactors", "distinct_keys"])
+@pytest.mark.parametrize("name", ["atoms_fixed_width", "atoms_all_models", "ca_bfactors", "distinct_keys", "fixed_width_defaults"])
 def test_far_positions(spark, far, name):
     assert differences(catalogue.queries()[name](spark, far[0]), far[1], catalogue.oracle_sql()[name]) == ""
 
@@ -53,3 +53,10 @@ def test_far_positions(spark, far, name):
 def test_files_hold_all_positions(spark, far):
     got = sources._whole(sources.structures.read_atoms(sources.structure_files(Tables(spark, far[0])), "file")).agg(F.countDistinct("res_id"), F.max("res_id")).first()
     assert tuple(got) == (80, 100_123)
+
+
+def test_exclusion_lists_are_bounded(spark, tmp_path):
+    spark.range(5000).selectExpr("id AS doc_id", "0 AS quality", "CAST(id % 2 AS INT) AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    t = Tables(spark, str(tmp_path))
+    assert sources.exclusion_lists(t).agg(F.max(F.length("doc"))).first()[0] < 10_000
+    assert sources.load_exclusions(t).count() == 5000
