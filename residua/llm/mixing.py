@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from residua.operators.ranking import running
 from residua.scratch import written
 
-#: Seeds that each source may choose from; a multiple of 4, as one digest has four draws.
+#: Seeds that each source may choose from.
 SEEDS = 64
 WORDS = r"[^\x20\x09-\x0D]+"
+#: A table of sources is broadcast up to so many rows, by count.
+BROADCAST_SOURCES = 10_000
+RATES = ["_source", "source_size", "target", "_whole", "_rest", "_seed"]
 
 
 def word_count(text: Column) -> Column:
@@ -23,61 +26,82 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights: tuple[int,
     Sources in the order of their code points, null last, take ``weights`` in turn. Targets share the sum of all
     sizes by weight, but stop at ``ceiling`` times the source's own size, and what is above is shared anew by weight.
     That ends where every source has the smaller of its ceiling and one common level times its weight; the level is
-    the first, in order of ceiling over weight, that leaves the rest of the sources below their ceilings.
+    the first, in order of ceiling over weight, that leaves the rest of the sources below their ceilings. Places and
+    sums come from range partitions, so that the number of sources is not bounded by a task.
     """
-    place = Window.orderBy(F.col(source).isNull(), F.col(source))
-    w = sizes.withColumn("_w", F.element_at(F.array(*[F.lit(int(x)) for x in weights]), ((F.row_number().over(place) - 1) % len(weights) + 1).cast("int")).cast("long"))
-    by = Window.orderBy(F.col(size) / F.col("_w"), F.col(source).isNull(), F.col(source))
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    left = F.sum(size).over(every) - ceiling * F.coalesce(F.sum(size).over(before), F.lit(0))
-    weight_left = F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0))
-    level = w.withColumn("_level", left.cast("double") / weight_left.cast("double"))
-    fits = F.col("_level") * F.col("_w").cast("double") <= ceiling * F.col(size).cast("double")
-    level = level.withColumn("_level", F.min_by(F.when(fits, F.col("_level")), F.when(fits, F.struct(F.col(size) / F.col("_w"), F.col(source).isNull(), F.col(source)))).over(every))
-    capped = ceiling * F.col(size).cast("double")
+    own = sizes.select(F.col(source).alias("_source"), F.col(size).alias("_size"))
+    place = running(own, [F.col("_source").isNull(), F.col("_source")], {"_place": F.lit(1)})
+    w = place.withColumn("_w", F.element_at(F.array(*[F.lit(int(x)) for x in weights]), (F.col("_place") % len(weights) + 1).cast("int")).cast("long"))
+    ratio = F.col("_size") / F.col("_w")
+    order = [ratio, F.col("_source").isNull(), F.col("_source")]
+    w = written(running(w, order, {"_sizes": F.col("_size"), "_ws": F.col("_w")}), "weighed")
+    total = w.agg(F.sum("_size").alias("_all_sizes"), F.sum("_w").alias("_all_ws"))
+    left = F.col("_all_sizes") - ceiling * F.col("_sizes")
+    level = w.crossJoin(F.broadcast(total)).withColumn("_level", left.cast("double") / (F.col("_all_ws") - F.col("_ws")).cast("double"))
+    fits = F.col("_level") * F.col("_w").cast("double") <= ceiling * F.col("_size").cast("double")
+    one = level.where(fits).agg(F.min_by("_level", F.struct(ratio, F.col("_source").isNull(), F.col("_source"))).alias("_level"))
+    capped = ceiling * F.col("_size").cast("double")
     target = F.least(capped, F.col("_level") * F.col("_w").cast("double"))
-    return level.select(source, F.col(size).alias("source_size"), F.coalesce(target, capped).alias("target"))
+    return w.crossJoin(F.broadcast(one)).select(F.col("_source").alias(source), F.col("_size").alias("source_size"), F.coalesce(target, capped).alias("target"))
 
 
-def draws(key: Column, seeds: int = SEEDS) -> Column:
-    """For each seed a number from 0 to 2**32 - 1 that depends on the key alone."""
-    key = F.coalesce(key.cast("string"), F.lit(""))
-    digest = [F.md5(F.concat(key, F.lit(f":{i}")).cast("binary")) for i in range(seeds // 4)]
-    return F.array(*[F.conv(F.substring(d, 1 + 8 * j, 8), 16, 10).cast("long") for d in digest for j in range(4)])
+def draw(key: Column, seed: Column) -> Column:
+    """A number from 0 to 2**32 - 1 that depends on the key and the seed alone: one digest of the key gives a start and an odd step, so each
+    seed's draws are uniform, and those of two seeds independent of each other."""
+    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+    part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    return (part(1) + seed * (part(9).bitwiseOR(F.lit(1)))).bitwiseAND(F.lit((1 << 32) - 1))
 
 
-def mix_rates(df: DataFrame, key: str, source: str, size: str, weights: tuple[int, ...] = (5, 2, 1), ceiling: int = 3, seeds: int = SEEDS) -> DataFrame:
-    """(key, source, size, source_size, target, copies) for each row of ``df`` (which has only these three columns).
+def _with_rates(rows: DataFrame, source: str, rates: DataFrame) -> DataFrame:
+    """``rows`` beside their source's rates. The rates are broadcast if a count shows few; else both sides are plain shuffles, of which a hot source's is split."""
+    hint = "broadcast" if rates.count() <= BROADCAST_SOURCES else "merge"
+    return rows.join(rates.hint(hint), rows[source].eqNullSafe(rates["_source"]))
+
+
+def source_rates(df: DataFrame, key: str, source: str, size: str, weights: tuple[int, ...] = (5, 2, 1), ceiling: int = 3, seeds: int = SEEDS) -> DataFrame:
+    """One row for each source: (_source, source_size, target, _whole, _rest, _seed), which is all that says how often a row is emitted.
 
     A source's rate is target over size. Every row is emitted floor(rate) times, and once more if its draw under
     the source's seed falls below the rate's fraction. Of ``seeds`` fixed seeds each source takes the one whose total comes
-    nearest its target (the smaller seed on ties), found in one aggregation of ``seeds`` sums for each source.
-    Null sources form a source; sources without any words have target 0 and rate 0; reruns give the same copies.
+    nearest its target (the smaller seed on ties), found in one aggregation of ``seeds`` sums for each source. Under each fixed seed a
+    row's extra copy is a Bernoulli draw with the fraction as its probability; under the one picked it no longer is, strictly, since
+    the pick looks at the outcome.
+    Null sources form a source; sources without any words have target 0 and rate 0; reruns give the same.
     """
-    sized = written(df.select(key, source, size), "sizes")
-    totals = written(sized.groupBy(source).agg(F.sum(size).alias(size)), "totals")
-    targets = source_targets(totals, source, size, weights, ceiling)
+    sized = written(df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(size).alias("_size")), "sizes")
+    totals = written(sized.groupBy("_source").agg(F.sum("_size").alias("_size")), "totals")
+    targets = source_targets(totals, "_source", "_size", weights, ceiling)
     rate = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
     targets = written(targets.withColumn("_whole", F.floor(rate).cast("long")).withColumn("_rest", rate - F.floor(rate)), "targets")
-    # one row for each source; the size of the written table decides whether it is broadcast
-    rated = sized.join(targets, sized[source].eqNullSafe(targets[source])).select(sized[key], sized[source], sized[size], "source_size", "target", "_whole", "_rest")
     limit = F.col("_rest") * float(1 << 32)
-    drawn = draws(F.col(key), seeds)
-    sums = rated.withColumn("_d", drawn).groupBy(source).agg(*[F.sum(F.when(F.col("_d")[k] < limit, F.col(size)).otherwise(0)).alias(f"_s{k}") for k in range(seeds)])
-    seed = sums.join(targets, sums[source].eqNullSafe(targets[source])).select(
-        sums[source].alias("_source"),
-        F.array_min(F.array(*[F.struct(F.abs(F.col("_whole") * F.col("source_size") + F.col(f"_s{k}") - F.col("target")).alias("off"), F.lit(k).alias("seed")) for k in range(seeds)]))["seed"].alias("_seed"),
-    )
-    seed = written(seed, "seeds")
-    chosen = rated.join(seed, rated[source].eqNullSafe(seed["_source"]))
-    digest = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.floor(F.col("_seed") / 4).cast("string")).cast("binary"))
-    draw = F.conv(F.substr(digest, (1 + 8 * (F.col("_seed") % 4)).cast("int"), F.lit(8)), 16, 10).cast("long")
-    return chosen.withColumn("copies", F.col("_whole") + (draw < limit).cast("long")).select(key, source, size, "source_size", "target", "copies")
-
-
-def emit_copies(docs: DataFrame, key: str, copies: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as ``copies`` (key, copies) says."""
-    n = copies.where("copies > 0").select(key, "copies").distinct()
-    joined = docs.join(n.hint("merge"), docs[key].eqNullSafe(n[key])).select(docs["*"], n["copies"].alias("_copies"))
-    return joined.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
+    own = sized.withColumnRenamed("_source", "_of")
+    rated = _with_rates(own, "_of", targets).select("_of", "_size", limit.alias("_limit"), draw(F.col("_key"), F.lit(0)).alias("_a"), (draw(F.col("_key"), F.lit(1)) - draw(F.col("_key"), F.lit(0))).alias("_b"))
+    drawn = lambda k: (F.col("_a") + k * F.col("_b")).bitwiseAND(F.lit((1 << 32) - 1))
+    sums = written(rated.groupBy("_of").agg(*[F.sum(F.when(drawn(k) < F.col("_limit"), F.col("_size")).otherwise(0)).alias(f"_s{k}") for k in range(seeds)]), "sums")
+    off = lambda k: F.abs(F.col("_whole") * F.col("source_size") + F.col(f"_s{k}") - F.col("target"))
+    best = F.array_min(F.array(*[F.struct(off(k).alias("off"), F.lit(k).alias("seed")) for k in range(seeds)]))["seed"]
+    return written(_with_rates(sums, "_of", targets).select("_source", "source_size", "target", "_whole", "_rest", best.cast("long").alias("_seed")), "rates")
+
+
+def _copies(key: Column) -> Column:
+    return F.col("_whole") + (draw(key, F.col("_seed")) < F.col("_rest") * float(1 << 32)).cast("long")
+
+
+def mix_rates(df: DataFrame, key: str, source: str, size: str, weights: tuple[int, ...] = (5, 2, 1), ceiling: int = 3, seeds: int = SEEDS) -> DataFrame:
+    """(key, source, size, source_size, target, copies) for each row of ``df``, whatever else it has; see ``source_rates``."""
+    sized = written(df.select(key, source, size), "sizes")
+    rates = source_rates(sized, key, source, size, weights, ceiling, seeds)
+    return _with_rates(sized, source, rates).select(key, source, size, "source_size", "target", _copies(F.col(key)).alias("copies"))
+
+
+def emit_copies(docs: DataFrame, key: str, source: str, rates: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as their source's row of ``rates`` and their own draw say.
+
+    Copies follow from the row's own key and source, so repeated keys, even of several sources, are each emitted on their own; a null key draws as
+    the empty string does. ``docs`` may have columns of any name but those of ``source_rates``; a clash raises ValueError.
+    """
+    if clash := sorted(set(docs.columns) & {*RATES, "_copy"}):
+        raise ValueError(f"columns {clash} are taken")
+    n = _with_rates(docs, source, rates).withColumn("_copy", _copies(docs[key])).where("_copy > 0")
+    return n.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copy")))).select(*[docs[c] for c in docs.columns])

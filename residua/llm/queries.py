@@ -99,10 +99,13 @@ one AS (SELECT level FROM levels WHERE level * w <= 3 * CAST(size AS DOUBLE) ORD
 targets AS (
   SELECT l.source, l.size AS source_size, coalesce(least(3 * CAST(l.size AS DOUBLE), (SELECT level FROM one) * CAST(w AS DOUBLE)), 3 * CAST(l.size AS DOUBLE)) AS target FROM levels l),
 rates AS (SELECT *, coalesce(target / nullif(CAST(source_size AS DOUBLE), 0), 0) AS rate FROM targets),
+digests AS (
+  SELECT *, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) AS a,
+    CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 9, 8)) AS BIGINT) | 1 AS b FROM sized),
 drawn AS (
   SELECT d.doc_id, d.source, d.size, k.seed, r.source_size, r.target, CAST(floor(rate) AS BIGINT) AS whole,
-    CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(k.seed // 4 AS VARCHAR)), CAST(1 + 8 * (k.seed % 4) AS INTEGER), 8)) AS BIGINT) < (rate - floor(rate)) * 4294967296.0 AS hit
-  FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source CROSS JOIN (SELECT unnest(range(64)) AS seed) k),
+    (a + k.seed * b) % 4294967296 < (rate - floor(rate)) * 4294967296.0 AS hit
+  FROM digests d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source CROSS JOIN (SELECT unnest(range(64)) AS seed) k),
 offs AS (SELECT source, seed, abs(any_value(whole) * any_value(source_size) + sum(CASE WHEN hit THEN size ELSE 0 END) - any_value(target)) AS gap FROM drawn GROUP BY source, seed),
 best AS (SELECT source, arg_min(seed, (gap, seed)) AS seed FROM offs GROUP BY source)
 SELECT d.doc_id, d.size, d.source_size, d.target, CAST((d.whole + CASE WHEN hit THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken
