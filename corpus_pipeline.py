@@ -15,6 +15,8 @@ LEAST_SCORE = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is told with confidence. Null, empty and letterless texts are rejected; repeated rows are judged alike; if
+    no document has a label, nothing can be told and nothing is kept."""
     told = langid.predict(docs, "text", learned_language(docs))
     return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
@@ -34,15 +36,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with no benchmark item; null and empty texts overlap with none, repeated rows go or stay together."""
     return decontaminate.drop_overlapping(docs, "text", table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's rate says; null ids draw as the empty string, null sources are a source, documents without words have
+    size 0 and are emitted like the others of their source."""
     sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    return mixing.emit_copies(docs, "doc_id", mixing.mix_rates(sized, "doc_id", "source", "size"))
+    return mixing.emit_copies(docs, "doc_id", "source", mixing.source_rates(sized, "doc_id", "source", "size"))
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with ``shard`` and ``slot``; copies of one document are rows like any others, a null id stands where the empty string does."""
     return sharding.ring_shards(docs, "doc_id", SHARDS, ties=("n_chars",))
 
 
