@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from residua.scratch import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hex digits of a digest that the equi-join uses; the rest confirms.
 PREFIX_HEX = 8
@@ -19,10 +21,11 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def prepared_rules(rules: DataFrame) -> DataFrame:
-    """Rules (host, path, verdict) with their digest and precedence; of equal rules ``block`` stands."""
+    """Rules (host, path, verdict) with their digest and precedence; hosts in lower case, as in urls; of equal rules ``block`` stands."""
     rule = F.concat("host", "path")
     return (
         rules.where("host is not null and path is not null and host <> ''")
+        .withColumn("host", F.translate("host", UPPER, LOWER))
         .groupBy(rule.alias("rule"), F.length("host").alias("_host_len"), F.length("path").alias("_path_len"))
         .agg(F.max(F.col("verdict")).alias("verdict"))
         .withColumn("_digest", F.sha2(F.concat_ws("\u0001", F.expr("left(rule, _host_len)"), F.expr("substr(rule, _host_len + 1)")), 256))
@@ -36,12 +39,14 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     Each distinct url is expanded into its host suffixes times those path prefixes whose length some rule has; an
     expression meets the rules by the first 32 bits of its SHA-256 and counts if the whole digest agrees. The
     longest rule wins. Rules are broadcast only when a count shows at most ``broadcast_rules`` of them; more are
-    met in a sort-merge join. Null and odd urls get empty parts, no rule and the default verdict; repeated urls are
+    met in a sort-merge join. Both that join and the one that brings verdicts back to the pages have a written table on either side, so
+    that a rule or url that very many rows share can be split over tasks; urls without a host take no part in them. Null and odd urls
+    get empty parts, no rule and the default verdict; repeated urls are
     judged once; an empty table of pages or rules works. Columns ``host``, ``path``, ``rule`` and ``verdict`` of
-    ``pages`` are replaced.
+    ``pages`` are replaced; its other columns may have any name that does not begin with an underscore.
     """
     pages = pages.drop("host", "path", "rule", "verdict")
-    known = prepared_rules(rules)
+    known = written(prepared_rules(rules), "rules")
     n_rules, lengths = known.agg(F.count("*"), F.sort_array(F.collect_set("_path_len"))).first()
     host, path = url_parts(F.col(url))
     out = pages.withColumn("host", host).withColumn("path", path)
@@ -52,9 +57,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     prefixes = F.transform(F.filter(cuts, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     digests = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.sha2(F.concat(h, F.lit("\u0001"), p), 256))))
     asked = distinct.select("host", "path", F.explode(digests).alias("_full")).withColumn("_short", F.substring("_full", 1, PREFIX_HEX))
-    side = known.hint("broadcast") if n_rules <= broadcast_rules else known.hint("merge")
-    met = asked.join(side, "_short").where("_full = _digest")
+    if n_rules > broadcast_rules:
+        asked = written(asked, "expressions")
+    met = asked.join(known.hint("broadcast" if n_rules <= broadcast_rules else "merge"), "_short").where("_full = _digest")
     rank = F.struct(F.length("rule").alias("n"), F.col("_host_len").alias("h"), F.col("rule").alias("r"))
-    best = met.groupBy("host", "path").agg(F.max_by("rule", rank).alias("rule"), F.max_by("verdict", rank).alias("verdict"))
-    judged = out.join(best.hint("merge"), ["host", "path"], "left")
-    return judged.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    best = written(met.groupBy("host", "path").agg(F.max_by("rule", rank).alias("rule"), F.max_by("verdict", rank).alias("verdict")), "verdicts")
+    judged = out.where("host <> ''").join(best.hint("merge"), ["host", "path"], "left").select(*out.columns, "rule", "verdict")
+    bare = out.where("host = ''").select("*", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    return judged.unionByName(bare).withColumn("verdict", F.coalesce("verdict", F.lit(default)))
