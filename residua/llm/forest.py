@@ -19,8 +19,10 @@ TREES, LEAST_DEPTH, NEIGHBOURS, HASHES = 24, 4, 8, 128
 #: Of 128 one-bit signature bits, a pair must agree in so many to be looked at: at a likeness of 0.8, 115 do on average with a
 #: standard deviation of 3.4.
 LEAST_AGREE = 97
-#: Rows of a crowded region, of either side, that one block of its exact comparison holds.
-BLOCK = 256
+#: Rows of a crowded region, and shingles in them, of either side, that one block of its exact comparison holds (or one longer row).
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
+#: A region is ordered in one task up to so many rows, or up to as many as leave at most ``LISTED`` larger regions in the table.
+REGION, LISTED = 1024, 100_000
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -139,15 +141,19 @@ def _apart(crowded: DataFrame, comps: DataFrame, texts: DataFrame, size: int, pe
     """(lo, hi): the links in crowded regions between different components, near in the order or not.
 
     Of a region's components, all rows but those of the largest are asked against the whole region, on full sets. Both
-    sides are cut into blocks by a hash, so that a task holds ``BLOCK`` rows or so of either side, and only links leave it.
+    sides are cut into blocks by a hash, so that a task holds ``BLOCK`` rows and ``BLOCK_SHINGLES`` shingles or so of either side, and only links leave it.
     """
     rows = crowded.join(comps.select("id", "component").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rows = written(rows.select("tree", "k", "n", "id", "component"), "crowded")
-    per = rows.groupBy("tree", "k", "component").agg(F.count("*").alias("held"))
-    top = per.groupBy("tree", "k").agg(F.max(F.struct("held", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    cut = lambda n: F.ceil(n / BLOCK).cast("int")
-    mixed = rows.join(top.select("tree", "k", "top").hint("merge"), ["tree", "k"])
-    mixed = mixed.select("tree", "k", "id", "component", (F.col("component") != F.col("top.component")).alias("asks"), cut(F.col("n")).alias("ys"), cut(F.col("n") - F.col("top.held")).alias("xs"))
+    rows = written(rows.select("tree", "k", "n", "id", "size", "component"), "crowded")
+    per = rows.groupBy("tree", "k", "n", "component").agg(F.count("*").alias("held"), F.sum("size").alias("mass"))
+    top = per.groupBy("tree", "k").agg(F.max(F.struct("held", "component", "mass")).alias("top"), F.count("*").alias("parts"), F.max("n").alias("n"), F.sum("mass").alias("mass")).where("parts > 1")
+    cut = lambda n, mass: F.greatest(F.ceil(n / BLOCK), F.ceil(mass / BLOCK_SHINGLES)).cast("int")
+    top = top.select("tree", "k", F.col("top.component").alias("most"), cut(F.col("n"), F.col("mass")).alias("ys"), cut(F.col("n") - F.col("top.held"), F.col("mass") - F.col("top.mass")).alias("xs"), "n")
+    # a region's rows know how many they are, so they are dealt to as many salts as they need and meet one copy of the region's row at each
+    salts = F.ceil(F.col("n") / REGION).cast("int")
+    top = written(top.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n"), "regions")
+    mixed = rows.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).join(top.hint("merge"), ["tree", "k", "salt"])
+    mixed = written(mixed.select("tree", "k", "id", "component", (F.col("component") != F.col("most")).alias("asks"), "ys", "xs"), "mixed")
     mixed = written(mixed.join(texts.hint("merge"), "id"), "mixed")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int").alias(n[0])
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n[0])
@@ -157,6 +163,18 @@ def _apart(crowded: DataFrame, comps: DataFrame, texts: DataFrame, size: int, pe
     return whole.unionByName(asking).groupBy("tree", "k", "x", "y").applyInArrow(_link_block(size, percent), "lo long, hi long").distinct()
 
 
+def _with_parts(rows: DataFrame, total: int) -> DataFrame:
+    """``rows`` with ``n``, the rows of their region if those are more than one task should order, else null, and ``part``, the part of it that each row stands in.
+
+    The limit rises with ``total``, the number of all rows, so that at most ``LISTED`` regions can be above it, which bounds what is broadcast.
+    """
+    limit = max(REGION, -(-total // LISTED))
+    large = written(rows.groupBy("tree", "k").agg(F.count("*").alias("n")).where(F.col("n") > limit), "large")
+    large = large.select(F.col("tree").alias("_tree"), F.col("k").alias("_k"), "n")
+    both = rows.join(F.broadcast(large), (F.col("tree") == F.col("_tree")) & (F.col("k") == F.col("_k")), "left").drop("_tree", "_k")
+    return both.withColumn("part", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / limit))).cast("int"))
+
+
 def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 2, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -168,28 +186,37 @@ def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 2, percent
     are a region, and in it each row's nearest ``NEIGHBOURS`` in the order, those with the longest common prefix,
     are candidates: sparse regions are used from depth ``LEAST_DEPTH``, dense ones as deep as their neighbours agree.
     A pair of likeness 0.8 shares a region in at least one tree with a probability of 0.999997. In regions of more rows,
-    what is farther apart in the order but still in different components is compared in blocks, on full sets.
-    Candidates
+    what is farther apart in the order but still in different components is compared in blocks, on full sets. A region of very many
+    rows is ordered in parts, which that comparison joins. Candidates
     must agree in ``LEAST_AGREE`` of 128 signature bits; links are confirmed on the full sets of both texts, first
     each document's best candidate, then those that would still join two components, since a link inside a component
     changes nothing. Null or wordless texts have no shingles and stay alone; rows with a null key stay, with a null
-    component; rows of one key count as one document; empty tables work; other columns are not looked at.
+    component; rows of one key count as one document that has all their sets, so whatever one of them links to is linked to all; keys
+    are integers (others raise where they do not read as such); empty tables work; other columns are not looked at.
     """
     own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     kind = "id long, n_shingles long, d1 long, d2 long, keys array<long>, tails array<long>, b1 long, b2 long"
     signed = written(map_arrow(own, _sign(size), kind), "signed")
-    distinct = signed.where("id is not null and n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(
+    sets = signed.where("id is not null and n_shingles > 0")
+    distinct = sets.groupBy("n_shingles", "d1", "d2").agg(
         F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("tails").alias("tails"), F.first("b1").alias("b1"), F.first("b2").alias("b2")
     )
-    rows = distinct.select(F.col("rep").alias("id"), "b1", "b2", F.posexplode(F.arrays_zip("keys", "tails")).alias("tree", "at"))
-    rows = rows.select("id", "b1", "b2", "tree", F.col("at.keys").alias("k"), F.col("at.tails").alias("tail"))
-    region = Window.partitionBy("tree", "k")
+    distinct = written(distinct, "distinct")
+    # a key with several sets links the classes of all of them
+    digest = F.struct("d1", "d2", "n_shingles")
+    several = written(sets.groupBy("id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select("id"), "several")
+    through = sets.join(several.hint("merge"), "id").join(distinct.select("n_shingles", "d1", "d2", "rep").hint("merge"), ["n_shingles", "d1", "d2"])
+    through = through.where("id <> rep").select(F.col("rep").alias("lo"), F.col("id").alias("hi")).distinct()
+    rows = distinct.select(F.col("rep").alias("id"), F.col("n_shingles").alias("size"), "b1", "b2", F.posexplode(F.arrays_zip("keys", "tails")).alias("tree", "at"))
+    rows = _with_parts(rows.select("id", "size", "b1", "b2", "tree", F.col("at.keys").alias("k"), F.col("at.tails").alias("tail")), TREES * distinct.count())
+    region = Window.partitionBy("tree", "k", "part")
     order = region.orderBy("tail", "id")
     me = F.struct("id", "b1", "b2")
-    beside = rows.select("id", "b1", "b2", "tree", "k", F.array(*[F.lead(me, i).over(order) for i in range(1, NEIGHBOURS + 1)]).alias("next"), F.count("*").over(region).alias("n"))
+    nexts = F.array(*[F.lead(me, i).over(order) for i in range(1, NEIGHBOURS + 1)]).alias("next")
+    beside = rows.select("id", "size", "b1", "b2", "tree", "k", nexts, F.coalesce("n", F.count("*").over(region)).alias("n"))
     agree = lambda z: 128 - F.bit_count(z["b1"].bitwiseXOR(F.col("b1"))) - F.bit_count(z["b2"].bitwiseXOR(F.col("b2")))
     near = F.filter(F.transform("next", lambda z: F.struct(z["id"].alias("id"), agree(z).alias("agree"))), lambda z: z["agree"] >= LEAST_AGREE)
-    beside = beside.select("id", "tree", "k", "n", near.alias("near")).where((F.size("near") > 0) | (F.col("n") > NEIGHBOURS + 1))
+    beside = beside.select("id", "size", "tree", "k", "n", near.alias("near")).where((F.size("near") > 0) | (F.col("n") > NEIGHBOURS + 1))
     beside = written(beside, "beside")
     pairs = beside.select("id", F.explode("near").alias("z")).where("id <> z.id")
     pairs = pairs.select(F.least("id", "z.id").alias("lo"), F.greatest("id", "z.id").alias("hi"), F.col("z.agree").alias("agree"))
@@ -213,7 +240,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 2, percent
         left = left.join(comp.hint("merge"), end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
     more = confirmed(written(left.where("c_lo <> c_hi").select("lo", "hi"), "open"))
     rest = _apart(crowded, first, texts, size, percent)
-    links = written(links.unionByName(more).unionByName(rest), "links")
+    links = written(links.unionByName(more).unionByName(rest).unionByName(through), "links")
     comps = connected_components(links, src="lo", dst="hi")
 
     classes = distinct.select("n_shingles", "d1", "d2", "rep").join(comps.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left")
