@@ -14,8 +14,20 @@ from residua.llm import words as W
 from residua.scratch import written
 from residua.ship import map_arrow
 
-#: Bits of a packed word position; the bits above them compare hashes.
-_AT = np.uint64((1 << 24) - 1)
+#: Bits of a packed word position; the bits above them compare hashes. A piece of texts has less than 2**31 bytes, so its words fit.
+_AT = np.uint64((1 << 32) - 1)
+_BLOCK = "anchor long, span long, id long, sig long, first int, windows int, leads boolean"
+_WINDOW = "anchor long, hash long, id long, sig long, first int, leads boolean"
+
+
+def leads(doc: np.ndarray, *hashes: np.ndarray) -> np.ndarray:
+    """Whether each row is the first of its document with its hashes."""
+    key = W.mix(doc.astype(np.uint64))
+    for h in hashes:
+        key = W.mix(key ^ h)
+    out = np.zeros(len(key), bool)
+    out[np.unique(key, return_index=True)[1]] = True
+    return out
 
 
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -66,35 +78,37 @@ def _block_rows(window: int, gram: int):
             for lo, _, buf, offsets in W.pieces(b.column(2)):
                 doc, first, count, anchor, span = blocks(W.words(buf, offsets), window, gram)
                 keep = known[lo + doc]
-                rows = (W.as_long(anchor)[keep], W.as_long(span)[keep], ids[lo + doc][keep], sigs[lo + doc][keep], (first * 64 + count)[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["anchor", "span", "id", "sig", "at"])
+                rows = [pa.array(x[keep], pa.int64()) for x in (W.as_long(anchor), W.as_long(span), ids[lo + doc], sigs[lo + doc])]
+                rows += [pa.array(first[keep], pa.int32()), pa.array(count[keep], pa.int32()), pa.array(leads(doc, span, anchor)[keep])]
+                yield pa.RecordBatch.from_arrays(rows, ["anchor", "span", "id", "sig", "first", "windows", "leads"])
 
     return run
 
 
 def _window_rows(window: int):
-    """The single windows of the asked blocks: (anchor, window hash, id, sig, first word)."""
+    """The single windows of the asked blocks (anchor, first word, windows): (anchor, window hash, id, sig, first word, leads)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, sigs = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             asked = b.column(3)
             at_of, ask = np.asarray(asked.offsets) - asked.offsets[0].as_py(), asked.flatten()
-            anchors, places = (ask.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            anchors, places, counts = (ask.field(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
             for lo, hi, buf, offsets in W.pieces(b.column(2)):
                 w = W.words(buf, offsets)
                 i = np.arange(at_of[lo], at_of[hi])
                 if not len(i):
                     continue
                 doc = np.repeat(np.arange(hi - lo), np.diff(at_of[lo : hi + 1]))
-                count = places[i] % 64
+                count = counts[i].astype(np.int64)
                 k = np.repeat(np.arange(len(i)), count)
                 step = np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
-                first = (places[i] // 64)[k] + step
+                first = places[i][k] + step
                 begin = w.first[doc[k]] + first
                 hashes = W.word_runs(w).runs(begin, begin + window)
-                rows = (anchors[i][k], W.as_long(hashes), ids[lo + doc[k]], sigs[lo + doc[k]], first)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["anchor", "hash", "id", "sig", "first"])
+                rows = [pa.array(x, pa.int64()) for x in (anchors[i][k], W.as_long(hashes), ids[lo + doc[k]], sigs[lo + doc[k]])]
+                rows += [pa.array(first, pa.int32()), pa.array(leads(doc[k], hashes, anchors[i][k].view(np.uint64)))]
+                yield pa.RecordBatch.from_arrays(rows, ["anchor", "hash", "id", "sig", "first", "leads"])
 
     return run
 
@@ -104,74 +118,82 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, key: str, text: str, window: int = 50, gram: int = 12) -> DataFrame:
-    """(id, sig, first, windows): runs of windows of ``window`` words that also start in a document with a smaller key.
+    """(id, sig, first, windows, ref, ref_first): runs of windows of ``window`` words that also start in a document with a smaller key,
+    each with its reference: the smallest such key, and the word where the run begins there (the first such place).
 
-    Every document is cut into content-defined blocks and all blocks of all documents are the reference. A document
-    is factored block by block: a block that a smaller key has as a whole is part of a factor with all its windows;
-    where only the anchor is shared, that is at a factor's boundary, the block's windows are checked one by one,
+    Every document is cut into content-defined blocks, and all blocks of all documents are indexed by anchor and by text. A block that a
+    smaller key has as a whole is matched with all its windows at once;
+    where only the anchor is shared, the block stands at a factor's boundary, and its windows are checked one by one,
     once for each distinct block text. So the result is exact and its work linear in the words, however many
     documents share a passage. Texts are words of ``[^\\x20\\x09-\\x0D]+``, unchanged. Null keys are nobody's
     reference and lose nothing; null and short texts have no windows.
     """
     keyed = _keyed(docs, key, text)
-    rows = "anchor long, span long, id long, sig long, at long"
-    found = map_arrow(keyed, _block_rows(window, gram), rows)
-    seen = found.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("span").alias("a"), F.max("span").alias("b"))
-    shared = seen.where("least < most").select("anchor", "least", (F.col("a") != F.col("b")).alias("mixed"))
+    found = map_arrow(keyed, _block_rows(window, gram), _BLOCK)
+    place = F.min_by("first", F.when(F.col("leads"), F.col("id")))
+    seen = found.groupBy("anchor").agg(F.min("id").alias("ref"), F.max("id").alias("most"), F.min("span").alias("a"), F.max("span").alias("b"), place.alias("ref_first"))
+    shared = seen.where("ref < most").select("anchor", "ref", "ref_first", (F.col("a") != F.col("b")).alias("mixed"))
     # written, so that the join's sides are plain shuffles and a passage that very many documents share can be split
     shared = written(shared, "anchors")
     shared = written(found.join(shared.hint("merge"), "anchor"), "blocks")
-    whole = written(shared.where("mixed").groupBy("anchor", "span").agg(F.min("id").alias("least_same")), "spans")
-    placed = shared.where("mixed").join(whole.hint("merge"), ["anchor", "span"])
-    sure = shared.where("not mixed and id > least").select("id", "sig", "at")
-    sure = sure.unionByName(placed.where("id > least_same").select("id", "sig", "at"))
-    asked = placed.where("id = least_same").groupBy("id", "sig").agg(F.collect_list(F.struct("anchor", "at")).alias("asked"))
+    mixed = shared.where("mixed").drop("ref", "ref_first", "mixed")
+    whole = written(mixed.groupBy("anchor", "span").agg(F.min("id").alias("ref"), place.alias("ref_first")), "spans")
+    placed = mixed.join(whole.hint("merge"), ["anchor", "span"])
+    out = ["id", "sig", "first", "windows", "ref", "ref_first"]
+    sure = shared.where("not mixed and id > ref").select(*out).unionByName(placed.where("id > ref").select(*out))
+    asked = placed.where("id = ref").groupBy("id", "sig").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("asked"))
     single = keyed.join(asked.hint("merge"), ["id", "sig"]).select("id", "sig", "text", "asked")
-    single = map_arrow(single, _window_rows(window), "anchor long, hash long, id long, sig long, first long")
-    firsts = single.groupBy("anchor", "hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    late = single.join(firsts.hint("merge"), ["anchor", "hash"]).where("id > least").select("id", "sig", (F.col("first") * 64 + 1).alias("at"))
-    return sure.unionByName(late).select("id", "sig", F.floor(F.col("at") / 64).cast("long").alias("first"), (F.col("at") % 64).alias("windows"))
+    single = map_arrow(single, _window_rows(window), _WINDOW)
+    firsts = written(single.groupBy("anchor", "hash").agg(F.min("id").alias("ref"), F.max("id").alias("most"), place.alias("ref_first")).where("ref < most").drop("most"), "windows")
+    late = single.join(firsts.hint("merge"), ["anchor", "hash"]).where("id > ref").withColumn("windows", F.lit(1))
+    return sure.unionByName(late.select(*out))
 
 
-def factors(first: np.ndarray, windows: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """(first word, words) of the maximal factors that runs of windows make up; touching and overlapping ones join."""
-    out: list[tuple[int, int]] = []
+def factors(first: np.ndarray, windows: np.ndarray, ref: np.ndarray, ref_first: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """The parse of one document from its matched runs: factors (first word, words, reference, first word there), from left to right.
+
+    A factor takes, greedily, every window that follows at the next place of the same reference; where the reference or the place changes
+    or a window has none, it ends, and the next one begins at the next matched window. So a factor is never shorter than a window, and two that
+    overlap share fewer words than a window.
+    """
+    out: list[list[int]] = []
     order = np.argsort(first, kind="stable")
-    for a, n in zip(first[order].tolist(), windows[order].tolist(), strict=True):
-        end = a + n - 1 + window
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
+    for a, n, r, at in zip(*(x[order].tolist() for x in (first, windows, ref, ref_first)), strict=True):
+        if out and a + window - 1 == out[-1][0] + out[-1][1] and r == out[-1][2] and at - a == out[-1][3] - out[-1][0]:
+            out[-1][1] += n
         else:
-            out.append((a, end))
-    return [(a, end - a) for a, end in out]
+            out.append([a, n - 1 + window, r, at])
+    return [tuple(x) for x in out]
+
+
+_FACTORS = "array<struct<first:int,words:int,ref:bigint,ref_first:int>>"
 
 
 def _cut(window: int):
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("ref", pa.int64()), ("ref_first", pa.int32())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(3).fill_null([])
             at, flat = np.asarray(lists.offsets) - lists.offsets[0].as_py(), lists.flatten()
-            first, count = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for lo in range(0, b.num_rows, 256):
-                hi = min(lo + 256, b.num_rows)
+            cols = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            for lo, hi, buf, offsets in W.pieces(b.column(2)):
                 total, gone, kept, spans = [], [], [], []
                 for i in range(lo, hi):
-                    own = (b.column(2)[i].as_py() or "").encode().split()
-                    cut = factors(first[at[i] : at[i + 1]], count[at[i] : at[i + 1]], window)
+                    own = buf[offsets[i - lo] : offsets[i - lo + 1]].tobytes().split()
+                    cut = factors(*(c[at[i] : at[i + 1]] for c in cols), window)
                     n = len(own)
                     if cut:
                         stay = np.ones(n, bool)
-                        for a, k in cut:
+                        for a, k, _, _ in cut:
                             stay[a : a + k] = False
                         own = list(compress(own, stay.tolist()))
                     total.append(n)
                     gone.append(n - len(own))
                     kept.append(b" ".join(own).decode())
-                    spans.append([{"first": a, "words": k} for a, k in cut])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())])))],
-                    ["id", "n_words", "n_removed", "kept_text", "factors"],
-                )
+                    spans.append([{"first": a, "words": k, "ref": r, "ref_first": p} for a, k, r, p in cut])
+                columns = [b.column(0).slice(lo, hi - lo), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, kind)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_removed", "kept_text", "factors"])
 
     return run
 
@@ -179,10 +201,13 @@ def _cut(window: int):
 def drop_repeats(docs: DataFrame, key: str, text: str, window: int = 50, gram: int = 12) -> DataFrame:
     """(key, n_words, n_removed, kept_text, factors) for each row: the words that no factor covers, joined by one space.
 
-    Repeated rows of one key are judged by their own text. Windows are judged on the input, not on what is left.
+    A factor (first, words, ref, ref_first) is a stretch of ``words`` >= ``window`` words that document ``ref`` has from word ``ref_first`` on; see
+    ``factors``. Its spans are duplicates; windows that straddle two factors or stick out of one have been checked on their own, so a word
+    goes if and only if a repeated window covers it. Windows are judged on the input, not on what is left. Repeated rows of one key are
+    judged by their own text; null texts are empty; keys are integers; other columns are not looked at; an empty table gives none.
     """
     runs = repeated_windows(docs, key, text, window, gram)
-    per = runs.groupBy("id", "sig").agg(F.collect_list(F.struct("first", "windows")).alias("runs"))
+    per = runs.groupBy("id", "sig").agg(F.collect_list(F.struct("first", "windows", "ref", "ref_first")).alias("runs"))
     full = _keyed(docs, key, text).join(per.hint("merge"), ["id", "sig"], "left").select("id", "sig", "text", "runs")
-    kind = "id long, n_words long, n_removed long, kept_text string, factors array<struct<first:long,words:long>>"
+    kind = f"id long, n_words long, n_removed long, kept_text string, factors {_FACTORS}"
     return map_arrow(full, _cut(window), kind).withColumnRenamed("id", key)
