@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -93,10 +94,12 @@ def test_decontamination(spark, odd, none):
             if n[0] >= min(13, len(y)):
                 want[i, j] = n
     assert got == want and len(want) >= 20
-    blocks = {(r["doc_id"], r["item_id"]): (r["n_tokens"], r["n_matched"]) for r in decontaminate.overlaps(d, "doc_id", "text", b, block_tokens=25).collect()}
+    blocks = {(r["doc_id"], r["item_id"]): (r["n_tokens"], r["n_matched"]) for r in decontaminate.overlaps(d, "doc_id", "text", b, index_tokens=25).collect()}
     assert blocks == got
-    left = {r[0] for r in decontaminate.drop_overlapping(d, "text", b).select("doc_id").collect()}
-    assert left == set(range(40)) - {i for i, _ in want}
+    for limit in (decontaminate.INDEX_TOKENS, 25):
+        left = {r[0] for r in decontaminate.drop_overlapping(d, "text", b, index_tokens=limit).select("doc_id").collect()}
+        assert left == set(range(40)) - {i for i, _ in want}
+        assert decontaminate.drop_overlapping(odd, "text", b, index_tokens=limit).count() == len(ODD) and decontaminate.overlaps(none, "doc_id", "text", b, index_tokens=limit).count() == 0
     assert decontaminate.drop_overlapping(odd, "text", b).count() == len(ODD) and decontaminate.drop_overlapping(none, "text", b).count() == 0
     assert decontaminate.overlaps(odd, "doc_id", "text", b.limit(0)).count() == 0
 
@@ -128,27 +131,71 @@ def test_one_change_in_five(spark):
             for k in range(-len(y) + 1, len(x)):
                 a, e = max(0, -k), min(len(y), len(x) - k)
                 same = np.array([t == u for t, u in zip(y[a:e], x[a + k : e + k], strict=True)])
-                n = decontaminate.longest(same)[:2] if same.any() else (0, 0)
+                n = tuple(int(v[0]) for v in decontaminate.longest(same, np.array([len(same)]))[:2]) if same.any() else (0, 0)
                 if n[0] >= min(13, len(y)):
                     want[i, j] = max(want.get((i, j), (0, 0)), n)
     assert got == want and {i for i, _ in want} == set(range(len(docs)))
+    joined = {(r["doc_id"], r["item_id"]): (r["n_tokens"], r["n_matched"]) for r in decontaminate.overlaps(d, "doc_id", "text", b, index_tokens=0).collect()}
+    assert joined == want
     assert decontaminate.drop_overlapping(d, "text", b).count() == 0
 
 
-def test_blocks_are_bounded(spark):
+def test_items_and_longest(spark):
     rng = random.Random(2)
     items = [(i, ",".join(f"w{rng.randrange(99)}é" for _ in range(rng.randrange(1, 30)))) for i in range(60)] + [(7, "a-b c")] * 50 + [(99, "x." * 400)]
     b = spark.createDataFrame(items, "item_id long, text string")
-    rows = decontaminate._blocks(b, "item_id", "text", 100).collect()
+    rows = decontaminate._items(b, "item_id", "text").collect()
     assert sorted((r["id"], r["text"]) for r in rows) == sorted(set(items))
     for r in rows:
         assert r["n"] == len(decontaminate.tokens(*W.flat(pa.array([r["text"]]))).hashes)
-    blocks = {}
-    for r in rows:
-        blocks.setdefault((r["bucket"], r["part"]), []).append(r["n"])
-    assert all(sum(x) < 100 + max(x) for x in blocks.values()) and len(blocks) > 5
-    d = spark.createDataFrame([(1, "A b, c")], "doc_id long, text string")
-    assert [tuple(r)[:2] for r in decontaminate.overlaps(d, "doc_id", "text", b, block_tokens=100).collect()] == [(1, 7)]
+    d = spark.createDataFrame([(1, "A b, c"), (None, "a B c"), (1, "A b, c")], "doc_id long, text string")
+    for limit in (100, decontaminate.INDEX_TOKENS):
+        assert sorted([tuple(r)[:2] for r in decontaminate.overlaps(d, "doc_id", "text", b, index_tokens=limit).collect()], key=str) == [(1, 7), (1, 7), (None, 7)]
+    parts = [np.array([rng.random() < 0.75 for _ in range(rng.randrange(0, 40))], bool) for _ in range(200)]
+    got = np.stack(decontaminate.longest(np.concatenate(parts), np.array([len(x) for x in parts])), axis=1).tolist()
+    for (n, m, first), x in zip(got, parts, strict=True):
+        every = [(j - i, int(x[i:j].sum()), -i) for i in range(len(x) + 1) for j in range(i, len(x) + 1) if 5 * int(x[i:j].sum()) >= 4 * (j - i)]
+        best = max(every)
+        assert (n, m) == best[:2] and (n == 0 or -first == best[2])
+
+
+def test_repeated_tokens(spark):
+    b = spark.createDataFrame([(1, "a " * 60), (2, "a b " * 30)], "item_id long, text string")
+    d = spark.createDataFrame([(1, "a " * 100_000), (2, "b " * 12)], "doc_id long, text string")
+    begun = time.time()
+    got = {tuple(r) for r in decontaminate.overlaps(d, "doc_id", "text", b).collect()}
+    assert got == {(1, 1, 0, 60, 60, 60)} and time.time() - begun < 60
+
+
+def test_op1(spark, small):
+    """All tokens of every document and item laid over each other, without seeds."""
+
+    def cut(text):
+        low = "".join(c.lower() if c.isascii() or "\u00c0" <= c <= "\u00de" and c != "\u00d7" else c for c in text or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", low)
+
+    items = {r["item_id"]: cut(r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    places = {i: {} for i in items}
+    for i, y in items.items():
+        for k, t in enumerate(y):
+            places[i].setdefault(t, []).append(k)
+    want = {}
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        x = cut(r["text"])
+        for i, y in items.items():
+            need = min(13, len(y))
+            on = Counter(k - j for k, t in enumerate(x) for j in places[i].get(t, ()))
+            for d, hits in on.items():
+                if 5 * hits >= 4 * need:
+                    a = max(0, -d)
+                    s = np.concatenate([[0], np.cumsum([1 if t == u else -4 for t, u in zip(y[a:], x[a + d :], strict=False)])])
+                    n = np.where(s[None, :] >= s[:, None], np.arange(len(s))[None, :] - np.arange(len(s))[:, None], 0)
+                    size = int(n.max())
+                    if size >= need:
+                        matched = max(int(s[e] - s[b] + 4 * size) // 5 for b, e in zip(*np.nonzero(n == size), strict=True))
+                        want[r["doc_id"], i] = max(want.get((r["doc_id"], i), (0, 0)), (size, matched))
+    got = {(r["doc_id"], r["item_id"]): (r["n_tokens"], r["n_matched"]) for r in queries.op1_spaced_seed_decontamination(spark, small).collect()}
+    assert got == want and want
 
 
 # 2
@@ -332,6 +379,10 @@ def test_urls(spark):
         fit = [(len(h + p), h + p, v) for h, p, v in queries.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         best = max(fit, default=(0, None, "allow"))
         assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, best[1], best[2]), u
+    upper = spark.createDataFrame([("Example.org", "/", "block")], "host string, path string, verdict string")
+    assert {r["page_id"] for r in urlfilter.filter_urls(df, upper).where("verdict = 'block' and rule = 'example.org/'").collect()} == {0, 1, 12, 13, 14}
+    long = spark.createDataFrame([(1, "http://example.org/es/" + "x/" * 50_000), (2, "http://" + "a." * 300 + "com/de/")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in urlfilter.filter_urls(long, rules).collect()} == {1: "block", 2: "block"}
     assert urlfilter.filter_urls(df.limit(0), rules).count() == 0
     assert {r["verdict"] for r in urlfilter.filter_urls(df, rules.limit(0)).collect()} == {"allow"}
 
@@ -371,6 +422,48 @@ def test_near_duplicates(spark, odd, none):
     assert forest.near_duplicates(none, "doc_id", "text").count() == 0
 
 
+def test_near_duplicates_of_repeated_keys(spark):
+    """Rows of one key are one document with all their sets."""
+    rng = random.Random(5)
+    x, y = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    base = [" ".join(f"w{rng.randrange(500)}" for _ in range(25)) for _ in range(12)]
+    many = [(rng.randrange(20), rng.choice(base) + rng.choice(["", " more", " "])) for _ in range(60)]
+    for rows in ([(5, x), (7, x), (7, y), (9, y)], [(7, x), (7, y), (9, y + " z"), (6, x + " q")], many):
+        sets = [(i, {tuple(w[k : k + 2]) for k in range(len(w) - 1)}) for i, w in ((i, t.split()) for i, t in rows)]
+        low = {i: i for i, _ in rows}
+        for _ in rows:
+            for (i, s), (j, t) in itertools.combinations(sets, 2):
+                if 100 * len(s & t) >= 80 * len(s | t):
+                    low[i] = low[j] = min(low[i], low[j])
+        got = forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+        assert len(got) == len(rows) and {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(i, c, i == c) for i, c in low.items()}
+
+
+def test_crowded_regions(spark, monkeypatch):
+    """Many texts under one template, in regions that are ordered in parts and compared in several small blocks."""
+    monkeypatch.setattr(forest, "REGION", 16)
+    monkeypatch.setattr(forest, "BLOCK", 8)
+    monkeypatch.setattr(forest, "BLOCK_SHINGLES", 2000)
+    rng = random.Random(41)
+    template = [f"t{i}" for i in range(60)]
+    texts = []
+    for _ in range(30):
+        own = [f"u{rng.randrange(10**6)}" for _ in range(25)]
+        for _ in range(4):
+            w = template + own
+            w[rng.randrange(60)] = "changed"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    sets = [{tuple(w[k : k + 2]) for k in range(len(w) - 1)} for w in (t.split() for t in texts)]
+    low = list(range(len(texts)))
+    for _ in range(6):
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low[i] = low[j] = min(low[i], low[j])
+    got = {r["doc_id"]: r["component_id"] for r in forest.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect()}
+    assert [got[i] for i in range(len(texts))] == low and len(set(low)) == 30
+
+
 # 9
 
 
@@ -390,7 +483,22 @@ def test_mixing(spark, odd, none):
     assert sorted(map(str, again)) == sorted(map(str, got))
     sized = lambda d: d.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     copies = mixing.mix_rates(sized(odd), "doc_id", "source", "size")
-    assert copies.count() == len(ODD) and set(mixing.emit_copies(odd, "doc_id", copies).columns) == set(odd.columns)
+    assert copies.count() == len(ODD) and mixing.emit_copies(odd, "doc_id", "source", mixing.source_rates(sized(odd), "doc_id", "source", "size")).columns == odd.columns
+    with pytest.raises(ValueError):
+        mixing.emit_copies(odd.withColumn("target", F.lit(1)), "doc_id", "source", mixing.source_rates(sized(odd), "doc_id", "source", "size"))
+    # keys that several sources have, and repeated rows: each row as often as its own source says
+    rows = [(i % 400, "abc"[i % 3], 5 + i % 7) for i in range(1500)] + [(1, "a", 6)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    want = Counter()
+    for r in mixing.mix_rates(df, "doc_id", "source", "size").collect():
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    rates = mixing.source_rates(df, "doc_id", "source", "size")
+    limit, mixing.BROADCAST_SOURCES = mixing.BROADCAST_SOURCES, 0
+    try:
+        apart = Counter(map(tuple, mixing.emit_copies(df, "doc_id", "source", rates).collect()))
+    finally:
+        mixing.BROADCAST_SOURCES = limit
+    assert Counter(map(tuple, mixing.emit_copies(df, "doc_id", "source", rates).collect())) == apart == +want
     assert mixing.mix_rates(sized(none), "doc_id", "source", "size").count() == 0
 
 
@@ -429,6 +537,21 @@ def test_substrings(spark, odd, none):
         want = brute_repeats(docs, window)
         key = lambda x: str(x)
         assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got), key=key) == sorted(want.values(), key=key)
+    own = {}
+    for i, t in docs:
+        own.setdefault(i, []).append((t or "").split())
+    for window, gram in ((100, 12), (70, 30)):  # windows longer than any earlier packing of their number allowed
+        twice = [*docs, (200, " ".join(rng.choice("xyz") for _ in range(400)))]
+        twice.append((201, twice[-1][1]))
+        got = substring.drop_repeats(spark.createDataFrame(twice, "doc_id long, text string"), "doc_id", "text", window, gram).collect()
+        assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got), key=str) == sorted(brute_repeats(twice, window).values(), key=str)
+        assert [tuple(f) for r in got if r["doc_id"] == 201 for f in r["factors"]] == [(0, 400, 200, 0)]
+        for r in got:  # every factor is where it says it is, in a smaller document
+            for f in r["factors"]:
+                assert f["words"] >= window and f["ref"] < r["doc_id"]
+                if len(own.get(r["doc_id"], ())) == 1 and r["doc_id"] < 200:
+                    mine = own[r["doc_id"]][0][f["first"] : f["first"] + f["words"]]
+                    assert any(mine == x[f["ref_first"] : f["ref_first"] + f["words"]] for x in own[f["ref"]])
     rows = {(r["doc_id"], r["n_removed"]) for r in substring.drop_repeats(odd, "doc_id", "text").collect()}
     assert (6, 24000) in rows and (5, 0) in rows and (3, 0) in rows and (1, 0) in rows
     assert substring.drop_repeats(none, "doc_id", "text").count() == 0
