@@ -327,10 +327,13 @@ def _clean(index, column: int):
 
 def drop_overlapping(docs: DataFrame, text: str, benchmark: DataFrame, item: str = "item_id", item_text: str = "text", index_tokens: int = INDEX_TOKENS) -> DataFrame:
     """``docs`` without the rows that overlap with any item, as ``overlaps`` finds them; all columns and all other rows as they are, without a shuffle up
-    to ``index_tokens``. Columns may have any name but ``s1`` and ``s2``."""
+    to ``index_tokens``; columns may have any name."""
     items = _items(benchmark, item, item_text)
     index = _index(items, index_tokens)
     if index is not None:
         return map_arrow(docs, _clean(index, docs.columns.index(text)), docs.schema)
     hit = written(_overlaps_of_texts(docs, text, items).select("s1", "s2").distinct(), "hit")
-    return docs.withColumns({"s1": F.xxhash64(text), "s2": F.hash(text).cast("long")}).join(hit.hint("merge"), ["s1", "s2"], "left_anti").select(*docs.columns)
+    tag = W.free_prefix(docs.columns)
+    one, two = _text_key(text)
+    keyed = docs.withColumns({f"{tag}s1": one, f"{tag}s2": two})
+    return keyed.join(hit.hint("merge"), (keyed[f"{tag}s1"] == hit["s1"]) & (keyed[f"{tag}s2"] == hit["s2"]), "left_anti").select(*docs.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from residua.llm import words as W
 from residua.operators.ranking import running
 from residua.scratch import written
 
@@ -13,7 +14,6 @@ SEEDS = 64
 WORDS = r"[^\x20\x09-\x0D]+"
 #: A table of sources is broadcast up to so many rows, by count.
 BROADCAST_SOURCES = 10_000
-RATES = ["_source", "source_size", "target", "_whole", "_rest", "_seed"]
 
 
 def word_count(text: Column) -> Column:
@@ -53,10 +53,12 @@ def draw(key: Column, seed: Column) -> Column:
     return (part(1) + seed * (part(9).bitwiseOR(F.lit(1)))).bitwiseAND(F.lit((1 << 32) - 1))
 
 
-def _with_rates(rows: DataFrame, source: str, rates: DataFrame) -> DataFrame:
-    """``rows`` beside their source's rates. The rates are broadcast if a count shows few; else both sides are plain shuffles, of which a hot source's is split."""
+def _with_rates(rows: DataFrame, source: str, rates: DataFrame, tag: str = "") -> DataFrame:
+    """``rows`` beside their source's rates, whose columns get ``tag`` before their names. The rates are broadcast if a count shows few; else both sides are
+    plain shuffles, of which a hot source's is split."""
     hint = "broadcast" if rates.count() <= BROADCAST_SOURCES else "merge"
-    return rows.join(rates.hint(hint), rows[source].eqNullSafe(rates["_source"]))
+    rates = rates.toDF(*[tag + c for c in rates.columns])
+    return rows.join(rates.hint(hint), rows[source].eqNullSafe(rates[f"{tag}_source"]))
 
 
 def source_rates(df: DataFrame, key: str, source: str, size: str, weights: tuple[int, ...] = (5, 2, 1), ceiling: int = 3, seeds: int = SEEDS) -> DataFrame:
@@ -84,8 +86,8 @@ def source_rates(df: DataFrame, key: str, source: str, size: str, weights: tuple
     return written(_with_rates(sums, "_of", targets).select("_source", "source_size", "target", "_whole", "_rest", best.cast("long").alias("_seed")), "rates")
 
 
-def _copies(key: Column) -> Column:
-    return F.col("_whole") + (draw(key, F.col("_seed")) < F.col("_rest") * float(1 << 32)).cast("long")
+def _copies(key: Column, tag: str = "") -> Column:
+    return F.col(f"{tag}_whole") + (draw(key, F.col(f"{tag}_seed")) < F.col(f"{tag}_rest") * float(1 << 32)).cast("long")
 
 
 def mix_rates(df: DataFrame, key: str, source: str, size: str, weights: tuple[int, ...] = (5, 2, 1), ceiling: int = 3, seeds: int = SEEDS) -> DataFrame:
@@ -99,9 +101,8 @@ def emit_copies(docs: DataFrame, key: str, source: str, rates: DataFrame) -> Dat
     """The rows of ``docs`` as often as their source's row of ``rates`` and their own draw say.
 
     Copies follow from the row's own key and source, so repeated keys, even of several sources, are each emitted on their own; a null key draws as
-    the empty string does. ``docs`` may have columns of any name but those of ``source_rates``; a clash raises ValueError.
+    the empty string does. ``docs`` may have columns of any name.
     """
-    if clash := sorted(set(docs.columns) & {*RATES, "_copy"}):
-        raise ValueError(f"columns {clash} are taken")
-    n = _with_rates(docs, source, rates).withColumn("_copy", _copies(docs[key])).where("_copy > 0")
-    return n.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copy")))).select(*[docs[c] for c in docs.columns])
+    tag = W.free_prefix(docs.columns)
+    n = _with_rates(docs, source, rates, tag).withColumn(f"{tag}n", _copies(docs[key], tag)).where(F.col(f"{tag}n") > 0)
+    return n.withColumn(f"{tag}n", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{tag}n")))).select(*[docs[c] for c in docs.columns])

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from residua.llm import words as W
+
 RING = 1 << 32
-#: The ring is also cut into this many equal cells, so that keys are ranked in small groups.
-CELLS = 1 << 14
+#: The ring is also cut into equal cells, so that keys are ranked in small groups: so many bits of cells at least and at most, and so many rows in a cell between.
+LEAST_CELL_BITS, MOST_CELL_BITS, CELL_ROWS = 14, 20, 20_000
 
 
 def ring_position(key: Column) -> Column:
@@ -43,7 +45,9 @@ def allot(counts: list[tuple[int, int]], nodes: list[tuple[int, int]], shards: i
     next shard of their clockwise walk; a shard takes them in ring order until it is full, the rest walk on. Every
     round with rows left fills a shard, so there are at most as many rounds as shards.
     """
-    walk = {cell: clockwise(nodes, cell, shards) for cell, _ in counts}
+    first = {cell: bisect_left(nodes, (cell, -1)) for cell, _ in counts}
+    walks = {i: clockwise(nodes, nodes[i % len(nodes)][0], shards) for i in set(first.values())}
+    walk = {cell: walks[i] for cell, i in first.items()}
     left, rank, turn = dict(counts), dict.fromkeys(walk, 0), dict.fromkeys(walk, 0)
     room, slot, out = list(capacity), [0] * shards, []
     waiting = sorted(cell for cell, n in counts if n)
@@ -69,32 +73,36 @@ def ring_shards(df: DataFrame, key: str, shards: int, per_shard: int = 64, slack
 
     A key goes to the first virtual node clockwise from its hash; a shard takes at most its share of the rows times
     1 + ``slack`` (with 0, counts differ by one at most), and keys that find it full continue clockwise. Only row
-    counts of the ring's cells come to the driver: at most ``CELLS`` + ``shards`` x ``per_shard`` numbers, whatever
+    counts of the ring's cells come to the driver: at most 2**``MOST_CELL_BITS`` + ``shards`` x ``per_shard`` numbers, whatever
     the input. Rows are then ranked inside their cell (one shuffle) and find their shard by a broadcast of that
-    bounded plan. ``ties`` are columns that order rows of one key; rows equal in all of them are interchangeable.
-    A null key is the empty string's; an empty table gives an empty result; columns named like the helpers
-    (``_pos``, ``_cell``, ``_rank``) must not be in ``df``.
+    bounded plan. ``ties`` are columns that order rows of one key; rows equal in all of them are interchangeable. All rows of one key are
+    ranked in one task. A null key is the empty string's; an empty table gives an empty result; very long texts are only carried along;
+    columns ``shard`` and ``slot`` of ``df`` are replaced, its others may have any name.
     """
+    df = df.drop("shard", "slot")
+    tag = W.free_prefix(df.columns)
+    pos, cell, at, edges, rank, p = (tag + x for x in ("pos", "cell", "grid", "edges", "rank", "plan"))
     spark = df.sparkSession
     nodes = virtual_nodes(shards, per_shard)
-    width = RING // CELLS
-    edges = sorted({*(p for p, _ in nodes), *range(width - 1, RING, width)})
+    bits = min(MOST_CELL_BITS, max(LEAST_CELL_BITS, (df.count() // CELL_ROWS).bit_length()))
+    low = 32 - bits
     # a cell is named by its last position: the nearest edge clockwise of the uniform grid or of the virtual nodes
-    inner = [[p for p, _ in nodes if c * width <= p < (c + 1) * width - 1] for c in range(CELLS)]
-    grid = spark.createDataFrame([(c, sorted(set(p)) + [(c + 1) * width - 1]) for c, p in enumerate(inner)], "_grid long, _edges array<long>")
-    placed = df.withColumn("_pos", ring_position(F.col(key)))
-    placed = placed.withColumn("_grid", F.shiftright("_pos", 18)).join(F.broadcast(grid), "_grid")
-    placed = placed.withColumn("_cell", F.expr("filter(_edges, e -> e >= _pos)[0]")).drop("_grid", "_edges")
-    counts = [(r[0], r[1]) for r in placed.groupBy("_cell").count().collect()]
-    assert len(counts) <= len(edges)
+    inner: dict[int, set[int]] = {}
+    for q, _ in nodes:
+        inner.setdefault(q >> low, set()).add(q)
+    grid = spark.createDataFrame([(c, sorted(q)) for c, q in inner.items()], f"{at} long, {edges} array<long>")
+    placed = df.withColumn(pos, ring_position(F.col(key)))
+    placed = placed.withColumn(at, F.shiftright(pos, low)).join(F.broadcast(grid), at, "left")
+    placed = placed.withColumn(cell, F.coalesce(F.get(F.filter(edges, lambda e: e >= F.col(pos)), 0), F.shiftleft(F.col(at) + 1, low) - 1)).drop(at, edges)
+    counts = [(r[0], r[1]) for r in placed.groupBy(cell).count().collect()]
     n = sum(c for _, c in counts)
     if slack:
         capacity = [-(-int(n * (1 + slack) + 1) // shards)] * shards
     else:
         capacity = [n // shards + (s < n % shards) for s in range(shards)]
-    plan = spark.createDataFrame(allot(counts, nodes, shards, capacity), "_cell long, _from long, _to long, shard int, _slot long")
-    plan = plan.groupBy("_cell").agg(F.collect_list(F.struct("_from", "_to", "shard", "_slot")).alias("_plan"))
-    order = Window.partitionBy("_cell").orderBy("_pos", *[c for c in (key, *ties)])
-    ranked = placed.withColumn("_rank", F.row_number().over(order).cast("long") - 1)
-    found = ranked.join(F.broadcast(plan), "_cell").withColumn("_p", F.expr("filter(_plan, p -> _rank >= p._from and _rank < p._to)[0]"))
-    return found.withColumn("shard", F.col("_p.shard")).withColumn("slot", F.col("_p._slot") + F.col("_rank") - F.col("_p._from")).drop("_pos", "_cell", "_rank", "_plan", "_p")
+    plan = spark.createDataFrame(allot(counts, nodes, shards, capacity), f"{cell} long, first long, last long, shard int, slot long")
+    plan = plan.groupBy(cell).agg(F.collect_list(F.struct("first", "last", "shard", "slot")).alias(p))
+    order = Window.partitionBy(cell).orderBy(pos, key, *ties)
+    found = placed.withColumn(rank, F.row_number().over(order).cast("long") - 1).join(F.broadcast(plan), cell)
+    found = found.withColumn(p, F.get(F.filter(p, lambda z: (z["first"] <= F.col(rank)) & (F.col(rank) < z["last"])), 0))
+    return found.select(*df.columns, F.col(p)["shard"].alias("shard"), (F.col(p)["slot"] + F.col(rank) - F.col(p)["first"]).alias("slot"))

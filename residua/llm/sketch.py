@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -12,16 +13,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.llm import words as W
+from residua.scratch import written
 from residua.ship import map_arrow, shipped
 
-#: A shingle is this many bytes of UTF-8; one 40-bit hash in SCALE is kept.
-SHINGLE, SCALE, BITS = 8, 16, 40
+#: A shingle is this many bytes of UTF-8; its hash has BITS bits. Sketches keep the hashes below 2**BITS / SCALE, and those of texts with fewer than
+#: LEAST of them keep all.
+SHINGLE, SCALE, BITS, LEAST = 8, 16, 40, 8
+#: Bytes of text in a range of keys, about, and ranges at most.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 20_000
 
 
-def sketches(texts: pa.Array, shingle: int = SHINGLE, scale: int = SCALE) -> list[np.ndarray]:
-    """For each text the sorted distinct shingle hashes below 2**BITS / ``scale``; if a text has none of them, its least
-    hash alone. A text shorter than a shingle is one shingle, an empty one has no hash."""
-    out: list[np.ndarray] = []
+class Sketch(NamedTuple):
+    """All distinct shingle hashes below 2**BITS / scale, sorted. The scale goes with the hashes, so that sketches of different scales still compare and
+    merge, at the coarser one."""
+
+    scale: int
+    hashes: np.ndarray
+
+    def at(self, scale: int) -> np.ndarray:
+        return self.hashes if scale == self.scale else self.hashes[self.hashes < np.uint64((1 << BITS) // scale)]
+
+
+def sketches(texts: pa.Array, shingle: int = SHINGLE, scale: int = SCALE) -> list[Sketch]:
+    """For each text its sketch: at ``scale``, or at 1 if fewer than LEAST hashes are below that threshold. A text shorter than a shingle is one shingle,
+    an empty or null one has none."""
+    out: list[Sketch] = []
     limit, drop = np.uint64((1 << BITS) // scale), np.uint64(64 - BITS)
     for lo, hi, buf, offsets in W.pieces(texts):
         runs = W.byte_runs(buf)
@@ -34,47 +50,53 @@ def sketches(texts: pa.Array, shingle: int = SHINGLE, scale: int = SCALE) -> lis
         cut = np.searchsorted(doc, np.arange(hi - lo + 1))
         for d in range(hi - lo):
             a, b = int(offsets[d]), int(offsets[d + 1])
-            if cut[d + 1] > cut[d]:
-                out.append(np.unique(h[near[cut[d] : cut[d + 1]]]))
+            kept = np.unique(h[near[cut[d] : cut[d + 1]]])
+            if len(kept) >= LEAST:
+                out.append(Sketch(scale, kept))
             elif b - a >= shingle:
-                out.append(h[a : b - shingle + 1].min(keepdims=True))
-            elif b > a:
-                out.append(runs.runs(np.array([a]), np.array([b])) >> drop)
+                out.append(Sketch(1, np.unique(h[a : b - shingle + 1])))
             else:
-                out.append(np.zeros(0, np.uint64))
+                out.append(Sketch(1, runs.runs(np.array([a]), np.array([b])) >> drop if b > a else np.zeros(0, np.uint64)))
     return out
 
 
-def encode(sketch: np.ndarray) -> str:
-    """Hex digits, 10 for each hash, ascending."""
-    return sketch.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes().hex()
+def encode(sketch: Sketch) -> str:
+    """Hex digits: two of the scale's logarithm, then 10 for each hash, ascending."""
+    return f"{sketch.scale.bit_length() - 1:02x}" + sketch.hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes().hex()
+
 
+def decode(text: str) -> Sketch:
+    raw = np.frombuffer(bytes.fromhex(text[2:]), np.uint8).reshape(-1, BITS // 8)
+    return Sketch(1 << int(text[:2], 16), np.pad(raw, ((0, 0), (8 - BITS // 8, 0))).reshape(-1).view(">u8").astype(np.uint64))
 
-def decode(text: str) -> np.ndarray:
-    raw = np.frombuffer(bytes.fromhex(text), np.uint8).reshape(-1, BITS // 8)
-    return np.pad(raw, ((0, 0), (8 - BITS // 8, 0))).reshape(-1).view(">u8").astype(np.uint64)
 
+def merge(a: Sketch, b: Sketch) -> Sketch:
+    """The sketch of the shingles of two documents taken together, at the coarser of their scales."""
+    scale = max(a.scale, b.scale)
+    return Sketch(scale, np.union1d(a.at(scale), b.at(scale)))
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The sketch of two documents taken together."""
-    return np.union1d(a, b)
 
+def _shared(a: Sketch, b: Sketch) -> tuple[int, int, int]:
+    scale = max(a.scale, b.scale)
+    x, y = a.at(scale), b.at(scale)
+    return len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of the union that both have; two empty sketches are alike."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
 
+def likeness(a: Sketch, b: Sketch) -> float:
+    """The share of the union that both have, at the coarser scale; the sketches of two empty texts are alike."""
+    both, x, y = _shared(a, b)
+    return both / (x + y - both) if x + y else float(len(a.hashes) == len(b.hashes))
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of the first that the second has, for documents of very unequal lengths."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
+
+def containment(a: Sketch, b: Sketch) -> float:
+    """The share of the first that the second has, for documents of very unequal lengths; an empty text is contained in every one. If the first is so
+    short that it has nothing at the second's scale, 0 stands for unknown."""
+    both, x, _ = _shared(a, b)
+    return both / x if x else float(not len(a.hashes))
 
 
 def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_bytes, fingerprint) of every row; map-only. Null text is empty."""
+    """(key, n_bytes, fingerprint) of every row; map-only. Null text is empty, keys are integers or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,32 +107,47 @@ def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
     return map_arrow(own, run, f"`{key}` long, n_bytes long, fingerprint string")
 
 
-def with_next(docs: DataFrame, key: str, text: str, ranges: int) -> DataFrame:
-    """(part, ahead, id, text): the rows dealt to contiguous ranges of the key, each range followed by a copy of the next
+def _bounds(keys: DataFrame, ranges: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (k, h) at which ranges of about as many rows begin, from about 64 sampled keys a range, equal ones counted together."""
+    if ranges < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    picked = keys.where(F.pmod(F.xxhash64("k", "h"), F.lit(max(1, rows // (64 * ranges)))) == 0).groupBy("k", "h").count().collect()
+    picked.sort()
+    ends = np.cumsum([r[2] for r in picked])
+    at = np.unique(np.searchsorted(ends, np.arange(1, ranges) * (ends[-1] / ranges))) if len(picked) else []
+    chosen = [picked[i] for i in at if i]
+    return np.array([r[0] for r in chosen], np.int64), np.array([r[1] for r in chosen], np.int64)
+
+
+def with_next(docs: DataFrame, key: str, text: str, ranges: int | None = None) -> DataFrame:
+    """(part, ahead, id, text): the rows dealt to contiguous ranges of (key, hash of the text), each range followed by a copy of the next
     one's first row (``ahead`` 1; after the last range comes the first). Nulls are the smallest key.
 
-    Bounds are approximate quantiles, so only ``ranges`` numbers and the ranges' first keys come to the driver; texts
-    are shuffled once.
+    The number of ranges follows the bytes of the texts. Bounds come from a sample of the keys, so only some numbers a range and the ranges' first keys come
+    to the driver, and a key that very many rows have is split by its texts' hash; texts are shuffled once.
     """
     spark = docs.sparkSession
     shipped(spark)
-    own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    probabilities = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(own.where("id is not null").approxQuantile("k", probabilities, 1 / (4 * ranges)))) if ranges > 1 else []
-    cuts = np.array(bounds)
+    own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    keys = written(own.select("k", "h", F.octet_length("text").alias("bytes")), "keys")
+    rows, size = keys.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    cut_k, cut_h = _bounds(keys, ranges or min(MOST_RANGES, max(1, -(-size // RANGE_BYTES))), rows)
 
     @F.pandas_udf("int")
-    def part(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, k.to_numpy(), "right").astype("int32"))
-
-    dealt = own.withColumn("part", part("k"))
-    firsts = sorted((r["part"], r["k"]) for r in own.select("k").withColumn("part", part("k")).groupBy("part").agg(F.min("k").alias("k")).collect())
-    before = [(firsts[i][1], firsts[i - 1][0]) for i in range(len(firsts))]
-    ahead = spark.createDataFrame(before, "k long, _before int")
-    both = dealt.join(F.broadcast(ahead), "k", "left")
-    to = F.filter(F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("ahead")), F.when(F.col("_before").isNotNull(), F.struct(F.col("_before").alias("part"), F.lit(1).alias("ahead")))), lambda z: z.isNotNull())
-    rows = both.select("k", "id", "text", F.explode(to).alias("z")).select("z.part", "z.ahead", "k", "id", "text")
-    return rows.repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "ahead", "k", "text").select("part", "ahead", "id", "text")
+    def part(k: pd.Series, h: pd.Series) -> pd.Series:
+        bound = np.arange(len(cut_k) + len(k)) < len(cut_k)
+        order = np.lexsort((~bound, np.concatenate([cut_h, h.to_numpy()]), np.concatenate([cut_k, k.to_numpy()])))
+        passed = np.empty(len(order), np.int64)
+        passed[order] = np.cumsum(bound[order])
+        return pd.Series(passed[len(cut_k) :].astype("int32"))
+
+    first = keys.withColumn("part", part("k", "h")).groupBy("part").agg(F.min(F.struct("k", "h")).alias("z")).collect()
+    firsts = sorted((r["part"], r["z"]["k"], r["z"]["h"]) for r in first)
+    before = spark.createDataFrame([(k, h, firsts[i - 1][0]) for i, (_, k, h) in enumerate(firsts)], "k long, h long, part int")
+    follow = own.join(F.broadcast(before), ["k", "h"]).groupBy("k", "h", "part").agg(F.min("id").alias("id"), F.min("text").alias("text"))
+    dealt = own.withColumn("part", part("k", "h")).select("part", F.lit(0).alias("ahead"), "k", "h", "id", "text")
+    both = dealt.unionByName(follow.select("part", F.lit(1).alias("ahead"), "k", "h", "id", "text"))
+    return both.repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "ahead", "k", "h", "text").select("part", "ahead", "id", "text")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,9 +176,9 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for b in batches:
-        for lo in range(0, b.num_rows, 256):
-            held += zip(*(b.column(i).slice(lo, 256).to_pylist() for i in range(4)), strict=True)
-            if len(held) > 256:
+        for lo, hi, _, _ in W.pieces(b.column(3)):
+            held += zip(*(b.column(i).slice(lo, hi - lo).to_pylist() for i in range(4)), strict=True)
+            if len(held) > 1:
                 yield done(held[:-1], held[-1])
                 held = held[-1:]
     if held:
@@ -152,10 +189,10 @@ def edited_fingerprints(docs: DataFrame, key: str, text: str, ranges: int | None
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, in_next) of every row.
 
     The edited text has the last floor(n_chars / 4) code points replaced by the first as many (or all) of the next row
-    in order of (key, text); after the last comes the first. ``near_*`` are likenesses of fingerprints; ``in_next`` is
+    in order of (key, hash of the text, text); after the last comes the first. ``near_*`` are likenesses of fingerprints; ``in_next`` is
     the share of a document's fingerprint that the next one contains. Null text is empty, a null key comes first, a
-    lone row is its own successor, an empty table gives an empty result.
+    lone row is its own successor, an empty table gives an empty result; keys are integers; other columns are not looked at. Rows with one key and one
+    text are not split over tasks.
     """
-    n = ranges or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2)
     kind = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, in_next double"
-    return map_arrow(with_next(docs, key, text, n), _pairs, kind).withColumnRenamed("id", key)
+    return map_arrow(with_next(docs, key, text, ranges), _pairs, kind).withColumnRenamed("id", key)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from residua.llm import words as W
 from residua.ship import map_arrow
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -17,8 +19,9 @@ DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A leaf ends at the first safe cut after so many characters.
 LEAF_CHARS = 256
-#: A pre-token always ends between a visible character and a blank that a letter follows, whatever stands around.
-SAFE_CUT = regex.compile(r"(?<=\S) (?=\p{L})")
+#: A pre-token always ends between a visible character and a blank that a letter follows, and between a mark that is no apostrophe and a letter, whatever
+#: stands around.
+SAFE_CUT = regex.compile(r"(?<=\S) (?=\p{L})|(?<=[^\s\p{L}\p{N}'])(?=\p{L})")
 _ENCODERS: dict[bytes, object] = {}
 
 
@@ -26,7 +29,7 @@ def encoder(ranks: bytes):
     """The tokenizer of a vocabulary file's bytes, built once in each process."""
     import tiktoken
 
-    key = ranks[:64] + str(len(ranks)).encode()
+    key = hashlib.sha256(ranks).digest()
     if key not in _ENCODERS:
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         _ENCODERS[key] = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
@@ -34,7 +37,8 @@ def encoder(ranks: bytes):
 
 
 def leaves(text: str, size: int = LEAF_CHARS) -> list[str]:
-    """The text in groups of whole pre-tokens; encoding them one by one gives the tokens of the whole."""
+    """The text in groups of whole pre-tokens; encoding them one by one gives the tokens of the whole. A stretch without a safe cut, such as letters without
+    blanks or marks, is one group however long it is."""
     out, at = [], 0
     while len(text) - at > size:
         cut = SAFE_CUT.search(text, at + size)
@@ -81,7 +85,9 @@ def apply_edit(text: str, chars: list[int], tokens: list[int], start: int, stop:
     """The edited text; both trees are brought up to date. Also how many characters were encoded again.
 
     Only the leaves that the edit touches are encoded, together with a neighbour whose cut stands within two
-    characters of the edit, since a cut depends on the visible character before it and the letter after its blank.
+    characters of the edit, since a cut depends on the visible character before it and the letter after its blank. What comes of them
+    fills their places again, leaf by leaf; where it needs more places than there are and would make one leaf four times as long as usual, new leaves are put
+    in and the sums are added up anew, without encoding anything else.
     """
     n = len(text)
     start = min(max(start, 0), n)
@@ -94,11 +100,19 @@ def apply_edit(text: str, chars: list[int], tokens: list[int], start: int, stop:
         last, last_begin = find(chars, min(n - 1, stop + 1))
         end = last_begin + chars[len(chars) // 2 + last]
     region = changed[begin : end + len(new) - (stop - start)]
-    update(chars, first, len(region))
-    update(tokens, first, sum(count(x) for x in leaves(region)))
-    for leaf in range(first + 1, last + 1):
-        update(chars, leaf, 0)
-        update(tokens, leaf, 0)
+    parts = leaves(region)
+    places = last + 1 - first
+    own = [(len(x), count(x)) for x in parts] + [(0, 0)] * (places - len(parts))
+    rest = own[places - 1 :]
+    if len(own) <= places or sum(x for x, _ in rest) <= 4 * LEAF_CHARS:
+        own = [*own[: places - 1], (sum(x for x, _ in rest), sum(t for _, t in rest))]
+        for i, (x, t) in enumerate(own):
+            update(chars, first + i, x)
+            update(tokens, first + i, t)
+    else:
+        for tree, part in ((chars, 0), (tokens, 1)):
+            width = len(tree) // 2
+            tree[:] = sums([*tree[width : width + first], *[x[part] for x in own], *tree[width + last + 1 :]])
     return changed, len(region)
 
 
@@ -106,8 +120,8 @@ def _build(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks.value).encode_ordinary
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for lo, hi, _, _ in W.pieces(b.column(0)):
+                part = b.slice(lo, hi - lo)
                 chars, tokens = [], []
                 for text in part.column(0).to_pylist():
                     own = leaves(text or "")
@@ -123,8 +137,8 @@ def _edit(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks.value).encode_ordinary
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                rows = b.slice(lo, 256).to_pylist()
+            for lo, hi, _, _ in W.pieces(b.column(0)):
+                rows = b.slice(lo, hi - lo).to_pylist()
                 for r in rows:
                     text, again, r["tokens_before"] = r["text"] or "", 0, r["token_tree"][1]
                     for e in r["edits"] or []:
@@ -148,7 +162,8 @@ TREES = "char_tree array<int>, token_tree array<int>"
 
 def build_trees(docs: DataFrame, key: str, text: str, ranks_path: str = DEFAULT_RANKS) -> DataFrame:
     """(text, key, char_tree, token_tree): for each row the segment trees of characters and tokens over its leaves; their
-    second entry is the document's total. The vocabulary file is read on the driver and broadcast. Null text is empty."""
+    second entry is the document's total. The vocabulary file is read on the driver and broadcast. Null text is empty; keys are integers or null; other
+    columns are dropped; repeated rows are each built; an empty table gives none."""
     own = docs.select(F.col(text).alias("text"), F.col(key).cast("long").alias("key"))
     return map_arrow(own, _build(_ranks(docs.sparkSession, ranks_path)), f"text string, key long, {TREES}").withColumnRenamed("key", key)
 

@@ -43,7 +43,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     that a rule or url that very many rows share can be split over tasks; urls without a host take no part in them. Null and odd urls
     get empty parts, no rule and the default verdict; repeated urls are
     judged once; an empty table of pages or rules works. Columns ``host``, ``path``, ``rule`` and ``verdict`` of
-    ``pages`` are replaced; its other columns may have any name that does not begin with an underscore.
+    ``pages`` are replaced; its other columns may have any name.
     """
     pages = pages.drop("host", "path", "rule", "verdict")
     known = written(prepared_rules(rules), "rules")

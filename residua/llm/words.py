@@ -22,6 +22,13 @@ SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
+def free_prefix(columns: list[str], prefix: str = "_") -> str:
+    """``prefix``, made longer until no column's name begins with it."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> _U(30))
