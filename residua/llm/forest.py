@@ -166,13 +166,13 @@ def _apart(crowded: DataFrame, comps: DataFrame, texts: DataFrame, size: int, pe
 def _with_parts(rows: DataFrame, total: int) -> DataFrame:
     """``rows`` with ``n``, the rows of their region if those are more than one task should order, else null, and ``part``, the part of it that each row stands in.
 
-    The limit rises with ``total``, the number of all rows, so that at most ``LISTED`` regions can be above it, which bounds what is broadcast.
+    Each tree deals its rows anew, so that the parts of one tree meet in others. The limit rises with ``total``, the number of all rows, so that at most ``LISTED`` regions can be above it, which bounds what is broadcast.
     """
     limit = max(REGION, -(-total // LISTED))
     large = written(rows.groupBy("tree", "k").agg(F.count("*").alias("n")).where(F.col("n") > limit), "large")
     large = large.select(F.col("tree").alias("_tree"), F.col("k").alias("_k"), "n")
     both = rows.join(F.broadcast(large), (F.col("tree") == F.col("_tree")) & (F.col("k") == F.col("_k")), "left").drop("_tree", "_k")
-    return both.withColumn("part", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / limit))).cast("int"))
+    return both.withColumn("part", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("n") / limit))).cast("int"))
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 2, percent: int = 80) -> DataFrame:
