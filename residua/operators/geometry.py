@@ -2,47 +2,77 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from residua.functions.expressions import is_hydrogen
 from residua.operators.position import distance
+from residua.scratch import written
+
+
+#: Entities of up to so many points are joined with themselves; larger ones meet through a grid.
+WHOLE_ENTITY = 512
+
+
+def _first_cell(sized: DataFrame, k: int, min_sep: int) -> tuple[float, float]:
+    """(side of a cell that holds about as many points as a search needs in the median entity, largest extent of any entity)."""
+    wide = [F.greatest(F.col(f"w{i}"), F.lit(1e-9)) for i in range(3)]
+    side = F.pow(wide[0] * wide[1] * wide[2] * (k + 2 * min_sep) / F.col("n"), F.lit(1 / 3))
+    found = sized.agg(F.percentile_approx(side, 0.5).alias("side"), F.max(F.greatest("w0", "w1", "w2")).alias("most")).first()
+    return max(found["side"] or 0.0, (found["most"] or 1.0) / 1024, 1e-6), found["most"] or 0.0
 
 
 def spatial_knn(df: DataFrame, entity: str, pos: str, xyz: list[str], k: int = 5, min_sep: int = 4, cell: float | None = None) -> DataFrame:
     """(entity, pos, slot, neighbour, dist, seq_sep): the k nearest points of the same entity at least ``min_sep``
     positions away; the smaller position on ties, slots from 0.
 
-    Entities are joined with themselves by equality, and the rank limit prunes before the sort is shuffled. For very
-    large entities give ``cell``: points then meet only points of the 27 cells around theirs; if fewer than k of them lie within
-    ``cell``, nearer ones may stand outside, so those rows alone are ranked against the whole entity.
+    Entities of up to ``WHOLE_ENTITY`` points are joined with themselves by equality, and the rank limit prunes before the sort is shuffled. The points of
+    larger ones (of all, if ``cell`` is given) meet only points of the 27 cells around theirs. Rows with k neighbours within a cell's side are done, since
+    none nearer stands outside; the rest try cells twice as wide, until the widest reach over the whole entity. The first
+    side comes from the entities' own density.
     """
-    a = df.select(entity, F.col(pos).alias("pos"), *[F.col(c).cast("double").alias(f"a{i}") for i, c in enumerate(xyz)]).where(" and ".join(["pos is not null", *[f"a{i} is not null" for i in range(len(xyz))]]))
-    b = a.select(entity, F.col("pos").alias("neighbour"), *[F.col(f"a{i}").alias(f"b{i}") for i in range(len(xyz))])
-    d = distance([F.col(f"a{i}") for i in range(len(xyz))], [F.col(f"b{i}") for i in range(len(xyz))])
+    a = df.select(entity, F.col(pos).alias("pos"), *[F.col(c).cast("double").alias(f"a{i}") for i, c in enumerate(xyz)]).where(" and ".join(["pos is not null", *[f"a{i} is not null" for i in range(3)]]))
+    d = distance([F.col(f"a{i}") for i in range(3)], [F.col(f"b{i}") for i in range(3)])
+
+    def others(points: DataFrame) -> DataFrame:
+        return points.select(entity, F.col("pos").alias("neighbour"), *[F.col(f"a{i}").alias(f"b{i}") for i in range(3)])
 
     def ranked(pairs: DataFrame) -> DataFrame:
         far = pairs.where(F.abs(F.col("pos") - F.col("neighbour")) >= min_sep).withColumn("dist", d)
         w = Window.partitionBy(entity, "pos").orderBy("dist", "neighbour")
-        return far.withColumn("slot", F.row_number().over(w) - 1).where(F.col("slot") < k)
-
-    def shaped(rows: DataFrame) -> DataFrame:
+        rows = far.withColumn("slot", F.row_number().over(w) - 1).where(F.col("slot") < k)
         return rows.select(entity, "pos", "slot", "neighbour", "dist", (F.col("neighbour") - F.col("pos")).alias("seq_sep"))
 
-    if cell is None:
-        return shaped(ranked(a.join(b, entity)))
-    at = lambda p: [F.floor(F.col(f"{p}{i}") / cell).cast("long") for i in range(len(xyz))]
+    sizes = written(a.groupBy(entity).agg(F.count("*").alias("n"), *[(F.max(f"a{i}") - F.min(f"a{i}")).alias(f"w{i}") for i in range(3)]), "sizes")
+    large = sizes if cell is not None else sizes.where(F.col("n") > WHOLE_ENTITY)
+    if not large.take(1):
+        return ranked(a.join(others(a).hint("merge"), entity))
+    a = written(a.join(sizes.select(entity, "n").hint("merge"), entity), "points")
+    small, rest = (a.limit(0), a) if cell is not None else (a.where(F.col("n") <= WHOLE_ENTITY), a.where(F.col("n") > WHOLE_ENTITY))
+    parts = [ranked(small.join(others(small).hint("merge"), entity))]
+    side, most = _first_cell(large, k, min_sep)
+    side, every = cell or side, others(rest)
     steps = F.array(*[F.lit(s) for s in (-1, 0, 1)])
-    near = a
-    for i, c in enumerate(at("a")):
-        near = near.withColumn("__s", F.explode(steps)).withColumn(f"g{i}", c + F.col("__s")).drop("__s")
-    cells = b.select("*", *[c.alias(f"g{i}") for i, c in enumerate(at("b"))])
-    close = ranked(near.join(cells.hint("shuffle_hash"), [entity, *[f"g{i}" for i in range(len(xyz))]])).where(F.col("dist") <= cell)
-    full = close.groupBy(entity, "pos").agg(F.count("*").alias("__n")).where(F.col("__n") == k).select(entity, "pos")
-    sure = close.join(full, [entity, "pos"], "left_semi")
-    rest = a.join(full, [entity, "pos"], "left_anti")
-    return shaped(sure).unionByName(shaped(ranked(rest.join(b, entity))))
+    cells = [f"g{i}" for i in range(3)]
+    while True:
+        at = lambda p: [F.floor(F.col(f"{p}{i}") / side).cast("long") for i in range(3)]  # noqa: E731,B023
+        near = rest
+        for g, c in zip(cells, at("a"), strict=True):
+            near = near.withColumn("__s", F.explode(steps)).withColumn(g, c + F.col("__s")).drop("__s")
+        placed = every.select("*", *[c.alias(g) for g, c in zip(cells, at("b"), strict=True)])
+        close = ranked(near.join(placed.hint("merge"), [entity, *cells]))
+        if side >= most:
+            return reduce(DataFrame.unionByName, [*parts, close])
+        close = written(close.where(F.col("dist") <= side), "near")
+        full = written(close.groupBy(entity, "pos").agg(F.count("*").alias("__n")).where(F.col("__n") == k).select(entity, "pos"), "full")
+        parts.append(close.join(full.hint("merge"), [entity, "pos"], "left_semi"))
+        rest = written(rest.join(full.hint("merge"), [entity, "pos"], "left_anti"), "rest")
+        if not rest.take(1):
+            return reduce(DataFrame.unionByName, parts)
+        side *= 2
 
 
 def _pair_distance(x: Column, y: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from residua.functions import constants as C
+from residua.operators.ranking import order_statistics
+from residua.scratch import written
+
 
 def _squares(y: str, p: str) -> list[Column]:
     e = F.col(p) - F.col(y)
@@ -28,16 +32,19 @@ def metrics(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
 
 
 def metrics_overall(df: DataFrame, y: str, p: str) -> DataFrame:
-    """One row: MAE, RMSE, median and 95th percentile of the absolute error, n; zeros without any pair."""
-    e = F.abs(F.col(p) - F.col(y))
+    """One row: MAE, RMSE, median and 95th percentile of the absolute error, n; zeros without any pair. The percentiles are exact and come from ranges."""
+    e = written(df.select(F.abs(F.col(p) - F.col(y)).cast("double").alias("e")).where("e is not null"), "errors")
     zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
-    return df.agg(zero(F.avg(e), "mae"), zero(F.sqrt(F.avg(e * e)), "rmse"), zero(F.percentile(e, 0.5), "median"), zero(F.percentile(e, 0.95), "p95"), F.count(e).alias("n"))
+    sums = e.agg(F.avg("e").alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.count("e").alias("n"))
+    both = sums.crossJoin(F.broadcast(order_statistics(e, "e", {"median": 0.5, "p95": 0.95})))
+    return both.select(zero(F.col("mae"), "mae"), zero(F.col("rmse"), "rmse"), zero(F.col("median"), "median"), zero(F.col("p95"), "p95"), "n")
 
 
 def metrics_by_entity(df: DataFrame, y: str, p: str, entity: str) -> DataFrame:
     """One row: the distribution of the entities' mean absolute errors."""
-    per = metrics(df, y, p, [entity])
-    return per.agg(F.count("*").alias("n_entities"), F.avg("mae").alias("mean"), F.percentile("mae", 0.5).alias("median"), F.stddev_pop("mae").alias("std"), F.min("mae").alias("best"), F.max("mae").alias("worst"))
+    per = written(metrics(df, y, p, [entity]).select("mae"), "errors")
+    sums = per.agg(F.count("*").alias("n_entities"), F.avg("mae").alias("mean"), F.stddev_pop("mae").alias("std"), F.min("mae").alias("best"), F.max("mae").alias("worst"))
+    return sums.crossJoin(F.broadcast(order_statistics(per, "mae", {"median": 0.5}))).select("n_entities", "mean", "median", "std", "best", "worst")
 
 
 def baselines(df: DataFrame, stats: DataFrame, base: DataFrame, kind: str, y: str, group: str) -> DataFrame:
@@ -73,19 +80,27 @@ def huber(df: DataFrame, y: str, p: str, weight: Column, delta: float = 0.5) ->
     return df.agg(F.coalesce(F.avg(F.when(~F.isnan(e), huber_of(e, delta) * weight)), F.lit(0.0)).alias("loss"), F.count(e).alias("n"))
 
 
-def swap_huber(df: DataFrame, key: list[str], kind: str, y: str, p: str, groups: DataFrame, pairs: DataFrame, delta: float = 0.5) -> DataFrame:
+def swap_huber(df: DataFrame, key: list[str], kind: str, y: str, p: str, groups: DataFrame, pairs: DataFrame, delta: float = 0.5, residue: str | None = None, present: list[str] | None = None) -> DataFrame:
     """One row: Huber loss with equivalent kinds sharing one weight and swappable pairs scored by the better assignment.
 
-    ``groups`` is (kind, grp): a row's observed members of a group weigh 1 / N for N of 2 or more. ``pairs`` is (kind, other):
-    where both are observed, each takes half the smaller of the direct and the swapped sum.
+    ``groups`` is (kind, grp): the members of a group weigh 1 / N for N of 2 or more, where N counts those that the row has observed, or, if ``present`` lists
+    the kinds that are predicted, those among them. ``pairs`` is (kind, other): where both are observed, each takes half the smaller of the direct
+    and the swapped sum. With ``residue``, a column of ``df``, both tables are (residue, kind, ...) and hold for that residue alone: what is equivalent
+    in one need not be in another. A kind that stands in several groups or pairs of a residue counts in the first by name.
     """
+    own = [residue] if residue else []
+    grp = groups.groupBy(*own, kind).agg(F.min("grp").alias("grp"))
+    both = pairs.select(*own, kind, "other").unionByName(pairs.select(*own, F.col("other").alias(kind), F.col(kind).alias("other"))).groupBy(*own, kind).agg(F.min("other").alias("other"))
     seen = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
-    w = seen.join(groups, kind, "left")
-    n = F.count("*").over(Window.partitionBy(*key, "grp"))
+    w = seen.join(grp, [*own, kind], "left")
+    if present is None:
+        n = F.count("*").over(Window.partitionBy(*key, "grp"))
+    else:
+        sizes = grp.where(F.col(kind).isin(present)).groupBy(*own, "grp").agg(F.count("*").alias("__n"))
+        w, n = w.join(sizes, [*own, "grp"], "left"), F.coalesce(F.col("__n"), F.lit(1))
     w = w.withColumn("weight", F.when(F.col("grp").isNotNull(), 1.0 / n).otherwise(1.0))
-    both = pairs.select(kind, "other", F.lit(True).alias("lead")).unionByName(pairs.select(F.col("other").alias(kind), F.col(kind).alias("other"), F.lit(False).alias("lead")))
     mate = seen.select(*key, F.col(kind).alias("other"), F.col(y).alias("__y"), F.col(p).alias("__p"))
-    w = w.join(both, kind, "left").join(mate, [*key, "other"], "left")
+    w = w.join(both, [*own, kind], "left").join(mate, [*key, "other"], "left")
     direct = huber_of(F.col(p) - F.col(y), delta)
     swapped = huber_of(F.col(p) - F.col("__y"), delta) + huber_of(F.col("__p") - F.col(y), delta)
     straight = direct + huber_of(F.col("__p") - F.col("__y"), delta)
@@ -93,10 +108,19 @@ def swap_huber(df: DataFrame, key: list[str], kind: str, y: str, p: str, groups:
     return w.agg(F.coalesce(F.avg(loss * F.col("weight")), F.lit(0.0)).alias("loss"), F.count("*").alias("n"))
 
 
+def loss_tables(spark: SparkSession, kind: str = "kind", residue: str = "residue") -> tuple[DataFrame, DataFrame]:
+    """(groups, pairs) of the fixed values: (residue, kind, grp) and (residue, kind, other)."""
+    groups = [(r, a, g) for r, gs in C.EQUIVALENT.items() for g in gs for a in g.split()]
+    pairs = [(r, *x.split()) for r, xs in C.SWAPPABLE.items() for x in xs]
+    return spark.createDataFrame(groups, f"{residue} string, {kind} string, grp string"), spark.createDataFrame(pairs, f"{residue} string, {kind} string, other string")
+
+
 def cap_stats(df: DataFrame, count: str, cap: int) -> DataFrame:
     """One row on the counts above 0: mean, median, 95th and 99th percentile, maximum, share at the cap."""
     c = F.col(count)
-    return df.where(c > 0).agg(F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("median"), F.percentile(c, 0.95).alias("p95"), F.percentile(c, 0.99).alias("p99"), F.max(c).alias("most"), F.avg((c >= cap).cast("double")).alias("at_cap"))
+    own = written(df.where(c > 0).select(count), "counts")
+    sums = own.agg(F.avg(c).alias("mean"), F.max(c).alias("most"), F.avg((c >= cap).cast("double")).alias("at_cap"))
+    return sums.crossJoin(F.broadcast(order_statistics(own, count, {"median": 0.5, "p95": 0.95, "p99": 0.99}))).select("mean", "median", "p95", "p99", "most", "at_cap")
 
 
 def error_histogram(df: DataFrame, error: str, low: float, high: float, bins: int = 50) -> DataFrame:
@@ -110,8 +134,10 @@ def error_histogram(df: DataFrame, error: str, low: float, high: float, bins: in
 
 
 def percentile_ladder(df: DataFrame, error: str, steps: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
-    values = F.percentile(F.abs(F.col(error)), F.array(*[F.lit(s) for s in steps]))
-    return df.agg(values.alias("v")).select(F.posexplode("v").alias("i", "value")).select(F.element_at(F.array(*[F.lit(s) for s in steps]), F.col("i") + 1).alias("q"), "value")
+    """(q, value): exact percentiles of the absolute errors."""
+    e = written(df.select(F.abs(F.col(error)).alias("e")), "errors")
+    found = order_statistics(e, "e", {f"p{i}": s for i, s in enumerate(steps)})
+    return found.select(F.explode(F.array(*[F.struct(F.lit(s).alias("q"), F.col(f"p{i}").alias("value")) for i, s in enumerate(steps)])).alias("z")).select("z.q", "z.value")
 
 
 def correlation(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:

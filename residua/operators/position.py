@@ -22,7 +22,7 @@ def window_context(df: DataFrame, entity: str, pos: str, cols: list[str], w: int
 def neighbour_gather(df: DataFrame, neighbours: DataFrame, entity: str, pos: str, cols: list[str]) -> DataFrame:
     """(entity, pos, slot, neighbour, cols, valid): neighbours' columns by equality on (entity, position)."""
     src = df.select(entity, F.col(pos).alias("neighbour"), *cols, F.lit(True).alias("valid"))
-    return neighbours.join(src, [entity, "neighbour"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+    return neighbours.join(src.hint("merge"), [entity, "neighbour"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
 
 
 def adjacent(df: DataFrame, entity: str, pos: str, expr, mode: str = "true") -> DataFrame:
@@ -84,15 +84,22 @@ def loo_split(df: DataFrame, fold: str, k: int, folds: tuple[int, ...] = (1, 2,
     return df.where(F.col(fold).isin(list(folds))).withColumn("part", F.when(F.col(fold) == k, "test").otherwise("train"))
 
 
-def impute_samples(df: DataFrame, entity: str, pos: str, cols: list[str], w: int = 5) -> DataFrame:
-    """One row for each observed target: (entity, pos, nucleus, target, context).
+def impute_samples(df: DataFrame, entity: str, pos: str, cols: list[str], w: int = 5, neighbours: DataFrame | None = None) -> DataFrame:
+    """One row for each observed target: (entity, pos, nucleus, target, context) and, with ``neighbours`` (entity, pos, slot, neighbour), ``near``.
 
-    The context has every target of the rows around, but the sample's own target is hidden at offset 0. The window is
-    computed once for each row, before the targets are unpivoted.
+    The context has every target of the rows around, but the sample's own target is hidden at offset 0. ``near`` has the spatial neighbours in the order of their
+    slots, with all their targets unmasked and whether they exist; null for positions without neighbours. The window and the neighbours are
+    gathered once for each row, before the targets are unpivoted.
     """
-    ctx = window_context(df.select(entity, pos, *cols), entity, pos, cols, w)
+    own = df.select(entity, pos, *cols)
+    ctx = window_context(own, entity, pos, cols, w)
+    extra = []
+    if neighbours is not None:
+        met = neighbour_gather(own, neighbours.select(entity, F.col("pos").alias(pos), "slot", "neighbour"), entity, pos, cols)
+        near = met.groupBy(entity, pos).agg(F.array_sort(F.collect_list(F.struct("slot", "neighbour", *cols, "valid"))).alias("near"))
+        ctx, extra = ctx.join(near.hint("merge"), [entity, pos], "left"), ["near"]
     cells = F.array(*[F.struct(F.lit(c).alias("nucleus"), F.col(c).alias("target")) for c in cols])
-    rows = ctx.select(entity, pos, "context", F.explode(F.filter(cells, lambda z: z["target"].isNotNull())).alias("z")).select(entity, pos, "context", "z.nucleus", "z.target")
+    rows = ctx.select(entity, pos, "context", *extra, F.explode(F.filter(cells, lambda z: z["target"].isNotNull())).alias("z")).select(entity, pos, "context", *extra, "z.nucleus", "z.target")
     nucleus = F.col("nucleus")
     hidden = F.transform("context", lambda z: F.struct(z["offset"].alias("offset"), *[F.when((z["offset"] == 0) & (nucleus == c), None).otherwise(z[c]).alias(c) for c in cols]))
     return rows.withColumn("context", hidden)

@@ -42,27 +42,35 @@ def lookup_with_fallback(wanted: DataFrame, first: DataFrame, second: DataFrame,
 def resolve_by_priority(wanted: DataFrame, listing: DataFrame, key: str, candidates: list[Column], name: str = "name") -> DataFrame:
     """The first candidate name, in order, that the listing has for each wanted row; null if none. ``listing`` is (name, path)."""
     tried = wanted.select(key, F.posexplode(F.array(*candidates)).alias("__rank", name))
-    found = tried.join(listing.select(name, "path"), name).groupBy(key).agg(F.min_by("path", F.struct("__rank", "path")).alias("path"), F.min("__rank").alias("rank"))
-    return wanted.join(found, key, "left")
+    found = tried.join(listing.select(name, "path").hint("merge"), name).groupBy(key).agg(F.min_by("path", F.struct("__rank", "path")).alias("path"), F.min("__rank").alias("rank"))
+    return wanted.join(found.hint("merge"), key, "left")
 
 
 def fallback_join(left: DataFrame, right: DataFrame, variants: list[tuple[Column, str]], right_key: str, value: str) -> DataFrame:
     """``left`` with the value of the first key variant that ``right`` has; right keys are unique. Variants are (key, label)."""
     rows = left.withColumn("__id", F.struct(*left.columns))
     tried = rows.select("__id", F.posexplode(F.array(*[k for k, _ in variants])).alias("__rank", right_key)).distinct()
-    best = tried.join(right.select(right_key, value), right_key).groupBy("__id").agg(F.min_by(value, "__rank").alias(value))
-    return rows.join(best, "__id", "left").select(*left.columns, value)
+    best = tried.join(right.select(right_key, value).hint("merge"), right_key).groupBy("__id").agg(F.min_by(value, "__rank").alias(value))
+    return rows.join(best.hint("merge"), "__id", "left").select(*left.columns, value)
 
 
-def mapped_join(mapping: DataFrame, targets: DataFrame, structure: DataFrame, entity: str, code: str = "code", known: list[str] | None = None) -> DataFrame:
+def mapped_join(mapping: DataFrame, targets: DataFrame, structure: DataFrame, entity: str, code: str = "code", known: list[str] | None = None, report: DataFrame | None = None, neighbours: DataFrame | None = None) -> DataFrame:
     """Mapping rows (entity, struct_id, target_id, kind) with target and structure columns by position.
 
     The code is the target's, else the structure's if it is a known one, else UNK; the position is the structure's, else the
-    target's. A target id that the targets lack drops the row. All joins are on (entity, position) equality.
+    target's. A target id that the targets lack drops the row. ``report`` (entity, pos, ...) and ``neighbours`` (entity, pos, slot, ...) hang on the
+    structure's position too: the report's columns as they are, the neighbours as an array ``spatial`` in the order of their slots;
+    null where the row has no structure or they lack it. All joins are on (entity, position) equality.
     """
     t = targets.withColumnRenamed("pos", "target_id").withColumnRenamed(code, "__t").withColumn("__has", F.lit(True))
     s = structure.withColumnRenamed("pos", "struct_id").withColumnRenamed(code, "__s")
     out = mapping.join(t, [entity, "target_id"], "left").where("target_id is null or __has").drop("__has").join(s, [entity, "struct_id"], "left")
+    if report is not None:
+        out = out.join(report.withColumnRenamed("pos", "struct_id").hint("merge"), [entity, "struct_id"], "left")
+    if neighbours is not None:
+        each = F.struct("slot", *[c for c in neighbours.columns if c not in (entity, "pos", "slot")])
+        near = neighbours.groupBy(entity, F.col("pos").alias("struct_id")).agg(F.array_sort(F.collect_list(each)).alias("spatial"))
+        out = out.join(near.hint("merge"), [entity, "struct_id"], "left")
     ok = F.when(F.col("__s").isin(known), F.col("__s")) if known is not None else F.col("__s")
     return out.withColumn(code, F.coalesce("__t", ok, F.lit("UNK"))).withColumn("pos", F.coalesce("struct_id", "target_id")).drop("__t", "__s")
 

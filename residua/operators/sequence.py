@@ -122,11 +122,11 @@ def best_conformer(points: DataFrame, entry: str, model: str, pos: str, xyz: lis
     shipped(points.sparkSession)
     p = points.select(entry, F.col(model).alias("m"), F.col(pos).alias("p"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(xyz)])
     first = p.groupBy(entry).agg(F.min("m").alias("m1"), F.count_distinct("m").alias("k"))
-    common = p.join(first, entry).groupBy(entry, "p").agg(F.count_distinct("m").alias("n"), F.first("k").alias("k"), F.first("m1").alias("m1")).where("n = k")
+    common = p.join(first.hint("merge"), entry).groupBy(entry, "p").agg(F.count_distinct("m").alias("n"), F.first("k").alias("k"), F.first("m1").alias("m1")).where("n = k")
     enough = common.groupBy(entry).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    used = p.join(common.select(entry, "p", "m1"), [entry, "p"]).join(enough, entry, "left_semi")
+    used = p.join(common.select(entry, "p", "m1").hint("merge"), [entry, "p"]).join(enough.hint("merge"), entry, "left_semi")
     base = used.where("m = m1").select(entry, "p", *[F.col(f"c{i}").alias(f"t{i}") for i in range(3)])
-    both = used.join(base, [entry, "p"])
+    both = used.join(base.hint("merge"), [entry, "p"])
 
     def move(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("p")
@@ -137,9 +137,9 @@ def best_conformer(points: DataFrame, entry: str, model: str, pos: str, xyz: lis
     laid = both.groupBy(entry, "m").applyInPandas(move, f"`{entry}` {kinds[entry]}, m {kinds['m']}, p {kinds['p']}, x double, y double, z double")
     middle = laid.groupBy(entry, "p").agg(*[F.percentile(c, 0.5).alias(f"q{c}") for c in "xyz"])
     off = sum(((F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in "yz"), (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")))
-    rmsd = laid.join(middle, [entry, "p"]).groupBy(entry, "m").agg(F.sqrt(F.avg(off)).alias("rmsd"))
+    rmsd = laid.join(middle.hint("merge"), [entry, "p"]).groupBy(entry, "m").agg(F.sqrt(F.avg(off)).alias("rmsd"))
     best = rmsd.groupBy(entry).agg(F.min_by("m", F.struct(F.round("rmsd", 9), "m")).alias("b"), F.min("rmsd").alias("rmsd"))
-    return first.join(best, entry, "left").select(entry, F.coalesce("b", "m1").alias(model), "rmsd")
+    return first.join(best.hint("merge"), entry, "left").select(entry, F.coalesce("b", "m1").alias(model), "rmsd")
 
 
 def near_duplicates(df: DataFrame, key: str, text: Column, size: int = 3, threshold: float = 0.9, coverage: float = 0.8, mode: str = "both") -> DataFrame:
@@ -157,8 +157,8 @@ def near_duplicates(df: DataFrame, key: str, text: Column, size: int = 3, thresh
     # written once, before any filter: the sets are read by every step below, and a predicate on them that was pushed
     # under the projection would compute the tokens anew for every shingle
     sets = written(hashed.select("id", F.array_sort(F.array_distinct(grams)).alias("s")), "sets")
-    classes = written(sets.where("size(s) > 0").groupBy("s").agg(F.min("id").alias("rep"), F.collect_list("id").alias("ids")), "classes")
-    same = classes.select("rep", F.size("s").alias("n"), F.explode("ids").alias("b")).where("b <> rep").select(F.col("rep").alias("a"), "b", F.col("n").alias("common"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
+    classes = written(sets.where("size(s) > 0").groupBy("s").agg(F.min("id").alias("rep")), "classes")
+    same = sets.select(F.col("id").alias("b"), "s").join(classes.hint("merge"), "s").where("b <> rep").select(F.col("rep").alias("a"), "b", F.size("s").alias("common"), F.size("s").alias("n_a"), F.size("s").alias("n_b"))
     reps = classes.select(F.col("rep").alias("id"), "s", F.size("s").alias("n"))
     flat = written(reps.select("id", "n", F.explode("s").alias("g")), "shingles")
     seen = flat.groupBy("g").agg(F.count("*").alias("f"))

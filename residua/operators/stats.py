@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from residua.functions import constants as C
+
 
 def unpivot(df: DataFrame, ids: list[str], cols: list[str], name: str = "col", value: str = "value") -> DataFrame:
     return df.unpivot(ids, cols, name, value)
@@ -114,3 +116,32 @@ def transfer_correct(df: DataFrame, base: DataFrame, source: str, target: str, a
 def secondary_shift(df: DataFrame, base: DataFrame, residue: str, atom: str, value: str, out: str = "secondary") -> DataFrame:
     b = base.select(F.col("residue").alias(residue), F.col("atom").alias(atom), F.col("shift").alias("__b"))
     return df.join(b, [residue, atom], "left").withColumn(out, F.col(value) - F.col("__b")).drop("__b")
+
+
+def read_constants(spark: SparkSession, path: str) -> DataFrame:
+    """(residue, atom, center, scale) from CSV files with that header, names in upper case; rows without residue, atom or any number are left out. The first row
+    by its values stands where a residue and atom come twice."""
+    raw = spark.read.csv(path, header=True, schema="residue string, atom string, center double, scale double", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    rows = raw.select(F.upper("residue").alias("residue"), F.upper("atom").alias("atom"), "center", "scale").where("residue is not null and atom is not null and (center is not null or scale is not null)")
+    return rows.groupBy("residue", "atom").agg(F.min(F.struct("center", "scale")).alias("v")).select("residue", "atom", "v.center", "v.scale")
+
+
+def fixed_stats(stats: DataFrame, constants: DataFrame, base: DataFrame, residues: list[str], cols: list[str], marker: str, suffix: str = "_shift", floor: float = 0.1) -> DataFrame:
+    """``stats`` (scope, group, col, n, mean, std) with fixed values in place of the group rows, and a column ``normalization`` that says which.
+
+    A column's atom is its name without ``suffix``. Center: the base value (residue, atom, shift) if there is one, else that of ``constants`` (residue, atom,
+    center, scale), by the atom or the first of its pooled methyl names that the residue has. Scale: that of ``constants``. What is missing is the
+    column's global value, else 0 and 1; scales are ``floor`` at least. The fixed rows have no n. The global rows stay as they are.
+    """
+    spark = stats.sparkSession
+    wanted = [(r, c, atom) for r in residues for c in cols for atom in [c.removesuffix(suffix).upper()]]
+    known = spark.createDataFrame(wanted, "residue string, col string, atom string")
+    aliases = spark.createDataFrame([(a, m, i) for a, ms in C.METHYL_ALIASES.items() for i, m in enumerate(ms, 1)], "atom string, alias string, rank int")
+    found = lookup_first(known, constants, "residue", "atom", ["center", "scale"], aliases)
+    found = found.join(base.select("residue", "atom", "shift"), ["residue", "atom"], "left")
+    every = stats.where("scope = 'global'").select("col", F.col("mean").alias("__m"), F.col("std").alias("__s"))
+    found = found.join(every, "col", "left")
+    mean = F.coalesce("shift", "center", "__m", F.lit(0.0))
+    std = F.greatest(F.coalesce("scale", "__s", F.lit(1.0)), F.lit(floor))
+    rows = found.select(F.lit("group").alias("scope"), F.col("residue").alias("group"), "col", F.lit(None).cast("long").alias("n"), mean.alias("mean"), std.alias("std"))
+    return stats.where("scope = 'global'").select("scope", "group", "col", "n", "mean", "std").unionByName(rows).withColumn("normalization", F.lit(marker))

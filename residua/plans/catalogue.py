@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from residua.plans import geometry, measures, quality, reshape, sources, splits  # noqa: F401  (they register their queries)
+from residua.plans import features, geometry, measures, quality, reshape, sources, splits  # noqa: F401  (they register their queries)
 from residua.plans.registry import QUERIES, SQL
 
 

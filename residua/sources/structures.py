@@ -66,14 +66,14 @@ def list_chains(files: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, chain) of the first model's chains that have a name."""
     rows = atom_lines(files, key, text).select(key, "model", "chain").distinct()
     first = rows.groupBy(key).agg(F.min("model").alias("model"))
-    return rows.join(first, [key, "model"], "left_semi").where("chain <> ''").select(key, "chain").distinct()
+    return rows.join(first.hint("merge"), [key, "model"], "left_semi").where("chain <> ''").select(key, "chain").distinct()
 
 
 def ca_bfactors(files: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, chain, res_id, b_factor) of the CA atoms of the first model, ATOM lines only; the last line stands."""
     rows = atom_lines(files, key, text).where("is_atom and atom = 'CA' and b_factor is not null")
     first = rows.groupBy(key).agg(F.min("model").alias("model"))
-    return rows.join(first, [key, "model"], "left_semi").groupBy(key, "chain", "res_id").agg(F.max_by("b_factor", "line_no").alias("b_factor"))
+    return rows.join(first.hint("merge"), [key, "model"], "left_semi").groupBy(key, "chain", "res_id").agg(F.max_by("b_factor", "line_no").alias("b_factor"))
 
 
 #: Names and 0-based first columns of the four bonds of a report line, each index,energy in 11 characters.
