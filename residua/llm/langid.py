@@ -128,7 +128,9 @@ def fit(labelled: DataFrame, key: str, text: str, lang: str, families: dict[str,
     """A model from about ``per_language`` rows of each language, those with the least hash of the key.
 
     Languages are counted, so that the share that is read is known before any text is; features are made on the executors and
-    at most about ``per_language`` of them for each language come to the driver. None if there is no labelled row.
+    at most about ``per_language`` of them for each language come to the driver, where the classifiers are fitted; so the driver's share grows with the number
+    of languages, not of rows. Null texts and labels are left out, keys are integers or null, repeated rows are learned from as often as they are drawn. None if there
+    is no labelled row.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
@@ -151,13 +153,14 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], ["k", "lang", "x"])
 
 
-def predict(docs: DataFrame, text: str, model: Model | None) -> DataFrame:
-    """``docs`` with lang_pred and score; map-only over whole texts.
+def predict(docs: DataFrame, text: str, model: Model | None, tag: str = "") -> DataFrame:
+    """``docs`` with lang_pred and score, their names after ``tag``; map-only over whole texts.
 
     A null text or one without any letter is ``und`` with score 0, and so is everything if nothing could be learned.
     Columns of these names in ``docs`` are replaced; all others are passed on as they are.
     """
-    docs = docs.drop("lang_pred", "score")
+    names = [f"{tag}lang_pred", f"{tag}score"]
+    docs = docs.drop(*names)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +174,7 @@ def predict(docs: DataFrame, text: str, model: Model | None) -> DataFrame:
             known = has_letter(b.column(at)) if model is not None else np.zeros(b.num_rows, bool)
             score = np.where(known, np.concatenate(scores), 0.0) if scores else np.zeros(b.num_rows)
             named = [v if ok else UNKNOWN for v, ok in zip(langs or [UNKNOWN] * b.num_rows, known.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(named, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(named, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, *names])
 
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     return map_arrow(docs, run, schema)

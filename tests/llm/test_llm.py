@@ -231,6 +231,14 @@ def test_reply_trees(spark):
         assert r["loss"] == [x for role, x in want[k] if role == "assistant"]
         assert r["path_rank"] == 1 + sorted((-scores[j], j[1]) for j in scores if j[0] == k[0]).index((-scores[k], k[1]))
     assert chat.reply_paths(df.limit(0), "tree", "node", "parent", "score").count() == 0
+    # a very long text, and columns named like those used inside; a long chain of replies
+    odd = df.where("tree = 0").withColumns({"text": F.repeat(F.lit("[INST] long "), 50_000), **{c: F.lit("clash") for c in ("t", "n", "p", "w", "kt", "kn", "a", "up", "leaf", "formatted", "_turns", "turn")}})
+    best = chat.reply_paths(odd, "tree", "node", "parent", "score", top=1)
+    row = chat.format_paths(best, odd, "tree", "node", "role", "text").select(chat.parse_turns(F.col("formatted")).alias("turns")).first()
+    assert {z["text"] for z in row["turns"]} == {"[INST] long " * 50_000}
+    chain = spark.createDataFrame([(1, i, i - 1 if i else None, "user", str(i), 1.0) for i in range(300)], "tree long, node long, parent long, role string, text string, score double")
+    one = chat.format_paths(chat.reply_paths(chain, "tree", "node", "parent", "score"), chain, "tree", "node", "role", "text").select(chat.parse_turns(F.col("formatted")).alias("turns")).collect()
+    assert len(one) == 1 and [z["text"] for z in one[0]["turns"]] == [str(i) for i in range(300)]
 
 
 def test_escape(spark):
@@ -717,12 +725,66 @@ def test_pipeline(spark, small):
         if name == "benchmark_decontamination":
             hit = {r["doc_id"] for r in decontaminate.overlaps(kept, "doc_id", "text", spark.read.parquet(f"{small}/benchmark.parquet")).collect()}
             assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in kept.collect()} - hit and hit
+        if name == "language_id":
+            # what is told of each whole text decides, whatever the row's other columns say
+            told = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(kept.select("doc_id", "text"), "text", queries.learned_language(kept)).collect()}
+            assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in kept.collect() if told[r["doc_id"]][0] != "und" and told[r["doc_id"]][1] >= P.LEAST_SCORE)
+        if name == "source_mixing":
+            sizes = {}
+            for r in kept.collect():
+                sizes.setdefault(r["source"], []).append((r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))))
+            names = sorted(sizes, key=lambda s: (s is None, s or ""))
+            weigh = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+            total, held = sum(n for x in sizes.values() for _, n in x), set()
+            while True:  # water-filling: who would be above three times its size is held there, the rest share what is left
+                left = total - sum(3 * sum(n for _, n in sizes[s]) for s in held)
+                level = left / max(1, sum(weigh[s] for s in names if s not in held))
+                more = {s for s in names if s not in held and level * weigh[s] > 3 * sum(n for _, n in sizes[s])}
+                if not more:
+                    break
+                held |= more
+            want = Counter()
+            for s, rows in sizes.items():
+                size = sum(n for _, n in rows)
+                target = min(3.0 * size, level * weigh[s]) if s not in held else 3.0 * size
+                rate = target / size if size else 0.0
+                whole, rest = int(rate), rate - int(rate)
+                ab = {i: (int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16), int(hashlib.md5(str(i).encode()).hexdigest()[8:16], 16) | 1) for i, _ in rows}
+                hit = lambda i, k: (ab[i][0] + k * ab[i][1]) % (1 << 32) < rest * (1 << 32)  # noqa: E731,B023
+                seed = min(range(mixing.SEEDS), key=lambda k: (abs(whole * size + sum(n for i, n in rows if hit(i, k)) - target), k))
+                for i, _ in rows:
+                    want[i] += whole + hit(i, seed)
+            assert Counter(r["doc_id"] for r in out.collect()) == +want
+        if name == "sharding":
+            assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in kept.collect())
+            for s in range(P.SHARDS):
+                own = [r["slot"] for r in out.collect() if r["shard"] == s]
+                assert sorted(own) == list(range(len(own)))
         if name != "sharding":
             assert out.columns == docs.columns
         kept = out
     assert max(Counter(r["shard"] for r in kept.collect()).values()) - min(Counter(r["shard"] for r in kept.collect()).values()) <= 1
 
 
+def test_pipeline_odd_tables(spark, odd, none):
+    """Each stage on nulls in every column, empty and very long texts, repeated rows, no rows, and columns with names used inside."""
+    import corpus_pipeline as P
+
+    clash = odd.withColumns({c: F.lit("clash") for c in ("_row", "_rank", "_source", "_seed", "s1", "lang_pred", "score", "component_id", "_pos", "slot")})
+    for docs in (odd, clash, none):
+        for name, stage in P.STAGES:
+            if name == "benchmark_decontamination":
+                out = P.decontaminate.drop_overlapping(docs, "text", spark.createDataFrame([(1, "one two three"), (2, None)], "item_id long, text string"))
+            else:
+                out = stage(spark, docs, "")
+            rows = out.collect()
+            if name != "sharding":
+                assert out.columns == docs.columns
+            assert len(rows) <= 3 * len(ODD) and (docs is not none or not rows)
+    kept = {r["doc_id"] for r in P.language(spark, odd, "").collect()}
+    assert kept <= {3, None, 5, 6} and 5 in kept
+
+
 def test_pipeline_repeated_rows(spark):
     import corpus_pipeline as P
 
