@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from residua.llm import decontaminate, forest, langid, mixing, sharding
+from residua.llm import words as W
 from residua.llm.queries import learned_language, table
 from residua.scratch import written
 
@@ -17,8 +18,9 @@ LEAST_SCORE = 0.2
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is told with confidence. Null, empty and letterless texts are rejected; repeated rows are judged alike; if
     no document has a label, nothing can be told and nothing is kept."""
-    told = langid.predict(docs, "text", learned_language(docs))
-    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    tag = W.free_prefix(docs.columns)
+    told = langid.predict(docs, "text", learned_language(docs), tag)
+    return told.where((F.col(f"{tag}lang_pred") != langid.UNKNOWN) & (F.col(f"{tag}score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +29,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows and not ids are compared, so repeated rows of one id and rows with a null id are copies like any others; null
     ids come last, and rows of one id go by a hash of all columns. Rows without words have no copies and all stay.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    told = forest.near_duplicates(rows, "_row", "text", size=5).select("_row", "component_id")
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "_row")
-    ranked = rows.select("_row", rank.alias("_rank")).join(told.hint("merge"), "_row")
-    kept = ranked.groupBy("component_id").agg(F.min("_rank")["_row"].alias("_row")).select("_row")
-    return rows.join(kept.hint("merge"), "_row", "left_semi").select(*docs.columns)
+    row = W.free_prefix(docs.columns) + "row"
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    told = forest.near_duplicates(rows, row, "text", size=5).select(row, F.col("component_id").alias("class"))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), row)
+    ranked = rows.select(row, rank.alias("rank")).join(told.hint("merge"), row)
+    kept = ranked.groupBy("class").agg(F.min("rank")[row].alias(row)).select(row)
+    return rows.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
