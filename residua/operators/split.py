@@ -73,7 +73,8 @@ def require_no_leak(report: DataFrame) -> None:
 
 
 def exclusion_map(components: DataFrame, key: str = "id") -> DataFrame:
-    """(id, others): the other members of each id's component, sorted; ids that are alone are left out.
+    """(id, others): the other members of each id's component, sorted; ids that are alone are left out. Its size is the square of the components', so
+    for large ones use ``exclusion_members``.
 
     The result lists every member beside every other, as the map is defined; one row at a time is built from the
     component's sorted members.
@@ -82,6 +83,13 @@ def exclusion_map(components: DataFrame, key: str = "id") -> DataFrame:
     return members.select(F.explode("m").alias(key), "m").select(key, F.array_remove("m", F.col(key)).alias("others"))
 
 
+def exclusion_members(components: DataFrame, key: str = "id") -> DataFrame:
+    """(id, component, n_others): the exclusion map as membership, one row for each id that is not alone, however large its component; the
+    others of an id are the rows of its component."""
+    n = components.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+    return components.select(key, "component").join(n.hint("merge"), "component").select(key, "component", (F.col("n") - 1).alias("n_others"))
+
+
 def write_by_fold(df: DataFrame, path: str, fold: str = "fold") -> None:
-    """One partition for each fold; rows without a fold (-1 or null) are not written."""
-    df.where(F.col(fold) >= 0).repartition(fold).write.partitionBy(fold).mode("overwrite").parquet(path)
+    """One partition for each fold; rows without a fold (-1 or null) are not written. A large fold is split into several tasks and files."""
+    df.where(F.col(fold) >= 0).hint("rebalance", fold).write.partitionBy(fold).mode("overwrite").parquet(path)

@@ -14,8 +14,12 @@ from residua.sources import entries, files, structures
 from residua.streaming.ingest import incremental_ingest as ingest
 
 
+#: An entry covers so many values of the event's id, so no entry grows with the table.
+ENTRY_EVENTS = 1000
+
+
 def entry_documents(t: Tables) -> DataFrame:
-    """Each user's events as a nested entry: under the user's id, under ``data``, or under another name, by turns."""
+    """Each user's events as nested entries, one for a range of events: under the user's id, under ``data``, or under another name, by turns."""
     cell = F.array(
         F.when(F.col("event_id") % 11 == 0, ".").otherwise((F.col("event_id") % 1000).cast("string")),
         F.initcap("event_type"),
@@ -27,7 +31,7 @@ def entry_documents(t: Tables) -> DataFrame:
     tags = F.array(*[F.lit(f"Atom_chem_shift.{x}") for x in ("Seq_ID", "Comp_ID", "Atom_ID", "Val", "Ambiguity_code")])
     frame = F.struct(F.array(F.struct(F.array(F.struct(tags.alias("tags"), F.col("rows").alias("data"))).alias("loops"))).alias("saveframes"))
     name = F.when(F.col("user_id") % 3 == 0, F.col("user_id").cast("string")).when(F.col("user_id") % 3 == 1, "data").otherwise("other")
-    return t.events.groupBy("user_id").agg(rows.alias("rows")).select("user_id", F.to_json(F.create_map(name, frame)).alias("doc"))
+    return t.events.groupBy("user_id", F.floor(F.col("event_id") / ENTRY_EVENTS)).agg(rows.alias("rows")).select("user_id", F.to_json(F.create_map(name, frame)).alias("doc"))
 
 
 @query(
@@ -109,10 +113,9 @@ def structure_files(t: Tables) -> DataFrame:
 COORD = "CAST(printf('%.3f', {c}) AS DOUBLE)"
 
 
-@query(f"WITH {ATOMS} SELECT label, CAST(1 AS INTEGER) AS model, chr(65 + label) AS chain, CAST(vec_id AS INTEGER) AS res_id, 'ALA' AS res_name, atom, {', '.join(COORD.format(c=c) + ' AS ' + c for c in 'xyz')} FROM atoms WHERE vec_id <= 9999")
+@query(f"WITH {ATOMS} SELECT label, CAST(1 AS INTEGER) AS model, chr(65 + label) AS chain, CAST(vec_id AS INTEGER) AS res_id, 'ALA' AS res_name, atom, {', '.join(COORD.format(c=c) + ' AS ' + c for c in 'xyz')} FROM atoms")
 def atoms_fixed_width(t: Tables) -> DataFrame:
-    """All positions are written and read; the bound is the SQL's own."""
-    return _whole(structures.read_atoms(structure_files(t), "file")).where("res_id <= 9999")
+    return _whole(structures.read_atoms(structure_files(t), "file"))
 
 
 @query("SELECT label, CAST(m AS INTEGER) AS model, chr(65 + label) AS chain, count(*) * 21 AS n FROM embeddings, range(1, 3) r(m) GROUP BY 1, 2, 3")

@@ -47,6 +47,11 @@ def exclusion_map(t: Tables) -> DataFrame:
     return split.exclusion_map(document_components(t)).select("id", F.array_join(F.transform("others", lambda x: x.cast("string")), ",").alias("others"))
 
 
+@query(f"{COMP_SQL} SELECT id, component, n - 1 AS n_others FROM (SELECT id, component, count(*) OVER (PARTITION BY component) AS n FROM comp) WHERE n > 1")
+def exclusion_members(t: Tables) -> DataFrame:
+    return split.exclusion_members(document_components(t))
+
+
 #: Seeds: the documents that a toxic label marks. Holdout: every 25th document.
 SEED_SQL = "seeds AS (SELECT doc_id AS id FROM labels WHERE toxic = 1), excl AS (SELECT id, component FROM comp WHERE component IN (SELECT component FROM comp WHERE id IN (SELECT id FROM seeds)))"
 FOLD_SQL = f"""sized AS (SELECT *, count(*) OVER (PARTITION BY component) AS k FROM comp),

@@ -34,8 +34,8 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_feature_store(features: DataFrame, stats: DataFrame, path: str, fold: str = "fold") -> None:
-    """Features partitioned by fold, statistics beside them."""
-    features.repartition(fold).write.partitionBy(fold).mode("overwrite").parquet(f"{path}/features")
+    """Features partitioned by fold, statistics beside them. A large fold is split into several tasks and files."""
+    features.hint("rebalance", fold).write.partitionBy(fold).mode("overwrite").parquet(f"{path}/features")
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
