@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from residua.scratch import written
 
@@ -32,7 +33,7 @@ def reply_paths(nodes: DataFrame, tree: str, node: str, parent: str, score: str,
     above. That takes twice log2(depth) joins on (tree, node), whose keys are unique, so a giant tree is no skew, and
     no more rows than the result has. A node whose parent is null or absent is a root. Repeated (tree, node) rows
     count once (smallest parent, largest score). Nodes on a cycle are on no root-to-leaf path. Null trees are one
-    tree; a null node is nobody's parent.
+    tree; a null node is nobody's parent. An empty table gives none; texts are not read here; other columns may have any name.
     """
     spark = nodes.sparkSession
     t, n, p = F.col(tree).alias("t"), F.col(node).alias("n"), F.col(parent).alias("p")
@@ -55,8 +56,6 @@ def reply_paths(nodes: DataFrame, tree: str, node: str, parent: str, score: str,
     # what still has an ancestor beyond any possible depth hangs on a cycle
     scores = strides[-1].where("a is null").select(F.col("t").alias("kt"), F.col("n").alias("kn"), F.col("w").alias("path_score"))
     ranked = leaves.join(scores.hint("merge"), F.col("t").eqNullSafe(F.col("kt")) & F.col("leaf").eqNullSafe(F.col("kn"))).select("t", "leaf", "path_score")
-    from pyspark.sql.window import Window
-
     ranked = ranked.withColumn("path_rank", F.row_number().over(Window.partitionBy("t").orderBy(F.col("path_score").desc(), "leaf")))
     if top is not None:
         ranked = ranked.where(F.col("path_rank") <= top)
@@ -73,7 +72,8 @@ def format_paths(paths: DataFrame, nodes: DataFrame, tree: str, node: str, role:
     """One conversation for each path: (tree, leaf, path_rank, path_score, formatted, loss_spans).
 
     ``formatted`` has the path's turns from root to leaf, each <s>[ROLE]role[/ROLE]text</s> with control strings
-    escaped; null role or text is empty. ``loss_spans`` has (start, length) in code points, start from 1, of the
+    escaped; null role or text is empty, and of repeated (tree, node) rows the smallest role and text stand. Texts may be as long as a row can
+    be; other columns may have any name. ``loss_spans`` has (start, length) in code points, start from 1, of the
     escaped text of every turn whose role is ``trained``.
     """
     own = nodes.select(F.col(tree).alias("kt"), F.col(node).alias("kn"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("x"))

@@ -172,7 +172,8 @@ def apply_edits(trees: DataFrame, key: str, ranks_path: str = DEFAULT_RANKS) ->
     """(text, key, char_tree, token_tree, tokens_before, chars_encoded) after the ``edits`` of each row, in order.
 
     An edit (start, stop, replacement) replaces the code points from start up to stop, positions in the text as the
-    edits before left it; positions beyond the text are moved to its end, null edits change nothing.
+    edits before left it; positions beyond the text are moved to its end, null edits change nothing, a null replacement is empty. Repeated rows are each
+    edited; an empty table gives none; columns beyond those of ``build_trees`` and ``edits`` are dropped.
     """
     own = trees.select("text", F.col(key).alias("key"), "char_tree", "token_tree", F.col("edits").cast("array<struct<start:bigint,stop:bigint,replacement:string>>").alias("edits"))
     return map_arrow(own, _edit(_ranks(trees.sparkSession, ranks_path)), f"text string, key long, {TREES}, tokens_before long, chars_encoded long").withColumnRenamed("key", key)

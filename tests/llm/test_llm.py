@@ -320,6 +320,21 @@ def test_ring_against_a_naive_walk(spark, monkeypatch):
     assert 1 / 9 <= sum(moved[8][i] != moved[9][i] for i in ids) / 701 < 0.4
 
 
+def test_ring_hot_key(spark, monkeypatch):
+    """A key with a third of the rows is ranked in parts; all other rows stand where the naive walk puts them, and the key's rows fill the same places."""
+    rows = [(77, i) for i in range(300)] + [(i * 5 + 1000, 0) for i in range(600)] + [(None, i) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, size long")
+    calm = sharding.ring_shards(df, "doc_id", 8, ties=("size",)).collect()
+    monkeypatch.setattr(sharding, "HOT_ROWS", 20)
+    monkeypatch.setattr(sharding, "CELL_ROWS", 10)
+    monkeypatch.setattr(sharding, "LEAST_CELL_BITS", 4)
+    monkeypatch.setattr(sharding, "MOST_CELL_BITS", 8)
+    hot = sharding.ring_shards(df, "doc_id", 8, ties=("size",)).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in hot) == Counter(rows)
+    one = lambda found: {(r["doc_id"], r["shard"], r["slot"]) for r in found}
+    assert one(calm) == one(hot) and len(one(hot)) == len(rows)
+
+
 def test_op3(spark, small):
     rows = queries.op3_consistent_hash_sharding(spark, small).collect()
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
