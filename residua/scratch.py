@@ -24,7 +24,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written once as Parquet and read back: its lineage is cut, its size is known to the planner,
-    and no later read depends on an executor that may be lost."""
+    and no later read depends on an executor that may be lost. Nothing deletes the table, since lazy results may still read it;
+    whoever owns the folder in ``spark.checkpoint.dir`` clears it between jobs."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

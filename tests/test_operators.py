@@ -93,3 +93,16 @@ def test_mapped_join_sides(spark):
     rows = {r["pos"]: r for r in reshape.mapped_join(m, t, s, "e", known=["ALA", "SER"], report=r, neighbours=n).collect()}
     assert set(rows) == {1, 2, 3} and rows[2]["code"] == "UNK" and rows[3]["code"] == "GLY" and rows[1]["ss"] == "H" and rows[2]["ss"] is None
     assert [z["neighbour"] for z in rows[1]["spatial"]] == [4, 7] and rows[3]["spatial"] is None
+
+
+def test_approximate_neighbours(spark):
+    """Rows that share a random-projection bucket, scored exactly; the best of the exact search are mostly among them."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(6, 16))
+    x = np.concatenate([c + 0.05 * rng.normal(size=(20, 16)) for c in centres])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, i % 2, [float(v) for v in r]) for i, r in enumerate(x)], "id long, grp long, v array<double>")
+    exact = {(r["id"], r["neighbour"]): r["score"] for r in geometry.knn_exclude_group(df, "id", "grp", "v", k=5).collect()}
+    near = {(r["id"], r["neighbour"]): r["score"] for r in geometry.knn_exclude_group(df, "id", "grp", "v", k=5, approx=True).collect()}
+    assert all(abs(s - float(x[i] @ x[j])) < 1e-5 and (i - j) % 2 for (i, j), s in near.items())
+    assert len(set(near) & set(exact)) >= 0.8 * len(exact)
