@@ -14,7 +14,7 @@ from residua.scratch import written
 
 
 #: Entities of up to so many points are joined with themselves; larger ones meet through a grid.
-WHOLE_ENTITY = 512
+WHOLE_ENTITY = 2000
 
 
 def _first_cell(sized: DataFrame, k: int, min_sep: int) -> tuple[float, float]:
