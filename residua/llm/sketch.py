@@ -19,8 +19,8 @@ from residua.ship import map_arrow, shipped
 #: A shingle is this many bytes of UTF-8; its hash has BITS bits. Sketches keep the hashes below 2**BITS / SCALE, and those of texts with fewer than
 #: LEAST of them keep all.
 SHINGLE, SCALE, BITS, LEAST = 8, 16, 40, 8
-#: Bytes of text in a range of keys, about, and ranges at most.
-RANGE_BYTES, MOST_RANGES = 32 << 20, 20_000
+#: Bytes of text in a range of keys, about, ranges at most, and ranges that a task holds on average: small ranges, since a hash deals them to tasks.
+RANGE_BYTES, MOST_RANGES, TASK_RANGES = 2 << 20, 100_000, 8
 
 
 class Sketch(NamedTuple):
@@ -108,10 +108,10 @@ def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _bounds(keys: DataFrame, ranges: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The (k, h) at which ranges of about as many rows begin, from about 64 sampled keys a range, equal ones counted together."""
+    """The (k, h) at which ranges of about as many rows begin, from about 16 sampled keys a range, equal ones counted together."""
     if ranges < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    picked = keys.where(F.pmod(F.xxhash64("k", "h"), F.lit(max(1, rows // (64 * ranges)))) == 0).groupBy("k", "h").count().collect()
+    picked = keys.where(F.pmod(F.xxhash64("k", "h"), F.lit(max(1, rows // (16 * ranges)))) == 0).groupBy("k", "h").count().collect()
     picked.sort()
     ends = np.cumsum([r[2] for r in picked])
     at = np.unique(np.searchsorted(ends, np.arange(1, ranges) * (ends[-1] / ranges))) if len(picked) else []
@@ -147,7 +147,7 @@ def with_next(docs: DataFrame, key: str, text: str, ranges: int | None = None) -
     follow = own.join(F.broadcast(before), ["k", "h"]).groupBy("k", "h", "part").agg(F.min("id").alias("id"), F.min("text").alias("text"))
     dealt = own.withColumn("part", part("k", "h")).select("part", F.lit(0).alias("ahead"), "k", "h", "id", "text")
     both = dealt.unionByName(follow.select("part", F.lit(1).alias("ahead"), "k", "h", "id", "text"))
-    return both.repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "ahead", "k", "h", "text").select("part", "ahead", "id", "text")
+    return both.repartition(-(-len(firsts) // TASK_RANGES) or 1, "part").sortWithinPartitions("part", "ahead", "k", "h", "text").select("part", "ahead", "id", "text")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
