@@ -161,8 +161,10 @@ def near_duplicates(df: DataFrame, key: str, text: Column, size: int = 3, thresh
     same = sets.select(F.col("id").alias("b"), "s").join(classes.hint("merge"), "s").where("b <> rep").select(F.col("rep").alias("a"), "b", F.size("s").alias("common"), F.size("s").alias("n_a"), F.size("s").alias("n_b"))
     reps = classes.select(F.col("rep").alias("id"), "s", F.size("s").alias("n"))
     flat = written(reps.select("id", "n", F.explode("s").alias("g")), "shingles")
-    seen = flat.groupBy("g").agg(F.count("*").alias("f"))
-    ranked = flat.join(seen.hint("merge"), "g").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("f", "g")))
+    # a shingle of one class meets none; such shingles are the rarest, so they only count in the ranks of the others
+    seen = flat.groupBy("g").agg(F.count("*").alias("f")).where("f > 1")
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))
+    ranked = flat.join(seen.hint("merge"), "g").withColumn("r", alone + F.row_number().over(Window.partitionBy("id").orderBy("f", "g")))
     # of the smaller set, so many shingles are in common at least; one of its n - that + 1 rarest is then among them
     prefix = F.col("n") - F.ceil(F.col("n") * threshold) + 1
     head = ranked.where(F.col("r") <= prefix).select("id", "n", "g")
