@@ -124,7 +124,7 @@ def repeated_windows(docs: DataFrame, key: str, text: str, window: int = 50, gra
     Every document is cut into content-defined blocks, and all blocks of all documents are indexed by anchor and by text. A block that a
     smaller key has as a whole is matched with all its windows at once;
     where only the anchor is shared, the block stands at a factor's boundary, and its windows are checked one by one,
-    once for each distinct block text. So the result is exact and its work linear in the words, however many
+    once for each distinct block text. Rows repeated in key and text repeat their runs. So the result is exact and its work linear in the words, however many
     documents share a passage. Texts are words of ``[^\\x20\\x09-\\x0D]+``, unchanged. Null keys are nobody's
     reference and lose nothing; null and short texts have no windows.
     """
@@ -141,7 +141,7 @@ def repeated_windows(docs: DataFrame, key: str, text: str, window: int = 50, gra
     placed = mixed.join(whole.hint("merge"), ["anchor", "span"])
     out = ["id", "sig", "first", "windows", "ref", "ref_first"]
     sure = shared.where("not mixed and id > ref").select(*out).unionByName(placed.where("id > ref").select(*out))
-    asked = placed.where("id = ref").groupBy("id", "sig").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("asked"))
+    asked = placed.where("id = ref").groupBy("id", "sig").agg(F.array_sort(F.collect_set(F.struct("anchor", "first", "windows"))).alias("asked"))
     single = keyed.join(asked.hint("merge"), ["id", "sig"]).select("id", "sig", "text", "asked")
     single = map_arrow(single, _window_rows(window), _WINDOW)
     firsts = written(single.groupBy("anchor", "hash").agg(F.min("id").alias("ref"), F.max("id").alias("most"), place.alias("ref_first")).where("ref < most").drop("most"), "windows")
@@ -204,10 +204,10 @@ def drop_repeats(docs: DataFrame, key: str, text: str, window: int = 50, gram: i
     A factor (first, words, ref, ref_first) is a stretch of ``words`` >= ``window`` words that document ``ref`` has from word ``ref_first`` on; see
     ``factors``. Its spans are duplicates; windows that straddle two factors or stick out of one have been checked on their own, so a word
     goes if and only if a repeated window covers it. Windows are judged on the input, not on what is left. Repeated rows of one key are
-    judged by their own text; null texts are empty; keys are integers; other columns are not looked at; an empty table gives none.
+    judged by their own text, and rows equal in both have the same factors, gathered once; null texts are empty; keys are integers; other columns are not looked at; an empty table gives none.
     """
     runs = repeated_windows(docs, key, text, window, gram)
-    per = runs.groupBy("id", "sig").agg(F.collect_list(F.struct("first", "windows", "ref", "ref_first")).alias("runs"))
+    per = runs.groupBy("id", "sig").agg(F.collect_set(F.struct("first", "windows", "ref", "ref_first")).alias("runs"))
     full = _keyed(docs, key, text).join(per.hint("merge"), ["id", "sig"], "left").select("id", "sig", "text", "runs")
     kind = f"id long, n_words long, n_removed long, kept_text string, factors {_FACTORS}"
     return map_arrow(full, _cut(window), kind).withColumnRenamed("id", key)

@@ -710,6 +710,12 @@ def test_substrings(spark, odd, none):
                 if len(own.get(r["doc_id"], ())) == 1 and r["doc_id"] < 200:
                     mine = own[r["doc_id"]][0][f["first"] : f["first"] + f["words"]]
                     assert any(mine == x[f["ref_first"] : f["ref_first"] + f["words"]] for x in own[f["ref"]])
+    text = " ".join(rng.choice("pqrs") for _ in range(300))
+    again = spark.createDataFrame([(300, text + " t " * 60)] + [(301, text + " u")] * 40 + [(301, "v " + text)] * 2, "doc_id long, text string")
+    got = substring.drop_repeats(again, "doc_id", "text").collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], [tuple(f) for f in r["factors"]]) for r in got) == sorted(
+        [(300, 360, 0, [])] + [(301, 301, 300, [(0, 300, 300, 0)])] * 40 + [(301, 301, 300, [(1, 300, 300, 0)])] * 2
+    )
     rows = {(r["doc_id"], r["n_removed"]) for r in substring.drop_repeats(odd, "doc_id", "text").collect()}
     assert (6, 24000) in rows and (5, 0) in rows and (3, 0) in rows and (1, 0) in rows
     assert substring.drop_repeats(none, "doc_id", "text").count() == 0
