@@ -22,8 +22,8 @@ FAMILIES = {
 }
 UNKNOWN = "und"
 TRIGRAMS, BIGRAMS = 2048, 512
-#: Labelled rows of each language that the classifier is fitted on, about; the only bound on what is learned from.
-SAMPLE_PER_LANGUAGE = 400
+#: Labelled rows of each language that the classifier is fitted on, and of all languages together, about; the only bounds on what is learned from.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 400, 20_000
 _ROWS = 256
 
 
@@ -124,18 +124,19 @@ class Model:
         return out.tolist(), score
 
 
-def fit(labelled: DataFrame, key: str, text: str, lang: str, families: dict[str, str] | None = None, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
+def fit(labelled: DataFrame, key: str, text: str, lang: str, families: dict[str, str] | None = None, per_language: int = SAMPLE_PER_LANGUAGE, most_rows: int = SAMPLE_ROWS) -> Model | None:
     """A model from about ``per_language`` rows of each language, those with the least hash of the key.
 
     Languages are counted, so that the share that is read is known before any text is; features are made on the executors and
-    at most about ``per_language`` of them for each language come to the driver, where the classifiers are fitted; so the driver's share grows with the number
-    of languages, not of rows. Null texts and labels are left out, keys are integers or null, repeated rows are learned from as often as they are drawn. None if there
+    at most about ``per_language`` of them for each language, and ``most_rows`` in all, shared evenly by the languages, come to the driver, where the classifiers are
+    fitted; so what it holds is bounded whatever the number of rows and labels, but for one count a label. Null texts and labels are left out, keys are integers or null, repeated rows are learned from as often as they are drawn. None if there
     is no labelled row.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     if not counts:
         return None
+    per_language = min(per_language, max(1, most_rows // len(counts)))
     share = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, per_language / n))])
     draw = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / float(1 << 30)
     picked = rows.where(draw < share[F.col(lang)]).select(F.col(key).cast("long").alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))

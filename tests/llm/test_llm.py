@@ -362,6 +362,14 @@ def test_language(spark, small, odd, none):
     assert {r["lang_pred"] for r in langid.predict(odd.where("doc_id = 3"), "text", one).collect()} == {"en"}
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr("id", "concat('text ', id) AS text", "concat('l', id % 200) AS lang")
+    monkeypatch.setattr(langid, "Model", lambda x, langs, families: len(x))
+    assert langid.fit(rows, "id", "text", "lang") == 4000
+    assert 250 <= langid.fit(rows, "id", "text", "lang", most_rows=400) <= 550
+    assert 130 <= langid.fit(rows, "id", "text", "lang", most_rows=10) <= 270
+
+
 def test_language_by_votes(spark, small):
     """Family by the largest margin, then a vote of each pair of its languages, row by row in plain Python."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
