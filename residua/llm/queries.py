@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from residua.llm import chat, decontaminate, forest, langid, mixing, sharding, sketch, substring, tokencount, urlfilter
+from residua.llm import chat, countjoin, crosstoken, decontaminate, forest, langid, lexical, mixing, sharding, sketch, substring, tokencount, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -200,6 +200,59 @@ def op6_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return countjoin.jaccard_classes(docs, "doc_id", "text").select("doc_id", "n_shingles", "component_id")
+
+
+OP11_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(ws) > 3 THEN ws[i:i + 3] ELSE ws END, ' ') AS s
+  FROM w, unnest(range(1, greatest(len(ws) - 2, 2))) AS t(i) WHERE len(ws) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+classes AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sig) AS rep FROM (SELECT doc_id, md5(string_agg(s, chr(1) ORDER BY s)) AS sig FROM sh GROUP BY doc_id)),
+reps AS (SELECT s.doc_id, s.s FROM sh s JOIN classes c ON s.doc_id = c.doc_id AND c.rep = c.doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM reps a JOIN reps b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs p JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)
+  UNION SELECT rep, doc_id FROM classes WHERE rep <> doc_id),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id
+"""
+
+
+def op12_hybrid_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return lexical.search(docs, "doc_id", "text", items, "item_id", "text")
+
+
+OP12_SQL = r"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+tfs AS (SELECT doc_id, t, count(*) AS tf FROM terms GROUP BY ALL),
+lens AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tfs GROUP BY doc_id),
+totals AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nt FROM lens),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+dfs AS (SELECT t, count(*) AS df FROM tfs GROUP BY t),
+weights AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM dfs, totals),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // nt)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (t) JOIN tfs USING (t) JOIN lens USING (doc_id), totals GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstoken.align_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spaced_seed_decontamination": op1_spaced_seed_decontamination,
@@ -212,8 +265,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_lsh_forest": op8_minhash_lsh_forest,
         "op9_source_mixing": op9_source_mixing,
         "op10_relative_lz_dedup": op10_relative_lz_dedup,
+        "op11_count_vector_join": op11_count_vector_join,
+        "op12_hybrid_lexical_search": op12_hybrid_lexical_search,
+        "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op7_url_filters": OP7_SQL, "op8_minhash_lsh_forest": OP8_SQL, "op9_source_mixing": OP9_SQL, "op10_relative_lz_dedup": OP10_SQL}
+    return {
+        "op2_chat_formatting": OP2_SQL,
+        "op7_url_filters": OP7_SQL,
+        "op8_minhash_lsh_forest": OP8_SQL,
+        "op9_source_mixing": OP9_SQL,
+        "op10_relative_lz_dedup": OP10_SQL,
+        "op11_count_vector_join": OP11_SQL,
+        "op12_hybrid_lexical_search": OP12_SQL,
+    }
