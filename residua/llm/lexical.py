@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -167,7 +168,7 @@ def search(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key:
     bounds = [r["item"] for r in _ranges(sizes, terms_a_pass)]
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     found = None
-    for lo, hi in zip(bounds, [*bounds[1:], None], strict=True):
+    for lo, hi in pairwise([*bounds, None]):
         some = asked.where(F.col("item") >= lo) if hi is None else asked.where((F.col("item") >= lo) & (F.col("item") < hi))
         table = some.toArrow()  # a pass has a bounded number of terms
         terms, place = np.unique(table["term"].to_numpy().view(np.uint64), return_inverse=True)
