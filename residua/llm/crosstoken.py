@@ -23,6 +23,8 @@ from residua.ship import map_arrow, shipped
 DEFAULT_A, DEFAULT_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts of more bytes are cut into byte ranges of about so many, which different tasks encode; so many neighbours are composed at once.
 CHUNK_BYTES, FAN = 1 << 16, 8
+#: So many bytes of short texts are encoded together.
+TOGETHER = 1 << 19
 #: At most so many id pairs, the most frequent ones, are broadcast; links of the others meet their counts in a join.
 FREQUENT = 1 << 20
 #: The first tokenizer's pre-tokens always end between something visible and a blank or a new line.
@@ -215,7 +217,7 @@ def _whole(files: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pair_of(files)
         for batch in batches:
-            for lo, hi, _, _ in W.pieces(batch.column(2)):
+            for lo, hi, _, _ in W.pieces(batch.column(2), TOGETHER):
                 texts = [x or "" for x in batch.column(2).slice(lo, hi - lo).to_pylist()]
                 a = [pair.encode_a(" " + x) if x else np.zeros(0, np.int64) for x in texts]
                 b = pair.b.encode(texts, num_threads=1)
