@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from residua.scratch import written
-from residua.ship import map_arrow, shipped
+from residua.ship import map_arrow
+
+
+#: So many cells of a stretch of rows have their choices written down at once; longer stretches are cut into ``PARTS``.
+CELLS, PARTS = 1 << 22, 8
+_DIAGONAL, _DOWN, _DOWN_ENDS, _RIGHT_ENDS = 1, 2, 4, 8
 
 
 def align(a: str, b: str, match: float = 2.0, mismatch: float = -1.0, first: float = -2.0, more: float = -0.5) -> tuple[float, str, str]:
@@ -20,48 +24,79 @@ def align(a: str, b: str, match: float = 2.0, mismatch: float = -1.0, first: flo
 
     Ties: diagonal, then a gap in the second string, then a gap in the first. Rows are computed with numpy; the gap along a row is
     a running maximum, since its cost is linear in the length.
+
+    Divide and conquer in linear space: a stretch of rows keeps the scores of ``PARTS`` of its rows, and the parts are walked from the last to the
+    first, each cut again until its choices fit ``CELLS`` bytes. A part is computed anew only up to the column that the walk has reached, so the
+    whole costs about twice the scores alone, and no more than some rows of scores are held.
     """
     n, m = len(a), len(b)
-    low = -1e18
-    best = np.full((n + 1, m + 1), low)
-    down = np.full((n + 1, m + 1), low)
-    right = np.full((n + 1, m + 1), low)
-    best[0, 0] = 0.0
-    x, y = np.array(list(a), dtype="U1"), np.array(list(b), dtype="U1")
+    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b))
     j = np.arange(m + 1)
-    if m:
-        right[0, 1:] = first + more * np.arange(m)
-        best[0, 1:] = right[0, 1:]
-    for i in range(1, n + 1):
-        down[i] = np.maximum(best[i - 1] + first, down[i - 1] + more)
-        open_ = down[i].copy()
-        if m:
-            open_[1:] = np.maximum(open_[1:], best[i - 1, :-1] + np.where(x[i - 1] == y, match, mismatch))
-            # opening after another right gap never pays, so the scan runs over the other two states
-            right[i, 1:] = np.maximum.accumulate(open_ - more * j)[:-1] + first + more * (j[1:] - 1)
-        best[i] = np.maximum(open_, right[i])
-    out_a, out_b, i, k, state = [], [], n, m, "best"
-    while i or k:
-        if state == "best":
-            if i and k and best[i, k] == best[i - 1, k - 1] + (match if a[i - 1] == b[k - 1] else mismatch):
-                i, k = i - 1, k - 1
+    out_a, out_b = [], []
+    top = np.concatenate([[0.0], first + more * np.arange(m)])
+
+    def step(i: int, best: np.ndarray, down: np.ndarray, choices: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Row i from the one above it, in as many columns; and what the walk may choose in each."""
+        k = len(best)
+        below = np.maximum(best + first, down + more)
+        open_ = below.copy()
+        diagonal = best[:-1] + np.where(x[i - 1] == y[: k - 1], match, mismatch)
+        np.maximum(open_[1:], diagonal, out=open_[1:])
+        # opening after another right gap never pays, so the scan runs over the other two states
+        right = np.maximum.accumulate(open_ - more * j[:k])[:-1] + first + more * (j[1:k] - 1)
+        now = open_.copy()
+        np.maximum(now[1:], right, out=now[1:])
+        if not choices:
+            return now, below, None
+        may = _DOWN * (np.abs(now - below) < 1e-9) + _DOWN_ENDS * (np.abs(below - best - first) < 1e-9)
+        may[1:] += _DIAGONAL * (now[1:] == diagonal) + _RIGHT_ENDS * (np.abs(right - now[:-1] - first) < 1e-9)
+        return now, below, may.astype(np.uint8)
+
+    def walk(lo: int, hi: int, best: np.ndarray, down: np.ndarray, k: int, state: str) -> tuple[int, str, float]:
+        """From row hi and column k up to row lo, whose scores are given; also the score where the walk begins."""
+        best, down = best[: k + 1], down[: k + 1]
+        if (hi - lo) * (k + 1) > CELLS and hi - lo > 1:
+            cuts = np.unique(np.linspace(lo, hi, PARTS + 1).astype(int)).tolist()
+            held = [(best, down)]
+            for c, d in zip(cuts[:-2], cuts[1:-1], strict=True):
+                for i in range(c + 1, d + 1):
+                    best, down, _ = step(i, best, down, False)
+                held.append((best, down))
+            score = None
+            for c, d, rows in reversed(list(zip(cuts[:-1], cuts[1:], held, strict=True))):
+                k, state, end = walk(c, d, *rows, k, state)
+                score = end if score is None else score
+            return k, state, score
+        choices = []
+        for i in range(lo + 1, hi + 1):
+            best, down, may = step(i, best, down, True)
+            choices.append(may)
+        score, i = float(best[k]), hi
+        while i > lo:
+            may = choices[i - lo - 1][k]
+            if state == "best":
+                if may & _DIAGONAL:
+                    i, k = i - 1, k - 1
+                    out_a.append(a[i])
+                    out_b.append(b[k])
+                    continue
+                state = "down" if may & _DOWN else "right"
+            if state == "down":
+                i -= 1
                 out_a.append(a[i])
+                out_b.append("-")
+                ends = may & _DOWN_ENDS
+            else:
+                k -= 1
+                out_a.append("-")
                 out_b.append(b[k])
-                continue
-            state = "down" if i and abs(best[i, k] - down[i, k]) < 1e-9 else "right"
-        if state == "down":
-            ends = abs(down[i, k] - (best[i - 1, k] + first)) < 1e-9
-            i -= 1
-            out_a.append(a[i])
-            out_b.append("-")
-        else:
-            ends = abs(right[i, k] - (best[i, k - 1] + first)) < 1e-9
-            k -= 1
-            out_a.append("-")
-            out_b.append(b[k])
-        if ends:
-            state = "best"
-    return float(best[n, m]), "".join(reversed(out_a)), "".join(reversed(out_b))
+                ends = may & _RIGHT_ENDS
+            if ends:
+                state = "best"
+        return k, state, score
+
+    k, _, score = walk(0, n, top, np.full(m + 1, -1e18), m, "best") if n else (m, "best", float(top[m]))
+    return score, "-" * k + "".join(reversed(out_a)), b[:k] + "".join(reversed(out_b))
 
 
 def align_pairs(df: DataFrame, a: str, b: str, **costs: float) -> DataFrame:
@@ -105,41 +140,86 @@ def alignment_mapping(df: DataFrame, key: str, gapped_a: str, gapped_b: str, edg
     return rows.select(key, "col", F.when(F.col("a") != "-", F.col("i_a")).alias("index_a"), F.when(F.col("b") != "-", F.col("i_b")).alias("index_b"), kind.alias("kind"))
 
 
-def superpose(mobile: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The rigid motion of the rows of ``mobile`` that brings them closest to ``target`` (the true minimiser for row vectors)."""
-    cm, ct = mobile.mean(axis=0), target.mean(axis=0)
-    u, _, vt = np.linalg.svd((mobile - cm).T @ (target - ct))
-    flip = np.diag([1.0, 1.0, np.sign(np.linalg.det(u @ vt)) or 1.0])
-    return (mobile - cm) @ (u @ flip @ vt) + ct
+#: The upper half of a symmetric 4 x 4 matrix, row by row, and how often it is squared: the exponent of the power iteration is 2 to that.
+_UPPER = [(i, j) for i in range(4) for j in range(i, 4)]
+SQUARINGS = 40
+
+
+def _entry(m: Column, i: int, j: int) -> Column:
+    return m[_UPPER.index((min(i, j), max(i, j)))]
+
+
+def _scaled(m: Column) -> Column:
+    """With a trace of 1; null for a matrix of zeros."""
+    trace = lambda z: z[0] + z[4] + z[7] + z[9]
+    return F.transform(m, lambda v: v / F.when(trace(m) > 0, trace(m)))
+
+
+def _squared(m: Column) -> Column:
+    products = F.array(*[sum((_entry(m, i, k) * _entry(m, k, j) for k in range(1, 4)), _entry(m, i, 0) * _entry(m, 0, j)) for i, j in _UPPER])
+    return F.transform(F.array(products), _scaled)[0]
+
+
+def superposition(points: DataFrame, keys: list[str], mobile: list[str], target: list[str]) -> DataFrame:
+    """(keys, centre, goal, turn) of each group: the rotation ``turn``, 9 numbers row by row, that brings its mobile points closest to the targets in least
+    squares, about the mobile points' ``centre``, which goes to ``goal``.
+
+    One aggregation gives the covariances; the best rotation's quaternion is the eigenvector with the largest eigenvalue of a symmetric 4 x 4 matrix of their sums
+    and differences. The matrix is shifted to have none below 0 and squared ``SQUARINGS`` times in columns, which leaves
+    the projection on that eigenvector; where several rotations are equally good, one of them. Points that all coincide are not turned.
+    """
+    names = [f"{a}{b}" for a in "xyz" for b in "xyz"]
+    cov = [F.covar_pop(F.col(mobile[i // 3]), F.col(target[i % 3])).alias(f"_{n}") for i, n in enumerate(names)]
+    spread = sum((F.var_pop(F.col(c)) for c in [*mobile[1:], *target]), F.var_pop(F.col(mobile[0])))
+    means = [F.array(*[F.avg(F.col(c)) for c in some]).alias(n) for n, some in (("centre", mobile), ("goal", target))]
+    own = points.groupBy(*keys).agg(*cov, (spread / 2).alias("_shift"), *means)
+    s = {n: F.col(f"_{n}") for n in names}
+    diagonal = [s["xx"] + s["yy"] + s["zz"], s["xx"] - s["yy"] - s["zz"], s["yy"] - s["xx"] - s["zz"], s["zz"] - s["xx"] - s["yy"]]
+    others = {(0, 1): s["yz"] - s["zy"], (0, 2): s["zx"] - s["xz"], (0, 3): s["xy"] - s["yx"], (1, 2): s["xy"] + s["yx"], (1, 3): s["zx"] + s["xz"], (2, 3): s["yz"] + s["zy"]}
+    matrix = F.array(*[diagonal[i] + F.col("_shift") if i == j else others[i, j] for i, j in _UPPER])
+    power = F.aggregate(F.sequence(F.lit(1), F.lit(SQUARINGS)), F.transform(F.array(matrix), _scaled)[0], lambda m, _: _squared(m))
+    own = own.withColumn("_power", power)
+    # the projection's column with the largest diagonal entry is the eigenvector
+    best = F.greatest(*[_entry(F.col("_power"), i, i) for i in range(4)])
+    picked = F.when(best.isNull(), F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 0.0)]))
+    for i in range(4):
+        column = [_entry(F.col("_power"), i, k) for k in range(4)]
+        length = F.sqrt(sum((v * v for v in column[1:]), column[0] * column[0]))
+        picked = picked.when(_entry(F.col("_power"), i, i) == best, F.array(*[v / length for v in column]))
+    own = own.withColumn("_q", picked)
+    w, x, y, z = (F.col("_q")[i] for i in range(4))
+    turn = F.array(
+        w * w + x * x - y * y - z * z, 2 * (x * y - w * z), 2 * (x * z + w * y), 2 * (x * y + w * z), w * w - x * x + y * y - z * z, 2 * (y * z - w * x), 2 * (x * z - w * y), 2 * (y * z + w * x), w * w - x * x - y * y + z * z
+    )
+    return own.select(*keys, "centre", "goal", turn.alias("turn"))
 
 
 def best_conformer(points: DataFrame, entry: str, model: str, pos: str, xyz: list[str], least: int = 10) -> DataFrame:
     """(entry, model, rmsd): the model nearest to the median of all, after each is laid over the first.
 
-    Models are compared on the positions that all have; fewer than ``least`` give the first model and a null rmsd. Only the
-    rotation of one model runs in Python, so a group is two models' points; medians and distances are SQL.
+    Models are compared on the positions that all have with all coordinates; fewer than ``least`` give the first model and a null rmsd. Entry, model and position name
+    one row. All of it is SQL: covariances, rotations, medians and distances; an entry of any size is spread over the tasks.
     """
-    shipped(points.sparkSession)
-    p = points.select(entry, F.col(model).alias("m"), F.col(pos).alias("p"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(xyz)])
-    first = p.groupBy(entry).agg(F.min("m").alias("m1"), F.count_distinct("m").alias("k"))
-    common = p.join(first.hint("merge"), entry).groupBy(entry, "p").agg(F.count_distinct("m").alias("n"), F.first("k").alias("k"), F.first("m1").alias("m1")).where("n = k")
-    enough = common.groupBy(entry).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    used = p.join(common.select(entry, "p", "m1").hint("merge"), [entry, "p"]).join(enough.hint("merge"), entry, "left_semi")
-    base = used.where("m = m1").select(entry, "p", *[F.col(f"c{i}").alias(f"t{i}") for i in range(3)])
-    both = used.join(base.hint("merge"), [entry, "p"])
-
-    def move(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("p")
-        moved = superpose(pdf[["c0", "c1", "c2"]].to_numpy(), pdf[["t0", "t1", "t2"]].to_numpy())
-        return pd.DataFrame({entry: pdf[entry], "m": pdf["m"], "p": pdf["p"], "x": moved[:, 0], "y": moved[:, 1], "z": moved[:, 2]})
-
-    kinds = dict(p.dtypes)
-    laid = both.groupBy(entry, "m").applyInPandas(move, f"`{entry}` {kinds[entry]}, m {kinds['m']}, p {kinds['p']}, x double, y double, z double")
-    middle = laid.groupBy(entry, "p").agg(*[F.percentile(c, 0.5).alias(f"q{c}") for c in "xyz"])
-    off = sum(((F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in "yz"), (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")))
-    rmsd = laid.join(middle.hint("merge"), [entry, "p"]).groupBy(entry, "m").agg(F.sqrt(F.avg(off)).alias("rmsd"))
-    best = rmsd.groupBy(entry).agg(F.min_by("m", F.struct(F.round("rmsd", 9), "m")).alias("b"), F.min("rmsd").alias("rmsd"))
-    return first.join(best.hint("merge"), entry, "left").select(entry, F.coalesce("b", "m1").alias(model), "rmsd")
+    p = points.select(F.col(entry).alias("e"), F.col(model).alias("m"), F.col(pos).alias("p"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(xyz)])
+    first = written(p.groupBy("e").agg(F.min("m").alias("m1"), F.count_distinct("m").alias("k")), "first")
+    p = p.where(" and ".join(f"c{i} is not null" for i in range(3)))
+    common = p.groupBy("e", "p").agg(F.count_distinct("m").alias("n")).join(first.hint("merge"), "e").where("n = k").select("e", "p", "m1")
+    common = written(common, "common")
+    enough = common.groupBy("e").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("e")
+    common = common.join(written(enough, "enough").hint("merge"), "e", "left_semi")
+    used = written(p.join(common.hint("merge"), ["e", "p"]), "used")
+    base = used.where("m = m1").select("e", "p", *[F.col(f"c{i}").alias(f"t{i}") for i in range(3)])
+    both = used.join(base.hint("merge"), ["e", "p"])
+    turns = written(superposition(both, ["e", "m"], ["c0", "c1", "c2"], ["t0", "t1", "t2"]), "turns")
+    moved = used.join(turns.hint("merge"), ["e", "m"])
+    off = [F.col(f"c{i}") - F.col("centre")[i] for i in range(3)]
+    laid = moved.select("e", "m", "p", *[(F.col("turn")[3 * r] * off[0] + F.col("turn")[3 * r + 1] * off[1] + F.col("turn")[3 * r + 2] * off[2] + F.col("goal")[r]).alias(c) for r, c in enumerate("xyz")])
+    laid = written(laid, "laid")
+    middle = laid.groupBy("e", "p").agg(*[F.percentile(c, 0.5).alias(f"q{c}") for c in "xyz"])
+    away = sum(((F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in "yz"), (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")))
+    rmsd = laid.join(middle.hint("merge"), ["e", "p"]).groupBy("e", "m").agg(F.sqrt(F.avg(away)).alias("rmsd"))
+    best = rmsd.groupBy("e").agg(F.min_by("m", F.struct(F.round("rmsd", 9), "m")).alias("b"), F.min("rmsd").alias("rmsd"))
+    return first.join(best.hint("merge"), "e", "left").select(F.col("e").alias(entry), F.coalesce("b", "m1").alias(model), "rmsd")
 
 
 def near_duplicates(df: DataFrame, key: str, text: Column, size: int = 3, threshold: float = 0.9, coverage: float = 0.8, mode: str = "both") -> DataFrame:

@@ -143,14 +143,41 @@ def knn_excl_group(t: Tables) -> DataFrame:
     return geometry.knn_exclude_group(t.embeddings, "vec_id", "label", "embedding")
 
 
-@query()
+_PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
+_AT = {frozenset(ij): k for k, ij in enumerate(_PAIRS, 1)}
+#: The square of a symmetric matrix that is given by its upper half.
+_SQUARE = "[" + ", ".join(" + ".join(f"m[{_AT[frozenset((i, k))]}] * m[{_AT[frozenset((k, j))]}]" for k in range(4)) for i, j in _PAIRS) + "]"
+_TRACE = "(m[1] + m[5] + m[8] + m[10])"
+CONFORMER_SQL = f"""WITH RECURSIVE {POINTS},
+mods AS (SELECT label, k AS m, pos, x * cos(t) - y * sin(t) + CASE WHEN k = 3 THEN 0.05 * sin(CAST(pos AS DOUBLE)) ELSE 0 END AS x, x * sin(t) + y * cos(t) AS y, z FROM pts, (VALUES (1, 0.0::DOUBLE), (2, 1.4::DOUBLE), (3, 2.1::DOUBLE)) v(k, t)),
+few AS (SELECT label FROM pts GROUP BY label HAVING count(*) >= 10),
+pairs AS (SELECT a.label, a.m, a.pos, a.x, a.y, a.z, b.x AS tx, b.y AS ty, b.z AS tz FROM mods a JOIN mods b ON a.label = b.label AND a.pos = b.pos AND b.m = 1 WHERE a.label IN (FROM few)),
+c AS (SELECT label, m, {", ".join(f"covar_pop({u}, t{v}) AS {u}{v}" for u in "xyz" for v in "xyz")}, {", ".join(f"avg({u}) AS c{u}, avg(t{u}) AS g{u}" for u in "xyz")},
+  ({" + ".join(f"var_pop({u}) + var_pop(t{u})" for u in "xyz")}) / 2 AS s FROM pairs GROUP BY label, m),
+pw AS (SELECT label, m AS model, 0 AS step, [s + xx + yy + zz, yz - zy, zx - xz, xy - yx, s + xx - yy - zz, xy + yx, zx + xz, s + yy - xx - zz, yz + zy, s + zz - xx - yy] AS m FROM c
+  UNION ALL SELECT label, model, step + 1, [v / {_TRACE} for v in m] FROM (SELECT label, model, step, {_SQUARE} AS m FROM (SELECT label, model, step, [v / {_TRACE} for v in m] AS m FROM pw WHERE step < 40))),
+top AS (SELECT label, model, m, greatest(m[1], m[5], m[8], m[10]) AS d FROM pw WHERE step = 40),
+q AS (SELECT label, model, CASE d WHEN m[1] THEN [m[1], m[2], m[3], m[4]] WHEN m[5] THEN [m[2], m[5], m[6], m[7]] WHEN m[8] THEN [m[3], m[6], m[8], m[9]] ELSE [m[4], m[7], m[9], m[10]] END AS q FROM top),
+r AS (SELECT label, model, q[1] / n AS w, q[2] / n AS a, q[3] / n AS b, q[4] / n AS e FROM (SELECT *, sqrt(list_dot_product(q, q)) AS n FROM q)),
+laid AS (SELECT p.label, p.m, p.pos,
+  (w*w + a*a - b*b - e*e) * (p.x - cx) + 2 * (a*b - w*e) * (p.y - cy) + 2 * (a*e + w*b) * (p.z - cz) + gx AS x,
+  2 * (a*b + w*e) * (p.x - cx) + (w*w - a*a + b*b - e*e) * (p.y - cy) + 2 * (b*e - w*a) * (p.z - cz) + gy AS y,
+  2 * (a*e - w*b) * (p.x - cx) + 2 * (b*e + w*a) * (p.y - cy) + (w*w - a*a - b*b + e*e) * (p.z - cz) + gz AS z
+  FROM pairs p JOIN c ON c.label = p.label AND c.m = p.m JOIN r ON r.label = p.label AND r.model = p.m),
+mid AS (SELECT label, pos, median(x) AS x, median(y) AS y, median(z) AS z FROM laid GROUP BY label, pos),
+off AS (SELECT l.label, l.m, sqrt(avg((l.x - d.x) * (l.x - d.x) + (l.y - d.y) * (l.y - d.y) + (l.z - d.z) * (l.z - d.z))) AS rmsd FROM laid l JOIN mid d ON d.label = l.label AND d.pos = l.pos GROUP BY l.label, l.m),
+best AS (SELECT label, arg_min(m, (round(rmsd, 9), m)) AS m, min(rmsd) AS rmsd FROM off GROUP BY label)
+SELECT a.label, coalesce(b.m, 1) AS model, round(b.rmsd, 6) AS rmsd FROM (SELECT DISTINCT label FROM pts) a LEFT JOIN best b ON a.label = b.label"""
+
+
+@query(CONFORMER_SQL)
 def best_conformer(t: Tables) -> DataFrame:
-    """Rows only: each label's points as three models, two of them turned and one also distorted; models 1 and 2 agree."""
+    """Each label's points as three models, two of them turned and one also distorted; models 1 and 2 agree."""
     p = points(t).withColumn("model", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     turn = F.when(F.col("model") == 1, 0.0).otherwise(F.col("model") * 0.7)
     bump = F.when(F.col("model") == 3, 0.05 * F.sin(F.col("pos").cast("double"))).otherwise(0.0)
     p = p.select("label", "model", "pos", (F.col("x") * F.cos(turn) - F.col("y") * F.sin(turn) + bump).alias("x"), (F.col("x") * F.sin(turn) + F.col("y") * F.cos(turn)).alias("y"), "z")
-    return sequence.best_conformer(p, "label", "model", "pos", ["x", "y", "z"])
+    return r6(sequence.best_conformer(p, "label", "model", "pos", ["x", "y", "z"]), "rmsd")
 
 
 @query("SELECT event_id, value * 2 + 1 AS predicted FROM events")

@@ -128,9 +128,30 @@ def alignment_mapping(t: Tables) -> DataFrame:
     return sequence.alignment_mapping(paired(t), "conv_id", "a", "b")
 
 
-@query()
+SEQS = """o AS (SELECT conv_id, turn, min(upper(substr(role, 1, 1))) AS l FROM conversations GROUP BY 1, 2), q AS (SELECT conv_id, string_agg(l, '' ORDER BY turn) AS seq FROM o GROUP BY 1),
+s AS (SELECT a.conv_id, a.seq AS a, b.seq AS b FROM q a JOIN q b ON b.conv_id = a.conv_id + 1)"""
+
+
+@query(
+    f"""WITH RECURSIVE {SEQS},
+dp AS (SELECT conv_id, a, b, 0 AS i, [CASE WHEN j = 0 THEN 0.0::DOUBLE ELSE -2.0 - 0.5 * (j - 1) END for j in range(length(b) + 1)] AS best, [-1e18::DOUBLE for j in range(length(b) + 1)] AS down,
+  [CASE WHEN j = 0 THEN -1e18::DOUBLE ELSE -2.0 - 0.5 * (j - 1) END for j in range(length(b) + 1)] AS gap FROM s
+UNION ALL SELECT conv_id, a, b, i + 1, [greatest(two[j + 1], gaps[j + 1]) for j in range(length(b) + 1)], one, gaps FROM (
+  SELECT *, [coalesce(list_max([two[k + 1] - 2.0 - 0.5 * (j - k - 1) for k in range(j)]), -1e18) for j in range(length(b) + 1)] AS gaps FROM (
+    SELECT *, [greatest(one[j + 1], CASE WHEN j = 0 THEN -1e18 ELSE best[j] + CASE WHEN substr(a, i + 1, 1) = substr(b, CAST(j AS INTEGER), 1) THEN 2.0 ELSE -1.0 END END) for j in range(length(b) + 1)] AS two FROM (
+      SELECT *, [greatest(best[j + 1] - 2.0, down[j + 1] - 0.5) for j in range(length(b) + 1)] AS one FROM dp WHERE i < length(a))))),
+tr AS (SELECT conv_id, a, b, length(a) AS i, length(b) AS k, 'best' AS mode, '' AS x, '' AS y FROM s
+UNION ALL SELECT conv_id, a, b, i - CAST(go IN ('diagonal', 'down') AS INTEGER), k - CAST(go IN ('diagonal', 'right') AS INTEGER), CASE WHEN ends THEN 'best' ELSE go END,
+  CASE WHEN go = 'right' THEN '-' ELSE substr(a, CAST(i AS INTEGER), 1) END || x, CASE WHEN go = 'down' THEN '-' ELSE substr(b, CAST(k AS INTEGER), 1) END || y FROM (
+  SELECT *, go = 'diagonal' OR go = 'down' AND abs(down - above + 2.0) < 1e-9 OR go = 'right' AND abs(gap - before + 2.0) < 1e-9 AS ends FROM (
+    SELECT t.*, c.down[k + 1] AS down, c.gap[k + 1] AS gap, c.best[k] AS before, p.best[k + 1] AS above,
+      CASE WHEN mode <> 'best' THEN mode WHEN t.i > 0 AND k > 0 AND c.best[k + 1] = p.best[k] + CASE WHEN substr(t.a, CAST(t.i AS INTEGER), 1) = substr(t.b, CAST(k AS INTEGER), 1) THEN 2.0 ELSE -1.0 END THEN 'diagonal'
+        WHEN t.i > 0 AND abs(c.best[k + 1] - c.down[k + 1]) < 1e-9 THEN 'down' ELSE 'right' END AS go
+    FROM tr t JOIN dp c ON c.conv_id = t.conv_id AND c.i = t.i LEFT JOIN dp p ON p.conv_id = t.conv_id AND p.i = t.i - 1 WHERE t.i > 0 OR k > 0)))
+SELECT d.conv_id, d.a AS seq, d.b AS seq_b, CAST(best[length(d.b) + 1] AS DOUBLE) AS score, x AS gapped_a, y AS gapped_b FROM dp d JOIN tr ON tr.conv_id = d.conv_id AND tr.i = 0 AND tr.k = 0 WHERE d.i = length(d.a)"""
+)
 def align_pairs(t: Tables) -> DataFrame:
-    """Rows only: the tie rule and the scores are held against brute force in the tests."""
+    """The alignments with the tie rule, by dynamic programming and a walk back in SQL."""
     return sequence.align_pairs(paired(t).select("conv_id", "seq", "seq_b"), "seq", "seq_b")
 
 

@@ -165,7 +165,10 @@ def test_superposition(spark):
     x = rng.normal(size=(30, 3))
     q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
     q *= np.sign(np.linalg.det(q))
-    assert np.abs(sequence.superpose(x @ q + 3, x) - x).max() < 1e-9
+    both = [(0, *map(float, a), *map(float, b)) for a, b in zip(x @ q + 3, x, strict=True)]
+    turn = sequence.superposition(spark.createDataFrame(both, "g int, a double, b double, c double, x double, y double, z double"), ["g"], ["a", "b", "c"], ["x", "y", "z"]).first()
+    moved = (x @ q + 3 - turn["centre"]) @ np.array(turn["turn"]).reshape(3, 3).T + turn["goal"]
+    assert np.abs(moved - x).max() < 1e-9
     models = {1: x, 2: x @ q + 1, 3: x + rng.normal(scale=0.3, size=x.shape)}
     rows = [("e", m, i, *map(float, p)) for m, c in models.items() for i, p in enumerate(c)] + [("short", m, i, 0.0, 0.0, float(i)) for m in (4, 5) for i in range(3)]
     got = {r[0]: r for r in sequence.best_conformer(spark.createDataFrame(rows, "e string, m int, p int, x double, y double, z double"), "e", "m", "p", ["x", "y", "z"]).collect()}

@@ -1,6 +1,7 @@
 """Operators against brute force: running sums, percentiles, nearest neighbours through growing cells, the chosen conformer."""
 
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -8,6 +9,65 @@ from pyspark.sql import functions as F
 from residua.operators import geometry, metrics, ranking, reshape, sequence
 
 
+def superpose(mobile, target):
+    """The rigid motion of the rows of ``mobile`` that brings them closest to ``target``, by singular values."""
+    cm, ct = mobile.mean(axis=0), target.mean(axis=0)
+    u, _, vt = np.linalg.svd((mobile - cm).T @ (target - ct))
+    flip = np.diag([1.0, 1.0, np.sign(np.linalg.det(u @ vt)) or 1.0])
+    return (mobile - cm) @ (u @ flip @ vt) + ct
+
+
+def test_superposition_of_any_points(spark):
+    """Against singular values: mirrored, flat, straight, coinciding and far-away points; where several rotations are best, by the distance that is left."""
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for g in range(40):
+        x, y = rng.normal(size=(9, 3)), rng.normal(size=(9, 3))
+        kind = g % 8
+        if kind == 1:
+            y = x * [1, 1, -1]
+        if kind == 2:
+            x[:, 2] = 0
+        if kind == 3:
+            x = np.outer(rng.normal(size=9), [1.0, 2.0, 3.0])
+        if kind == 4:
+            x[:] = 1.5
+        if kind == 5:
+            x, y = x + 1e4, x + rng.normal(size=(9, 3)) * 0.01
+        if kind == 6:
+            y = x @ np.diag([-1.0, -1.0, 1.0])
+        if kind == 7:
+            x, y = x * 1e-3, y * 1e3
+        want[g] = float(((superpose(x, y) - y) ** 2).sum())
+        rows += [(g, *map(float, a), *map(float, b)) for a, b in zip(x, y, strict=True)]
+    df = spark.createDataFrame(rows, "g long, a double, b double, c double, x double, y double, z double")
+    for r in sequence.superposition(df, ["g"], ["a", "b", "c"], ["x", "y", "z"]).collect():
+        turn = np.array(r["turn"]).reshape(3, 3)
+        own = np.array([v[1:] for v in rows if v[0] == r["g"]])
+        left = float((((own[:, :3] - r["centre"]) @ turn.T + r["goal"] - own[:, 3:]) ** 2).sum())
+        assert np.abs(turn @ turn.T - np.eye(3)).max() < 1e-9 and np.linalg.det(turn) > 0
+        assert abs(left - want[r["g"]]) <= 1e-7 * max(1.0, (own[:, 3:] ** 2).sum()), (r["g"], left, want[r["g"]])
+    assert sequence.superposition(df.limit(0), ["g"], ["a", "b", "c"], ["x", "y", "z"]).collect() == []
+
+
+def test_alignment_in_linear_space(monkeypatch):
+    """However the rows are cut, the same alignment comes out; long strings stay within memory."""
+    rng = random.Random(9)
+    pairs = [("".join(rng.choice("ABCD") for _ in range(rng.randrange(60))), "".join(rng.choice("ABCD") for _ in range(rng.randrange(60)))) for _ in range(60)] + [("", ""), ("", "AB"), ("AB", ""), ("é日", "日")]
+    whole = [sequence.align(a, b) for a, b in pairs]
+    for cells in (1, 64, 700):
+        monkeypatch.setattr(sequence, "CELLS", cells)
+        assert [sequence.align(a, b) for a, b in pairs] == whole
+    monkeypatch.undo()
+    a = "".join(rng.choice("ACDEFGHIKL") for _ in range(6000))
+    b = a[:2000] + a[2300:5000] + "W" * 80 + a[5000:]
+    tracemalloc.start()
+    score, x, y = sequence.align(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert score == 2.0 * (len(b) - 80) - (2 + 0.5 * 299) - (2 + 0.5 * 79) and x.replace("-", "") == a and y.replace("-", "") == b
+    assert most < 20e6
+
 def test_running_and_percentiles(spark):
     rng = random.Random(3)
     rows = [(rng.choice(["a", "b", None]), rng.choice([None, float(rng.randrange(40)), rng.random()]), i) for i in range(700)]
@@ -65,7 +125,7 @@ def test_chosen_conformer(spark):
             q = q * np.sign(np.diag(r))
             q[:, 0] *= np.sign(np.linalg.det(q))
             models.append((base + rng.normal(size=base.shape) * 0.05 * rng.integers(1, 6)) @ q + rng.normal(size=3))
-        laid = np.array([sequence.superpose(x, models[0]) for x in models])
+        laid = np.array([superpose(x, models[0]) for x in models])
         rmsd = np.sqrt(((laid - np.median(laid, axis=0)) ** 2).sum(axis=2).mean(axis=1))
         want[e] = (int(np.argmin(rmsd)) + 1, float(rmsd.min()))
         rows += [(e, m, p, *map(float, x[p])) for m, x in enumerate(models, 1) for p in range(14)]
