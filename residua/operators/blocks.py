@@ -21,13 +21,11 @@ def _vectors(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 0)
 
 
-def block_top_k(df: DataFrame, key: str, group: str, vec: str, k: int, blocks: int | None = None, approx: bool = False, bucket: float = 0.5, tables: int = 8) -> DataFrame:
+def block_top_k(df: DataFrame, key: str, group: str, vec: str, k: int, blocks: int | None = None) -> DataFrame:
     """Each row is sent to one cell of a (query block, row block) grid for every block of the other side, so a cell holds a
     bounded share of both; cells give each query's k best, and those are ranked. By default there are as many blocks
-    as leave about ``BLOCK_ROWS`` rows to each; work is the table squared by nature, in the exact mode."""
+    as leave about ``BLOCK_ROWS`` rows to each; work is the table squared by nature."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(group).cast("string").alias("g"), F.col(vec).cast("array<double>").alias("v")).where("v is not null")
-    if approx:
-        return _approx(rows, k, bucket, tables).withColumnRenamed("id", key)
     blocks = blocks or max(2, -(-rows.count() // BLOCK_ROWS))
     part = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -65,19 +63,3 @@ def block_top_k(df: DataFrame, key: str, group: str, vec: str, k: int, blocks: i
     scored = map_arrow(cells, score, "id long, neighbour long, score double")
     w = Window.partitionBy("id").orderBy(F.col("score").desc(), "neighbour")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("id").alias(key), "rank", "neighbour", "score")
-
-
-def _approx(rows: DataFrame, k: int, bucket: float, tables: int) -> DataFrame:
-    """Candidates that fall into the same bucket of a random projection in one of several tables, scored exactly."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    vectors = rows.withColumn("vec", array_to_vector("v"))
-    model = BucketedRandomProjectionLSH(inputCol="vec", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7).fit(vectors)
-    hashed = model.transform(vectors).select("id", "g", "v", F.posexplode(F.transform("h", lambda z: F.xxhash64(z.cast("string")))).alias("t", "h"))
-    other = hashed.select(F.col("id").alias("neighbour"), F.col("g").alias("g2"), F.col("v").alias("v2"), "t", "h")
-    met = hashed.join(other.hint("merge"), ["t", "h"]).where("g <> g2").dropDuplicates(["id", "neighbour"])
-    dot = F.aggregate(F.zip_with("v", "v2", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    scored = met.select("id", "neighbour", F.round(dot, 6).alias("score"))
-    w = Window.partitionBy("id").orderBy(F.col("score").desc(), "neighbour")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "neighbour", "score")

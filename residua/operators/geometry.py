@@ -152,12 +152,15 @@ def cross_pairs(residues: DataFrame, neighbours: DataFrame, entity: str, pos: st
     return rows.groupBy(entity, pos).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, cap).alias("pairs"))
 
 
-def knn_exclude_group(df: DataFrame, key: str, group: str, vec: str, k: int = 32, approx: bool = False, buckets: float = 0.5, tables: int = 8) -> DataFrame:
+def knn_exclude_group(df: DataFrame, key: str, group: str, vec: str, k: int = 32, approx: bool = False) -> DataFrame:
     """(key, rank, neighbour, score): the k highest dot products with rows of another group; the smaller key on ties.
 
     Exact by default: queries are taken in blocks (each row meets each block once, in numpy), a block's best are ranked
-    before anything is shuffled. With ``approx`` only rows that share a random-projection bucket are scored.
+    before anything is shuffled. With ``approx`` an index is fitted and searched, see ``vectorindex``.
     """
+    from residua.operators import vectorindex
     from residua.operators.blocks import block_top_k
 
-    return block_top_k(df, key, group, vec, k, approx=approx, bucket=buckets, tables=tables)
+    if approx:
+        return vectorindex.search(df, key, group, vec, vectorindex.fit(df, key, group, vec, k), k)
+    return block_top_k(df, key, group, vec, k)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions.expressions import md5_fold
-from residua.operators import geometry, position, scoring, sequence
+from residua.operators import geometry, position, scoring, sequence, vectorindex
 from residua.operators import split as splits
 from residua.plans.measures import fold_sql, r6
 from residua.plans.registry import Tables, query
+from residua.scratch import written
 
 #: Names for the 21 triples of a vector.
 NAMES = "N CA C O CB CG CD H HA HB2 HB3 HG2 HG3 HD1 HD2 NE CZ OG SD OH 1HG1".split()
@@ -143,6 +144,28 @@ def knn_excl_group(t: Tables) -> DataFrame:
     return geometry.knn_exclude_group(t.embeddings, "vec_id", "label", "embedding")
 
 
+def _asked() -> Column:
+    return F.col("vec_id") % 20 == 0
+
+
+@query()
+def knn_index(t: Tables) -> DataFrame:
+    """The neighbours that the index finds for every twentieth row; ``knn_index_recall`` holds them against all dot products."""
+    index = vectorindex.fit(t.embeddings, "vec_id", "label", "embedding")
+    return vectorindex.search(t.embeddings, "vec_id", "label", "embedding", index, queries=_asked())
+
+
+@query("SELECT count(*) AS n_queries, 32 * count(*) AS n_found, true AS reached, true AS scores_agree FROM embeddings WHERE vec_id % 20 = 0")
+def knn_index_recall(t: Tables) -> DataFrame:
+    """Whether the index finds 95 % of the true neighbours of every twentieth row, each with its true score."""
+    found = written(knn_index(t), "found")
+    exact = written(geometry.knn_exclude_group(t.embeddings, "vec_id", "label", "embedding").where(_asked()), "exact")
+    both = exact.join(found.select("vec_id", "neighbour", F.col("score").alias("s")).hint("merge"), ["vec_id", "neighbour"], "left")
+    told = both.agg(F.avg(F.col("s").isNotNull().cast("int")).alias("recall"), F.coalesce(F.bool_and(F.abs(F.col("s") - F.col("score")) <= 1e-6), F.lit(True)).alias("scores_agree"))
+    sizes = found.agg(F.count_distinct("vec_id").alias("n_queries"), F.count("*").alias("n_found"))
+    return sizes.crossJoin(told).select("n_queries", "n_found", (F.col("recall") >= 0.95).alias("reached"), "scores_agree")
+
+
 _PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
 _AT = {frozenset(ij): k for k, ij in enumerate(_PAIRS, 1)}
 #: The square of a symmetric matrix that is given by its upper half.
