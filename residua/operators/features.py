@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from residua.functions import constants as C
 from residua.functions.expressions import angle_features, code_of
 from residua.operators import geometry, position
+from residua.scratch import written
 
 #: Rows of these kinds are no supervision: their structure is missing or another residue's.
 CLEARED = ("gap_in_structure", "mismatch")
@@ -29,7 +30,8 @@ def structure_features(residues: DataFrame, entity: str, pos: str, w: int = 5, k
     atom = lambda a: code_of(a, C.ATOMS)
     one = lambda name: F.get(F.filter("atoms", lambda z: z["atom"] == name), F.lit(0))
     flat = residues.select(*keys, *[one(name)[c].alias(f"{name.lower()}_{c}") for name in ("CA", "C", "N") for c in "xyz"])
-    near = geometry.spatial_knn(flat, entity, pos, ["ca_x", "ca_y", "ca_z"], k, min_sep).withColumnRenamed("pos", pos)
+    # written, since the neighbours themselves and the pairs with them both read it
+    near = written(geometry.spatial_knn(flat, entity, pos, ["ca_x", "ca_y", "ca_z"], k, min_sep).withColumnRenamed("pos", pos), "near")
     pairs = geometry.sparse_topm(geometry.intra_pairs(residues, keys), keys, m)
     pairs = pairs.select(*keys, F.transform("pairs", lambda z: F.struct(atom(z["a1"]).alias("a1"), atom(z["a2"]).alias("a2"), z["d"].alias("d"))).alias("pairs"))
     cloud = geometry.cloud_summary(residues, keys).select(*keys, F.struct("n", "mean", "spread", "most", "centroid").alias("cloud"))

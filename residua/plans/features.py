@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from residua.functions import constants as C
 from residua.functions import expressions as X
-from residua.operators import features, geometry, metrics, position, quality, split, stats
+from residua.operators import features, geometry, metrics, parity, position, quality, split, stats
 from residua.plans.geometry import ATOMS, BONDS, DIST, KNN, NAMES, _bond, knn, points, residues
 from residua.plans.measures import BASE, BASE_SQL, EV_FOLD, PRED, fold_sql, folded, predictions, r6
 from residua.plans.registry import Tables, query
@@ -107,9 +107,7 @@ def feature_parity(t: Tables) -> DataFrame:
     atoms = residues(t).select("label", "pos", F.explode(F.shuffle("atoms")).alias("z")).select("label", "pos", "z.*")
     serve = features.residue_features(feature_rows(t).drop(*TARGETS), geometry.atom_arrays(atoms, ["label", "pos"]), given, "label", "pos", [], REPORT, **CUTS).drop("target_z", "target_mask")
     serve = written(serve, "serving")
-    train = train.select(serve.columns)
-    count = lambda side, own, other: own.exceptAll(other).agg(F.count("*").alias("n_missing")).crossJoin(own.agg(F.count("*").alias("n_rows"))).select(F.lit(side).alias("side"), "n_missing", "n_rows")
-    return count("serving", serve, train).unionByName(count("training", train, serve))
+    return parity.differences(serve, train.select(serve.columns), ["label", "pos"], ("serving", "training"))
 
 
 #: Target columns of the loss by residue, and the fixed groups and pairs as SQL rows.

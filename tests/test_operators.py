@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from residua.operators import geometry, metrics, ranking, reshape, sequence, vectorindex
+from residua.operators import components, geometry, metrics, parity, ranking, reshape, sequence, stats, vectorindex
 
 
 def superpose(mobile, target):
@@ -191,3 +191,79 @@ def test_vector_index(spark, monkeypatch):
         assert hit >= 0.95 * len(range(0, len(x), 20)) * 5
     empty = df.limit(0)
     assert vectorindex.search(empty, "id", "grp", "v", vectorindex.fit(empty, "id", "grp", "v")).collect() == []
+
+
+def test_percentiles_by_bands(spark, monkeypatch):
+    """Few rows in a band, so that sketches are taken again and again; ties, infinities and one value for all."""
+    rng = np.random.default_rng(3)
+    tables = {
+        "normal": rng.normal(size=3000).tolist(), "ties": [float(v) for v in rng.integers(0, 5, 3000)], "one": [2.5] * 500, "two": [1.0, 2.0], "mixed": [float("inf")] * 40 + rng.exponential(size=900).tolist() + [float("-inf")] * 3,
+        "skew": (rng.pareto(0.3, 2000) * 1e-3).tolist(), "half": [0.0] * 1500 + rng.random(1500).tolist(),
+    }
+    at = {"p0": 0.0, "p1": 0.01, "p50": 0.5, "p95": 0.95, "p999": 0.999, "p100": 1.0}
+    for band, accuracy in ((100_000, 10_000), (10, 50)):
+        monkeypatch.setattr(ranking, "BAND", band)
+        monkeypatch.setattr(ranking, "ACCURACY", accuracy)
+        for name, values in tables.items():
+            got = ranking.order_statistics(spark.createDataFrame([(v,) for v in [*values, None]], "v double"), "v", at).first()
+            for k, q in at.items():
+                own, place = sorted(values), (len(values) - 1) * q
+                lo, hi = own[int(np.floor(place))], own[int(np.ceil(place))]
+                want = lo if place == int(place) else (np.ceil(place) - place) * lo + (place - np.floor(place)) * hi
+                assert got[k] == want or abs(got[k] - want) < 1e-12 * max(1.0, abs(want)), (name, k, got[k], want)
+
+
+def test_train_only_statistics(spark):
+    """Far from zero, where subtraction would lose all digits; empty and single folds, nulls."""
+    rng = random.Random(2)
+    rows = [(rng.choice([0, 1, 2, 3, 6, None]), rng.choice("ab"), rng.choice([None, 1e9 + rng.random()])) for _ in range(400)] + [(1, "c", 5.0), (2, "d", None)]
+    df = spark.createDataFrame(rows, "fold int, col string, v double")
+    got = {(r["held_out"], r["col"]): r for r in stats.train_only_stats(df, "col", "v", "fold", [1, 2, 3]).collect()}
+    want = {}
+    for k in (1, 2, 3):
+        for c in "abcd":
+            own = [v for f, x, v in rows if x == c and f in (1, 2, 3) and f != k]
+            if own:
+                seen = [v for v in own if v is not None]
+                std = float(np.std(seen, ddof=1)) if len(seen) > 1 else 0.1
+                want[k, c] = (len(seen), float(np.mean(seen)) if seen else 0.0, max(std, 0.1) if seen else 1.0)
+    assert set(got) == set(want)
+    for key, (n, mean, std) in want.items():
+        assert got[key]["n"] == n and abs(got[key]["mean"] - mean) < 1e-6 and abs(got[key]["std"] - std) < 1e-6
+
+
+def test_components_of_forests(spark, monkeypatch):
+    """Chains, stars, cliques and numbers as text, in one task and dealt to many."""
+    rng = random.Random(11)
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(40)] + [(2000 + i, 2000 + j) for i in range(12) for j in range(i)] + [(rng.randrange(3000, 3300), rng.randrange(3000, 3300)) for _ in range(200)]
+    edges += [(None, 5), (7, None), (9, 9), (2001, 2000)]
+    for cast in (int, str):
+        root = {}
+        own = [tuple(None if x is None else cast(x) for x in e) for e in edges]
+        for a, b in own:
+            if a is not None and b is not None and a != b:
+                root.setdefault(a, a)
+                root.setdefault(b, b)
+        moved = True
+        while moved:
+            moved = False
+            for a, b in own:
+                if a in root and b in root and root[a] != root[b]:
+                    root[a] = root[b] = min(root[a], root[b])
+                    moved = True
+        df = spark.createDataFrame(own, f"src {'long' if cast is int else 'string'}, dst {'long' if cast is int else 'string'}")
+        for limit in (1_000_000, 50):
+            monkeypatch.setattr(components, "EDGES", limit)
+            assert {r["id"]: r["component"] for r in components.connected_components(df).collect()} == root
+    assert components.connected_components(df.limit(0)).collect() == []
+
+
+def test_parity_by_digests(spark):
+    rows = [(i, float(i % 7), [float(i), None], None if i % 3 else "x") for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, v double, a array<double>, s string")
+    told = lambda x, y: [tuple(r) for r in parity.differences(x, y, ["k"], ("x", "y")).orderBy("side").collect()]
+    assert told(df, df.orderBy(F.desc("v"))) == [("x", 0, 500), ("y", 0, 500)]
+    twice = df.unionByName(df.where("k = 3")).unionByName(df.where("k = 3"))
+    changed = df.withColumn("v", F.when(F.col("k") == 8, 99.0).otherwise(F.col("v"))).where("k <> 9")
+    assert told(twice, changed) == [("x", 4, 502), ("y", 1, 499)]
+    assert told(df, df.limit(0)) == [("x", 500, 500), ("y", 0, 0)] and told(df.limit(0), df.limit(0)) == [("x", 0, 0), ("y", 0, 0)]
