@@ -18,27 +18,44 @@ from residua.ship import map_arrow
 
 #: A region is what shares ``DEPTH`` min-hash values; every set stands in ``REGIONS`` of them.
 REGIONS, DEPTH = 24, 4
-#: Shingles a group of the count vectors has on average at most, and entries of a tree's node.
-PER_GROUP, FANOUT = 8, 16
+#: A vector has a group for each shingle at least; trees stand over sums of so many groups. Entries of a tree's node.
+COARSE, FANOUT = 8, 16
 #: Points, and shingles in their sets, of either side that one task compares (or one larger set).
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 #: In the first pass, so many of its best neighbours are confirmed for each set.
 BEST = 4
 
 
-def count_vector(shingles: np.ndarray) -> np.ndarray:
-    """How many shingles each group holds; the number of groups is the power of two that gives ``PER_GROUP`` or fewer a group, so the vector
+def count_vector(shingles: np.ndarray) -> bytes:
+    """How many shingles each group holds, after a byte with the width of the numbers; the number of groups is the power of two from the number of shingles on, so the vector
     of half as many groups is the sum of both halves."""
     groups = 16
-    while groups * PER_GROUP < len(shingles):
+    while groups < len(shingles):
         groups *= 2
-    return np.bincount((W.mix(shingles) & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+    counts = np.bincount((W.mix(shingles) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    wide = len(counts) and counts.max() > 255
+    return (b"\4" + counts.astype("<u4").tobytes()) if wide else (b"\1" + counts.astype(np.uint8).tobytes())
+
+
+def vector_of(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<u4" if packed[0] == 4 else np.uint8, offset=1)
 
 
 def folded(vector: np.ndarray, groups: int) -> np.ndarray:
     return vector.reshape(-1, groups).sum(axis=0, dtype=np.int32)
 
 
+def matrix(vectors: list[np.ndarray]) -> np.ndarray:
+    """Vectors one below the other, folded to the fewest groups that any has."""
+    groups = min(map(len, vectors))
+    return np.array([folded(v, groups) for v in vectors])
+
+
+def coarse(vectors: np.ndarray) -> np.ndarray:
+    groups = max(16, vectors.shape[1] // COARSE)
+    return vectors.reshape(len(vectors), -1, groups).sum(axis=1, dtype=np.int32)
+
+
 class CountTree:
     """A packed R-tree over the count vectors of sets: a node has the largest count of each group below it and the smallest size.
 
@@ -114,12 +131,6 @@ def segments(sizes: np.ndarray, percent: int) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(100 * own[:-1] < percent * own[1:]) + 1)
 
 
-def matrix(vectors: list[np.ndarray]) -> np.ndarray:
-    """Vectors side by side, folded to the fewest groups that any has."""
-    groups = min(map(len, vectors))
-    return np.array([folded(v, groups) for v in vectors])
-
-
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The rows of each run of equal keys; a run may go over several batches."""
     held: list[pa.RecordBatch] = []
@@ -145,7 +156,7 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
 
 def _points(some: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     ids, sizes = (some.column(c).to_numpy() for c in ("id", "size"))
-    return ids, sizes, [np.frombuffer(v, np.int32) for v in some.column("vector").to_pylist()]
+    return ids, sizes, [vector_of(v) for v in some.column("vector").to_pylist()]
 
 
 def _sign(size: int):
@@ -174,7 +185,7 @@ def _vectors(size: int):
         for b in batches:
             for lo, hi, buf, offsets in W.pieces(b.column(1)):
                 sets = list(shingle_sets(buf, offsets, size))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([count_vector(s).tobytes() for s in sets], pa.binary())], ["id", "size", "vector"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([count_vector(s) for s in sets], pa.binary())], ["id", "size", "vector"])
 
     return run
 
@@ -189,7 +200,7 @@ def _neighbours(keys: list[str], percent: int):
                 if len(rows) < 2:
                     continue
                 own = matrix([vectors[r] for r in rows])
-                tree = CountTree(own, sizes[rows])
+                tree = CountTree(coarse(own), sizes[rows])
                 i, j = [tree.order[:-1]], [tree.order[1:]]
                 for leaf in tree.leaves():
                     if len(leaf) > 2:
@@ -212,8 +223,9 @@ def _neighbours(keys: list[str], percent: int):
     return run
 
 
-def _across(keys: list[str], percent: int):
-    """(lo, hi): pairs of an asking point and one of another component that the bound leaves, found by walking down both trees at once."""
+def _across(keys: list[str], percent: int, one: bool):
+    """(lo, hi): pairs of an asking point and one of another component that the bound leaves, found by walking down both coarse trees at once and by the full vectors
+    then. With ``one``, of an asking point's pairs with each component only the most alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in by_group(batches, keys):
@@ -224,13 +236,24 @@ def _across(keys: list[str], percent: int):
                 if not len(mine) or not len(theirs):
                     continue
                 own = matrix([vectors[r] for r in rows])
+                rough = coarse(own)
                 at = np.zeros(len(ids), np.int64)
                 at[rows] = np.arange(len(rows))
-                x, y = (CountTree(own[at[r]], sizes[r]) for r in (mine, theirs))
+                x, y = (CountTree(rough[at[r]], sizes[r]) for r in (mine, theirs))
                 i, j = x.join(y, percent)
                 i, j = mine[i], theirs[j]
                 keep = comps[i] != comps[j]
-                i, j = ids[i[keep]], ids[j[keep]]
+                i, j = i[keep], j[keep]
+                keep = reach(own, sizes[rows], own, sizes[rows], at[i], at[j], percent)
+                i, j = i[keep], j[keep]
+                if one and len(i):
+                    both = np.concatenate([np.minimum(own[at[i[k : k + 4096]]], own[at[j[k : k + 4096]]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 4096)])
+                    order = np.lexsort((ids[j], -both / (sizes[i] + sizes[j] - both), comps[j], i))
+                    i, j = i[order], j[order]
+                    first = np.ones(len(i), bool)
+                    first[1:] = (i[1:] != i[:-1]) | (comps[j[1:]] != comps[j[:-1]])
+                    i, j = i[first], j[first]
+                i, j = ids[i], ids[j]
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["lo", "hi"])
 
@@ -290,7 +313,8 @@ def jaccard_classes(docs: DataFrame, key: str, text: str, size: int = 4, percent
     over all points could not be shared out, since unrelated texts of one length are near each other in it; so each set's point
     stands in ``REGIONS`` trees, one for each region that its min-hash values name. A pair of likeness 0.85 shares none of them
     with a probability of 2e-8, a higher one less. In a region, neighbours in packed order are candidates first; then, where a region still holds several components, the
-    trees of the rows outside its largest and of all its rows are joined from their roots, in blocks of bounded points: nothing is
+    trees of the rows outside its largest and of all its rows are joined from their roots, in blocks of bounded points: at first each row's best pair with each
+    other component, then, with the components that these links leave, every pair of two of them, so nothing is
     left out but what the bound excludes. Candidates are confirmed on the full sets of both texts.
 
     Null or wordless texts have no shingles and stay alone; rows with a null key stay, with a null component; rows of one key
@@ -329,12 +353,12 @@ def jaccard_classes(docs: DataFrame, key: str, text: str, size: int = 4, percent
     near = near.groupBy("lo", "hi").agg(F.max("alike").alias("alike"))
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("hi").orderBy(F.desc("alike"), "lo"))).where(F.col("rank") <= BEST)
     links = written(confirmed(written(near.select("lo", "hi"), "near")).distinct(), "links")
-    first = connected_components(links, src="lo", dst="hi")
-    blocks = _blocks(placed.drop("n", "all"), first)
-    left = _grouped(blocks, ["region", "x", "y"], _across(["region", "x", "y"], percent), "lo long, hi long").distinct()
-    more = confirmed(written(left, "left"))
-    links = written(links.unionByName(more).unionByName(through), "links")
-    comps = connected_components(links, src="lo", dst="hi")
+    block = ["region", "x", "y"]
+    for one in (True, False):
+        comps = connected_components(links, src="lo", dst="hi")
+        left = _grouped(_blocks(placed.drop("n", "all"), comps), block, _across(block, percent, one), "lo long, hi long").distinct()
+        links = written(links.unionByName(confirmed(written(left, "left"))), "links")
+    comps = connected_components(links.unionByName(through), src="lo", dst="hi")
 
     classes = distinct.select(*digest, "rep", "rows").join(comps.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left")
     classes = written(classes.select(*digest, "rows", F.coalesce("component", "rep").alias("component")), "classes")

@@ -89,7 +89,7 @@ def test_count_tree_leaves_what_the_bound_leaves():
     base = rng.integers(0, 1 << 40, (6, 400))
     sets = [np.unique(np.append(base[i % 6][: rng.integers(350, 400)], rng.integers(0, 1 << 40, rng.integers(0, 60)))).astype(np.uint64) for i in range(150)]
     sizes = np.array([len(s) for s in sets])
-    vectors = countjoin.matrix([countjoin.count_vector(s) for s in sets])
+    vectors = countjoin.matrix([countjoin.vector_of(countjoin.count_vector(s)) for s in sets])
     tree, other = countjoin.CountTree(vectors[:100], sizes[:100]), countjoin.CountTree(vectors[100:], sizes[100:])
     i, j = tree.join(other, 85)
     both = np.minimum(vectors[:100, None], vectors[None, 100:]).sum(axis=2)
@@ -97,6 +97,10 @@ def test_count_tree_leaves_what_the_bound_leaves():
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(i) == len(want)
     linked = {(a, b - 100) for a in range(100) for b in range(100, 150) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))}
     assert linked and linked <= want
+    rough = countjoin.coarse(vectors)
+    assert rough.shape[1] * countjoin.COARSE == vectors.shape[1]
+    i, j = countjoin.CountTree(rough[:100], sizes[:100]).join(countjoin.CountTree(rough[100:], sizes[100:]), 85)
+    assert want <= set(zip(i.tolist(), j.tolist(), strict=True))
 
 
 def test_jaccard_odd(spark, odd, none):
