@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from residua.operators import components, geometry, metrics, parity, ranking, reshape, sequence, stats, vectorindex
+from residua.operators import components, geometry, metrics, parity, position, ranking, reshape, sequence, stats, vectorindex
 
 
 def superpose(mobile, target):
@@ -267,3 +267,31 @@ def test_parity_by_digests(spark):
     changed = df.withColumn("v", F.when(F.col("k") == 8, 99.0).otherwise(F.col("v"))).where("k <> 9")
     assert told(twice, changed) == [("x", 4, 502), ("y", 1, 499)]
     assert told(df, df.limit(0)) == [("x", 500, 500), ("y", 0, 0)] and told(df.limit(0), df.limit(0)) == [("x", 0, 0), ("y", 0, 0)]
+
+
+def test_one_long_entity_in_stretches(spark, monkeypatch):
+    """Windows, neighbours and edges of an entity that is cut into many stretches are those of its plain order, and its rows stand in many tasks."""
+    rng = random.Random(6)
+    rows = [("hot", p, float(p % 97)) for p in sorted(rng.sample(range(-3000, 9000), 4000))] + [("far", p, 1.0) for p in (-900, 5, 6, 7, 100_000, 10**9)] + [("one", 3, 2.0), (None, 1, 0.5), (None, 2, 0.25)]
+    df = spark.createDataFrame(rows, "e string, p long, v double").repartition(5)
+    beside = lambda before, after: {"b": before("v"), "bp": before("p"), "a": after("v"), "ap": after("p")}
+    for stretch in (1 << 16, 16, 3):
+        monkeypatch.setattr(position, "STRETCH", stretch)
+        context = position.window_context(df, "e", "p", ["v"], 5)
+        got = {(r["e"], r["p"]): [tuple(z) for z in r["context"]] for r in context.collect()}
+        rowwise = {(r["e"], r["p"]): r for r in position.adjacent(df, "e", "p", beside, "row").collect()}
+        close = {(r["e"], r["p"]): r for r in position.adjacent(df, "e", "p", beside).collect()}
+        edges = {(r["e"], r["p"]): r["is_edge"] for r in position.edge_flag(df, "e", "p").collect()}
+        assert len(got) == len(rowwise) == len(close) == len(edges) == len(rows)
+        for e in ("hot", "far", "one", None):
+            own = [(p, v) for x, p, v in rows if x == e]
+            for i, (p, _) in enumerate(own):
+                assert got[e, p] == [(q - p, u) for q, u in own[max(0, i - 11) : i + 12] if abs(q - p) <= 5]
+                last, first = (own[i - 1] if i else (None, None)), (own[i + 1] if i + 1 < len(own) else (None, None))
+                assert (rowwise[e, p]["bp"], rowwise[e, p]["b"], rowwise[e, p]["ap"], rowwise[e, p]["a"]) == (*last, *first)
+                assert (close[e, p]["b"], close[e, p]["a"]) == (last[1] if last[0] == p - 1 else None, first[1] if first[0] == p + 1 else None)
+                assert edges[e, p] == (i < 2 or i >= len(own) - 2)
+        if stretch == 16:
+            held = [r["n"] for r in context.where("e = 'hot'").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+            assert len(held) > 1 and max(held) < 0.6 * sum(held)
+    assert position.edge_flag(df.limit(0), "e", "p").collect() == [] and position.adjacent(df.limit(0), "e", "p", beside, "row").collect() == []
