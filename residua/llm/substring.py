@@ -119,7 +119,8 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, key: str, text: str, window: int = 50, gram: int = 12) -> DataFrame:
     """(id, sig, first, windows, ref, ref_first): runs of windows of ``window`` words that also start in a document with a smaller key,
-    each with its reference: the smallest such key, and the word where the run begins there (the first such place).
+    each with its reference: for a block that is matched as a whole, the smallest key that has all of it, else for each window the smallest key that has it; and the word where the
+    run begins there (the first such place).
 
     Every document is cut into content-defined blocks, and all blocks of all documents are indexed by anchor and by text. A block that a
     smaller key has as a whole is matched with all its windows at once;

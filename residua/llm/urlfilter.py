@@ -36,8 +36,8 @@ def prepared_rules(rules: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", broadcast_rules: int = 100_000) -> DataFrame:
     """``pages`` with host, path, rule (null if none fits) and verdict.
 
-    Each distinct url is expanded into its host suffixes times those path prefixes whose length some rule has; an
-    expression meets the rules by the first 32 bits of its SHA-256 and counts if the whole digest agrees. The
+    Each distinct url is expanded into its host suffixes of as many labels as some rule has, times those path prefixes whose length some rule has, so
+    a host of any number of labels costs no more than its length; an expression meets the rules by the first 32 bits of its SHA-256 and counts if the whole digest agrees. The
     longest rule wins. Rules are broadcast only when a count shows at most ``broadcast_rules`` of them; more are
     met in a sort-merge join. Both that join and the one that brings verdicts back to the pages have a written table on either side, so
     that a rule or url that very many rows share can be split over tasks; urls without a host take no part in them. Null and odd urls
@@ -47,13 +47,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     """
     pages = pages.drop("host", "path", "rule", "verdict")
     known = written(prepared_rules(rules), "rules")
-    n_rules, lengths = known.agg(F.count("*"), F.sort_array(F.collect_set("_path_len"))).first()
+    dots = lambda h: F.length(h) - F.length(F.replace(h, F.lit("."), F.lit("")))
+    n_rules, lengths, counts = known.agg(F.count("*"), F.sort_array(F.collect_set("_path_len")), F.sort_array(F.collect_set(dots(F.expr("left(rule, _host_len)")) + 1))).first()
     host, path = url_parts(F.col(url))
     out = pages.withColumn("host", host).withColumn("path", path)
     distinct = out.where("host <> ''").select("host", "path").distinct()
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
-    cuts = F.array(*[F.lit(int(x)) for x in lengths]).cast("array<int>")
+    labels, cuts = (F.array(*[F.lit(int(x)) for x in some]).cast("array<int>") for some in (counts, lengths))
+    suffixes = F.transform(F.filter(labels, lambda n: n <= dots(F.col("host")) + 1), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
     prefixes = F.transform(F.filter(cuts, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     digests = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.sha2(F.concat(h, F.lit("\u0001"), p), 256))))
     asked = distinct.select("host", "path", F.explode(digests).alias("_full")).withColumn("_short", F.substring("_full", 1, PREFIX_HEX))

@@ -547,6 +547,11 @@ def test_urls(spark):
     assert {r["page_id"] for r in urlfilter.filter_urls(df, upper).where("verdict = 'block' and rule = 'example.org/'").collect()} == {0, 1, 12, 13, 14}
     long = spark.createDataFrame([(1, "http://example.org/es/" + "x/" * 50_000), (2, "http://" + "a." * 300 + "com/de/")], "page_id long, url string")
     assert {r["page_id"]: r["verdict"] for r in urlfilter.filter_urls(long, rules).collect()} == {1: "block", 2: "block"}
+    begun = time.time()
+    deep = spark.createDataFrame([(1, "http://" + "a." * 100_000 + "com/de/"), (2, "http://" + "." * 100_000 + "org/"), (3, "http://" + "a." * 100_000 + "net/")], "page_id long, url string")
+    many = rules.unionByName(spark.createDataFrame([("a." * 20_000 + "com", "/d", "allow")], "host string, path string, verdict string"))
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.filter_urls(deep, many).collect()}
+    assert got == {1: ("a." * 20_000 + "com/d", "allow"), 2: ("org/", "allow"), 3: (None, "allow")} and time.time() - begun < 60
     assert urlfilter.filter_urls(df.limit(0), rules).count() == 0
     assert {r["verdict"] for r in urlfilter.filter_urls(df, rules.limit(0)).collect()} == {"allow"}
 
