@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from residua.functions import constants as C
 from residua.operators.ranking import order_statistics
-from residua.scratch import written
+from residua.scratch import beside, written
 
 
 def _squares(y: str, p: str) -> list[Column]:
@@ -91,16 +91,17 @@ def swap_huber(df: DataFrame, key: list[str], kind: str, y: str, p: str, groups:
     own = [residue] if residue else []
     grp = groups.groupBy(*own, kind).agg(F.min("grp").alias("grp"))
     both = pairs.select(*own, kind, "other").unionByName(pairs.select(*own, F.col("other").alias(kind), F.col(kind).alias("other"))).groupBy(*own, kind).agg(F.min("other").alias("other"))
-    seen = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
-    w = seen.join(grp, [*own, kind], "left")
+    # written, since rows meet their mates in a join of the table with itself
+    seen = written(df.where(F.col(y).isNotNull() & F.col(p).isNotNull()), "seen")
+    w = seen.join(beside(grp), [*own, kind], "left")
     if present is None:
         n = F.count("*").over(Window.partitionBy(*key, "grp"))
     else:
         sizes = grp.where(F.col(kind).isin(present)).groupBy(*own, "grp").agg(F.count("*").alias("__n"))
-        w, n = w.join(sizes, [*own, "grp"], "left"), F.coalesce(F.col("__n"), F.lit(1))
+        w, n = w.join(beside(sizes), [*own, "grp"], "left"), F.coalesce(F.col("__n"), F.lit(1))
     w = w.withColumn("weight", F.when(F.col("grp").isNotNull(), 1.0 / n).otherwise(1.0))
     mate = seen.select(*key, F.col(kind).alias("other"), F.col(y).alias("__y"), F.col(p).alias("__p"))
-    w = w.join(both, [*own, kind], "left").join(mate, [*key, "other"], "left")
+    w = w.join(beside(both), [*own, kind], "left").join(mate.hint("merge"), [*key, "other"], "left")
     direct = huber_of(F.col(p) - F.col(y), delta)
     swapped = huber_of(F.col(p) - F.col("__y"), delta) + huber_of(F.col("__p") - F.col(y), delta)
     straight = direct + huber_of(F.col("__p") - F.col("__y"), delta)

@@ -228,7 +228,7 @@ def near_duplicates(df: DataFrame, key: str, text: Column, size: int = 3, thresh
     ``text`` is an array of tokens. Mode ``both`` asks for common / union of ``threshold``; mode ``containment`` for common / the smaller set
     of ``threshold``. Both ask nothing of ``coverage`` beyond that unless it is above 0: the smaller set has at least
     that share of the larger one in mode ``both``. Exact: rows with equal sets are one class, linked by its smallest key;
-    classes are joined by prefix filtering, rarest shingles first, and confirmed on the full sets. Rows with fewer
+    classes are joined by prefix filtering, rarest shingles first, with the places of a common shingle as a second filter, and confirmed on the full sets. Rows with fewer
     tokens than a shingle have one shingle of what there is; rows without tokens have none and match nothing.
     """
     hashed = df.select(F.col(key).alias("id"), F.transform(text, lambda w: F.xxhash64(w)).alias("h"))
@@ -236,21 +236,29 @@ def near_duplicates(df: DataFrame, key: str, text: Column, size: int = 3, thresh
     grams = F.when(F.size("h") >= size, F.transform(F.sequence(F.lit(0), F.size("h") - size), gram)).when(F.size("h") > 0, F.array(F.xxhash64("h")))
     # written once, before any filter: the sets are read by every step below, and a predicate on them that was pushed
     # under the projection would compute the tokens anew for every shingle
-    sets = written(hashed.select("id", F.array_sort(F.array_distinct(grams)).alias("s")), "sets")
-    classes = written(sets.where("size(s) > 0").groupBy("s").agg(F.min("id").alias("rep")), "classes")
-    same = sets.select(F.col("id").alias("b"), "s").join(classes.hint("merge"), "s").where("b <> rep").select(F.col("rep").alias("a"), "b", F.size("s").alias("common"), F.size("s").alias("n_a"), F.size("s").alias("n_b"))
-    reps = classes.select(F.col("rep").alias("id"), "s", F.size("s").alias("n"))
+    s = F.array_sort(F.array_distinct(grams))
+    sets = written(hashed.select("id", s.alias("s")).select("id", "s", F.size("s").alias("n"), F.xxhash64("s").alias("d1"), F.xxhash64(F.lit(1), "s").alias("d2")), "sets")
+    # equal sets meet by size and 128 bits of digest; only the smallest key's set goes on
+    digest = ["n", "d1", "d2"]
+    classes = written(sets.where("n > 0").groupBy(*digest).agg(F.min("id").alias("rep")), "classes")
+    members = written(sets.select("id", *digest).join(classes.hint("merge"), digest), "members")
+    same = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.col("n").alias("common"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
+    reps = written(sets.select("id", "s", "n").join(members.where("id = rep").select("id").distinct().hint("merge"), "id", "left_semi"), "reps")
     flat = written(reps.select("id", "n", F.explode("s").alias("g")), "shingles")
     # a shingle of one class meets none; such shingles are the rarest, so they only count in the ranks of the others
     seen = flat.groupBy("g").agg(F.count("*").alias("f")).where("f > 1")
     alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))
-    ranked = flat.join(seen.hint("merge"), "g").withColumn("r", alone + F.row_number().over(Window.partitionBy("id").orderBy("f", "g")))
+    ranked = flat.join(written(seen, "seen").hint("merge"), "g").withColumn("r", alone + F.row_number().over(Window.partitionBy("id").orderBy("f", "g")))
+    ranked = written(ranked.select("id", "n", "g", "r"), "ranked")
     # of the smaller set, so many shingles are in common at least; one of its n - that + 1 rarest is then among them
     prefix = F.col("n") - F.ceil(F.col("n") * threshold) + 1
-    head = ranked.where(F.col("r") <= prefix).select("id", "n", "g")
-    other = (ranked if mode == "containment" else ranked.where(F.col("r") <= prefix)).select(F.col("id").alias("id2"), F.col("n").alias("n2"), "g")
+    head = ranked.where(F.col("r") <= prefix).select("id", "n", "g", "r")
+    other = (ranked if mode == "containment" else ranked.where(F.col("r") <= prefix)).select(F.col("id").alias("id2"), F.col("n").alias("n2"), "g", F.col("r").alias("r2"))
     least = F.ceil(F.col("n2") * threshold) if mode == "both" else F.lit(0)
-    met = head.join(other.hint("merge"), "g").where((F.col("id") != F.col("id2")) & (F.col("n") <= F.col("n2")) & (F.col("n") >= least))
+    # where both rank their first common shingle, what follows in either bounds what they share; later ones need not pass
+    union = F.ceil((F.col("n") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-9) if mode == "both" else F.ceil(F.col("n") * threshold - 1e-9)
+    follow = 1 + F.least(F.col("n") - F.col("r"), F.col("n2") - F.col("r2"))
+    met = head.join(other.hint("merge"), "g").where((F.col("id") != F.col("id2")) & (F.col("n") <= F.col("n2")) & (F.col("n") >= least) & (follow >= union))
     pairs = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
     full = pairs.join(reps.select(F.col("id").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").join(reps.select(F.col("id").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
     full = full.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), F.size("sa").alias("n_a"), F.size("sb").alias("n_b"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from residua.functions import constants as C
+from residua.scratch import beside
 
 
 def unpivot(df: DataFrame, ids: list[str], cols: list[str], name: str = "col", value: str = "value") -> DataFrame:
@@ -75,14 +76,14 @@ def zscore(df: DataFrame, stats: DataFrame, on: list[str], value: str, out: str
     z = F.when(F.col("std") > least_std, z / F.col("std")).otherwise(z)
     if clip is not None:
         z = F.greatest(F.lit(-clip), F.least(F.lit(clip), z))
-    joined = df.join(stats.select(*on, "mean", "std"), on, "left")
+    joined = df.join(beside(stats.select(*on, "mean", "std")), on, "left")
     return joined.withColumn(out, F.when(F.col(value).isNotNull() & F.col("mean").isNotNull(), z)).drop("mean", "std")
 
 
 def _both_scopes(df: DataFrame, stats: DataFrame, col: str, group: str, floor: float) -> DataFrame:
     g = stats.where("scope = 'group'").select(F.col("group").alias("__g"), F.col("col").alias("__c"), F.col("mean").alias("__gm"), F.col("std").alias("__gs"))
     a = stats.where("scope = 'global'").select(F.col("col").alias("__a"), F.col("mean").alias("__am"), F.col("std").alias("__as"))
-    out = df.join(g, (df[group] == g["__g"]) & (df[col] == g["__c"]), "left").join(a, df[col] == a["__a"], "left")
+    out = df.join(beside(g), (df[group] == F.col("__g")) & (df[col] == F.col("__c")), "left").join(beside(a), df[col] == F.col("__a"), "left")
     mean = F.coalesce("__gm", "__am", F.lit(0.0))
     std = F.greatest(F.coalesce("__gs", "__as", F.lit(1.0)), F.lit(floor))
     return out.withColumn("__mean", mean).withColumn("__std", std)
@@ -111,11 +112,11 @@ def lookup_first(df: DataFrame, table: DataFrame, group: str, name: str, values:
     """
     names = df.select(name).distinct()
     tried = names.select(name, F.col(name).alias("__alias"), F.lit(0).alias("__rank")).unionByName(
-        names.join(aliases.select(F.col(name), F.col("alias").alias("__alias"), F.col("rank").alias("__rank")), name)
+        names.join(beside(aliases.select(F.col(name), F.col("alias").alias("__alias"), F.col("rank").alias("__rank"))), name)
     )
     t = table.select(F.col(group), F.col(name).alias("__alias"), F.struct(*values).alias("__v"))
-    best = tried.join(t, "__alias").groupBy(group, name).agg(F.min_by("__v", "__rank").alias("__v"))
-    return df.join(best, [group, name], "left").select(*df.columns, *[F.col(f"__v.{v}").alias(v) for v in values])
+    best = tried.join(beside(t), "__alias").groupBy(group, name).agg(F.min_by("__v", "__rank").alias("__v"))
+    return df.join(beside(best), [group, name], "left").select(*df.columns, *[F.col(f"__v.{v}").alias(v) for v in values])
 
 
 def transfer_correct(df: DataFrame, base: DataFrame, source: str, target: str, atom: str, value: str, out: str = "corrected") -> DataFrame:
@@ -123,13 +124,13 @@ def transfer_correct(df: DataFrame, base: DataFrame, source: str, target: str, a
     where either is missing. ``base`` is (residue, atom, shift)."""
     s = base.select(F.col("residue").alias(source), F.col("atom").alias(atom), F.col("shift").alias("__s"))
     t = base.select(F.col("residue").alias(target), F.col("atom").alias(atom), F.col("shift").alias("__t"))
-    joined = df.join(s, [source, atom], "left").join(t, [target, atom], "left")
+    joined = df.join(beside(s), [source, atom], "left").join(beside(t), [target, atom], "left")
     return joined.withColumn(out, F.coalesce(F.col("__t") + (F.col(value) - F.col("__s")), F.col(value))).select(*df.columns, out)
 
 
 def secondary_shift(df: DataFrame, base: DataFrame, residue: str, atom: str, value: str, out: str = "secondary") -> DataFrame:
     b = base.select(F.col("residue").alias(residue), F.col("atom").alias(atom), F.col("shift").alias("__b"))
-    return df.join(b, [residue, atom], "left").withColumn(out, F.col(value) - F.col("__b")).drop("__b")
+    return df.join(beside(b), [residue, atom], "left").withColumn(out, F.col(value) - F.col("__b")).drop("__b")
 
 
 def read_constants(spark: SparkSession, path: str) -> DataFrame:
@@ -152,9 +153,9 @@ def fixed_stats(stats: DataFrame, constants: DataFrame, base: DataFrame, residue
     known = spark.createDataFrame(wanted, "residue string, col string, atom string")
     aliases = spark.createDataFrame([(a, m, i) for a, ms in C.METHYL_ALIASES.items() for i, m in enumerate(ms, 1)], "atom string, alias string, rank int")
     found = lookup_first(known, constants, "residue", "atom", ["center", "scale"], aliases)
-    found = found.join(base.select("residue", "atom", "shift"), ["residue", "atom"], "left")
+    found = found.join(beside(base.select("residue", "atom", "shift")), ["residue", "atom"], "left")
     every = stats.where("scope = 'global'").select("col", F.col("mean").alias("__m"), F.col("std").alias("__s"))
-    found = found.join(every, "col", "left")
+    found = found.join(beside(every), "col", "left")
     mean = F.coalesce("shift", "center", "__m", F.lit(0.0))
     std = F.greatest(F.coalesce("scale", "__s", F.lit(1.0)), F.lit(floor))
     rows = found.select(F.lit("group").alias("scope"), F.col("residue").alias("group"), "col", F.lit(None).cast("long").alias("n"), mean.alias("mean"), std.alias("std"))

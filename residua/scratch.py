@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -30,3 +31,9 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def beside(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` written and marked as the small side of a join: broadcast if a count shows at most ``most`` rows (of a few numbers and names each), else for a sort-merge join."""
+    own = written(df, "beside")
+    return F.broadcast(own) if own.count() <= most else own.hint("merge")

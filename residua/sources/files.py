@@ -33,9 +33,21 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
 
 
-def write_feature_store(features: DataFrame, stats: DataFrame, path: str, fold: str = "fold") -> None:
-    """Features partitioned by fold, statistics beside them. A large fold is split into several tasks and files."""
-    features.hint("rebalance", fold).write.partitionBy(fold).mode("overwrite").parquet(f"{path}/features")
+#: Bytes of a row group of a store that is in order, so that its footers tell small ranges apart.
+ROW_GROUP = 4 << 20
+
+
+def write_feature_store(features: DataFrame, stats: DataFrame, path: str, fold: str = "fold", order: list[str] | None = None) -> None:
+    """Features partitioned by fold, statistics beside them. A large fold is split into several tasks and files.
+
+    With ``order`` (an entity and a position, say) files hold ranges of it and are sorted, in small row groups, so the footers' least and most values
+    leave out nearly all of a fold when a range is read.
+    """
+    if order:
+        dealt = features.repartitionByRange(fold, *order).sortWithinPartitions(fold, *order)
+        dealt.write.option("parquet.block.size", ROW_GROUP).partitionBy(fold).mode("overwrite").parquet(f"{path}/features")
+    else:
+        features.hint("rebalance", fold).write.partitionBy(fold).mode("overwrite").parquet(f"{path}/features")
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
@@ -43,3 +55,10 @@ def read_feature_store(spark: SparkSession, path: str, fold: int | None = None)
     """(features, stats); of one fold, only its partition is read."""
     features = spark.read.parquet(f"{path}/features")
     return (features if fold is None else features.where(F.col("fold") == fold)), spark.read.parquet(f"{path}/stats")
+
+
+def read_range(spark: SparkSession, path: str, fold: int, entity: str, value: object, pos: str, first: int, last: int) -> DataFrame:
+    """The features of one entity of a fold from one position to another, both included. The conditions reach the scan, which opens the fold's partition alone and, in
+    a store in the order of ``entity`` and ``pos``, reads only the row groups whose footers allow such rows."""
+    features = spark.read.parquet(f"{path}/features")
+    return features.where((F.col("fold") == fold) & (F.col(entity) == F.lit(value)) & F.col(pos).between(first, last))

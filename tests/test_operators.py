@@ -4,9 +4,11 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from residua.operators import components, geometry, metrics, parity, position, ranking, reshape, sequence, stats, vectorindex
+from residua.sources import files
 
 
 def superpose(mobile, target):
@@ -295,3 +297,20 @@ def test_one_long_entity_in_stretches(spark, monkeypatch):
             held = [r["n"] for r in context.where("e = 'hot'").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
             assert len(held) > 1 and max(held) < 0.6 * sum(held)
     assert position.edge_flag(df.limit(0), "e", "p").collect() == [] and position.adjacent(df.limit(0), "e", "p", beside, "row").collect() == []
+
+
+def test_store_in_order(spark, tmp_path, monkeypatch):
+    """A range of positions is in few row groups of few files, by their footers alone; the rows are those of a plain filter."""
+    monkeypatch.setattr(files, "ROW_GROUP", 1 << 14)
+    rows = [(f"e{i % 7}", i, i % 3, float(i) / 7) for i in range(60_000)]
+    df = spark.createDataFrame(rows, "entity string, pos long, fold int, v double").repartition(6, "v")
+    none = df.limit(0).select(F.lit("global").alias("scope"))
+    for name, order in (("plain", None), ("sorted", ["entity", "pos"])):
+        files.write_feature_store(df, none, f"file://{tmp_path}/{name}", order=order)
+        got = files.read_range(spark, f"file://{tmp_path}/{name}", 1, "entity", "e3", "pos", 20_000, 21_000)
+        assert {tuple(r) for r in got.select("entity", "pos", "fold", "v").collect()} == {r for r in rows if r[0] == "e3" and r[2] == 1 and 20_000 <= r[1] <= 21_000}
+    parts = [pq.ParquetFile(f).metadata for f in sorted((tmp_path / "sorted" / "features" / "fold=1").glob("*.parquet"))]
+    groups = [m.row_group(i) for m in parts for i in range(m.num_row_groups)]
+    by = {parts[0].row_group(0).column(c).path_in_schema: c for c in range(parts[0].num_columns)}
+    held = [g.num_rows for g in groups if g.column(by["entity"]).statistics.min <= "e3" <= g.column(by["entity"]).statistics.max and g.column(by["pos"]).statistics.min <= 21_000 and g.column(by["pos"]).statistics.max >= 20_000]
+    assert sum(held) < 0.7 * sum(g.num_rows for g in groups) and len(groups) > 1
