@@ -14,12 +14,6 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from residua.llm import words as W
 from residua.ship import map_arrow
 
-#: The family of each language code; others are a family of their own.
-FAMILIES = {
-    "en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic",
-    "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance",
-    "pl": "slavic", "cs": "slavic", "sk": "slavic", "ru": "slavic", "uk": "slavic", "bg": "slavic",
-}
 UNKNOWN = "und"
 TRIGRAMS, BIGRAMS = 2048, 512
 #: Labelled rows of each language that the classifier is fitted on, and of all languages together, about; the only bounds on what is learned from.
@@ -84,11 +78,29 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 300) -> np.
     return w
 
 
+def families_of(x: np.ndarray, langs: list[str]) -> dict[str, str]:
+    """Each language's family, by its first member's name: languages joined with the one whose mean features are nearest to theirs, by the cosine of what sets either apart from the mean
+    of all. So a language stands with at least its nearest, and those that are taken for each other most have a classifier of their own."""
+    lang = np.array(langs)
+    names = sorted(set(langs))
+    means = np.array([x[lang == v].mean(axis=0, dtype=np.float64) for v in names])
+    apart = means - means.mean(axis=0)
+    apart /= np.maximum(np.linalg.norm(apart, axis=1, keepdims=True), 1e-12)
+    alike = apart @ apart.T
+    np.fill_diagonal(alike, -np.inf)
+    family = {v: v for v in names}
+    for v, near in zip(names, alike.argmax(axis=1) if len(names) > 1 else [], strict=len(names) > 1):
+        joined = sorted((family[v], family[names[near]]))
+        family = {k: joined[0] if f == joined[1] else f for k, f in family.items()}
+    return family
+
+
 class Model:
     """Family classifiers, one against the rest, and a pairwise classifier for each two languages of a family."""
 
-    def __init__(self, x: np.ndarray, langs: list[str], families: dict[str, str]) -> None:
+    def __init__(self, x: np.ndarray, langs: list[str], families: dict[str, str] | None = None) -> None:
         lang = np.array(langs)
+        families = families_of(x, langs) if families is None else families
         family = np.array([families.get(v, v) for v in langs])
         self.families = sorted(set(family.tolist()))
         self.members = {f: sorted(set(lang[family == f].tolist())) for f in self.families}
@@ -130,7 +142,7 @@ def fit(labelled: DataFrame, key: str, text: str, lang: str, families: dict[str,
     Languages are counted, so that the share that is read is known before any text is; features are made on the executors and
     at most about ``per_language`` of them for each language, and ``most_rows`` in all, shared evenly by the languages, come to the driver, where the classifiers are
     fitted; so what it holds is bounded whatever the number of rows and labels, but for one count a label. Null texts and labels are left out, keys are integers or null, repeated rows are learned from as often as they are drawn. None if there
-    is no labelled row.
+    is no labelled row. Families are learned from the languages' mean features, see ``families_of``, unless they are given.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
@@ -145,7 +157,7 @@ def fit(labelled: DataFrame, key: str, text: str, lang: str, families: dict[str,
     if not got:
         return None
     x = np.array([np.frombuffer(r[2], np.float16) for r in got], np.float32)
-    return Model(x, [r[1] for r in got], FAMILIES if families is None else families)
+    return Model(x, [r[1] for r in got], families)
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

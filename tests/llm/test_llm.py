@@ -341,12 +341,30 @@ def test_op3(spark, small):
     assert len(rows) == len(docs)
     for r in rows:
         raw = docs[r["doc_id"]].encode()
-        assert r["size"] == len(raw) + 1 and r["text_crc32"] == zlib.crc32(raw)
+        assert r["size"] == len(raw) + 1 and r["text_crc32"] == zlib.crc32(raw) and r["law"] == "rows" and r["grown_shard"] is None
+    slots = {k: sorted(r["slot"] for r in rows if r["shard"] == k) for k in range(8)}
+    assert sum(map(len, slots.values())) == len(rows) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert all(v == list(range(len(v))) for v in slots.values())
 
 
 # 4
 
 
+def test_families_are_learned():
+    """Classes about three centres: each stands with its own centre's, however the centres are named; one and two classes are one family."""
+    rng = np.random.default_rng(3)
+    centres = rng.random((3, 60))
+    names = ["x", "b", "m", "a", "z", "k"]
+    means = [centres[i // 2] + 0.4 * rng.random(60) for i in range(6)]
+    x, langs = np.concatenate([m + 0.05 * rng.normal(size=(30, 60)) for m in means]).astype(np.float32), [v for v in names for _ in range(30)]
+    family = langid.families_of(x, langs)
+    assert family == {"x": "b", "b": "b", "m": "a", "a": "a", "z": "k", "k": "k"}
+    assert langid.families_of(x[:30], langs[:30]) == {"x": "x"} and langid.families_of(x[:60], langs[:60]) == {"x": "b", "b": "b"}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = langid.Model(x, langs)
+    assert set(model.pairs) == {("b", "b", "x"), ("a", "a", "m"), ("k", "k", "z")} and np.mean(np.array(model.predict(x)[0]) == np.array(langs)) > 0.95
+
+
 def test_language(spark, small, odd, none):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang")
     rows = queries.op4_hierarchical_language_id(spark, small).join(docs, "doc_id").collect()
@@ -471,6 +489,14 @@ def test_op5(spark, small):
         r = got[i]
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and r["fingerprint"] == sketch.encode(prints[k])
         assert r["near_next"] == sketch.likeness(prints[k], prints[after]) and sketch.decode(r["edited_fingerprint"]).hashes.size
+        # from the strings alone, hash by hash; and near the likeness of all shingles where there are many
+        one, other = ((int(v[:2], 16), {int(v[j : j + 10], 16) for j in range(2, len(v), 10)}) for v in (r["fingerprint"], r["edited_fingerprint"]))
+        limit = (1 << 40) >> max(one[0], other[0])
+        a, b = ({h for h in s if h < limit} for _, s in (one, other))
+        assert r["near_edited"] == (len(a & b) / len(a | b) if a | b else float(not one[1] and not other[1]))
+        x, y = ({v.encode()[j : j + 8] for j in range(len(v.encode()) - 7)} for v in (t, edited))
+        if len(x | y) > 3000:
+            assert abs(r["near_edited"] - len(x & y) / len(x | y)) < 0.12
 
 
 # 6
