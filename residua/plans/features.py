@@ -142,7 +142,7 @@ METHYL_SQL = ", ".join(f"('{a}', '{m}', {i})" for a, ms in C.METHYL_ALIASES.item
 
 
 @query(
-    f"""WITH k AS (SELECT ({_sql_list(C.RESIDUES)})[label % 20 + 1] AS residue, ({_sql_list(CONSTANT_ATOMS)})[vec_id % 5 + 1] AS atom, round(avg(CAST(embedding[1] AS DOUBLE)) * 100, 3) AS center, round(stddev_samp(CAST(embedding[2] AS DOUBLE)), 3) AS scale FROM embeddings WHERE (label + vec_id) % 5 <> 1 GROUP BY 1, 2),
+    f"""WITH k AS (SELECT ({_sql_list(C.RESIDUES)})[label % 20 + 1] AS residue, ({_sql_list(CONSTANT_ATOMS)})[vec_id % 5 + 1] AS atom, CASE WHEN min((label + vec_id) % 5) <> 1 THEN round(avg(CAST(embedding[1] AS DOUBLE)) * 100, 3) END AS center, CASE WHEN min((label + vec_id) % 5) <> 1 THEN round(stddev_samp(CAST(embedding[2] AS DOUBLE)), 3) END AS scale FROM embeddings GROUP BY 1, 2),
 known AS (SELECT * FROM k WHERE center IS NOT NULL OR scale IS NOT NULL),
 coil(residue, atom, shift) AS (VALUES {COIL_SQL}), alias(atom, name, rank) AS (VALUES {METHYL_SQL}),
 st AS (SELECT col, avg(v) AS m, greatest(stddev_samp(v), 0.1) AS s, count(v) AS n FROM (SELECT 'ca_shift' AS col, CAST(embedding[3] AS DOUBLE) AS v FROM embeddings UNION ALL SELECT 'hz_shift', CAST(embedding[4] AS DOUBLE) * 40 FROM embeddings) GROUP BY 1),
@@ -154,10 +154,11 @@ FROM w LEFT JOIN hit ON hit.residue = w.residue AND hit.col = w.col LEFT JOIN co
 UNION ALL SELECT 'global', NULL, col, n, round(m, 6), round(s, 6), 'fixed' FROM st"""
 )
 def fixed_constants(t: Tables) -> DataFrame:
-    """A table of centers and scales written as CSV, read back, and put in the place of the group statistics."""
+    """A table of centers and scales, some of them empty, written as CSV, read back, and put in the place of the group statistics."""
     e = lambda i: F.col("embedding")[i].cast("double")
-    k = t.embeddings.where((F.col("label") + F.col("vec_id")) % 5 != 1).groupBy(_pick(C.RESIDUES, F.col("label") % 20).alias("residue"), _pick(CONSTANT_ATOMS, F.col("vec_id") % 5).alias("atom"))
-    k = k.agg(F.round(F.avg(e(0)) * 100, 3).alias("center"), F.round(F.stddev_samp(e(1)), 3).alias("scale"))
+    full = F.min((F.col("label") + F.col("vec_id")) % 5) != 1
+    k = t.embeddings.groupBy(_pick(C.RESIDUES, F.col("label") % 20).alias("residue"), _pick(CONSTANT_ATOMS, F.col("vec_id") % 5).alias("atom"))
+    k = k.agg(F.when(full, F.round(F.avg(e(0)) * 100, 3)).alias("center"), F.when(full, F.round(F.stddev_samp(e(1)), 3)).alias("scale"))
     path = f"{scratch_dir(t.spark)}/constants-{uuid.uuid4().hex}"
     k.write.csv(path, header=True)
     long = t.embeddings.select(F.explode(F.array(F.struct(F.lit("ca_shift").alias("col"), e(2).alias("v")), F.struct(F.lit("hz_shift").alias("col"), (e(3) * 40).alias("v")))).alias("z")).select("z.*")

@@ -220,27 +220,11 @@ def feature_store(t: Tables) -> DataFrame:
     features = residues(t).withColumn("fold", md5_fold(F.col("pos"), 5))
     stats = norm_stats(points(t).withColumn("col", F.lit("x")), "col", "x")
     path = f"{scratch_dir(t.spark)}/store-{uuid.uuid4().hex}"
-    write_feature_store(features, stats, path)
+    write_feature_store(features, stats, path, order=["label", "pos"])
     back, _ = read_feature_store(t.spark, path)
     return back.groupBy("fold").agg(F.count("*").alias("n_rows"), F.sum(F.size("atoms")).alias("n_atoms"))
 
 
-@query(f"SELECT label, vec_id AS pos, round(CAST(embedding[1] AS DOUBLE), 6) AS x FROM embeddings WHERE {fold_sql('CAST(vec_id AS VARCHAR)')} = 2 AND label = (SELECT min(label) FROM embeddings) AND vec_id BETWEEN 100 AND 400")
-def feature_range(t: Tables) -> DataFrame:
-    """One label's points of a fold in a range of positions, from a store in their order."""
-    import uuid
-
-    from residua.operators.stats import norm_stats
-    from residua.scratch import scratch_dir
-    from residua.sources.files import read_range, write_feature_store
-
-    rows = points(t).withColumn("fold", md5_fold(F.col("pos"), 5))
-    path = f"{scratch_dir(t.spark)}/store-{uuid.uuid4().hex}"
-    write_feature_store(rows, norm_stats(rows.withColumn("col", F.lit("x")), "col", "x"), path, order=["label", "pos"])
-    least = t.embeddings.agg(F.min("label")).first()[0]
-    return r6(read_range(t.spark, path, 2, "label", least, "pos", 100, 400).select("label", "pos", "x"), "x")
-
-
 @query(f"SELECT {fold_sql('CAST(vec_id AS VARCHAR)')} AS fold, count(*) AS n FROM embeddings WHERE vec_id % 9 <> 0 GROUP BY 1")
 def write_by_fold(t: Tables) -> DataFrame:
     """One partition for each fold; rows without a fold are not written."""

@@ -171,24 +171,26 @@ def incremental_ingest(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT event_id, CAST(event_id AS VARCHAR) AS entry, value FROM events WHERE event_id % 10 = 3),
-l AS (SELECT 1 AS n, entry, event_id % 3 = 0 AS bad, 0 AS twist, value FROM r UNION ALL SELECT 2, entry, event_id % 7 = 0, CASE WHEN event_id % 4 = 3 THEN 1 ELSE 0 END, value FROM r UNION ALL SELECT 3, entry, false, CASE WHEN event_id % 4 = 3 THEN 1 ELSE 0 END, value FROM r WHERE event_id % 2 = 1),
+    """WITH r AS (SELECT user_id AS i FROM events GROUP BY 1),
+l AS (SELECT 1 AS n, i, i % 3 = 0 AS bad, 0 AS twist FROM r UNION ALL SELECT 2, i, i % 7 = 0, CASE WHEN i % 4 = 3 THEN 1 ELSE 0 END FROM r UNION ALL SELECT 3, i, false, CASE WHEN i % 4 = 3 THEN 1 ELSE 0 END FROM r),
 g AS (SELECT *, CASE WHEN NOT bad THEN twist END AS digest FROM l),
-s AS (SELECT *, last_value(digest IGNORE NULLS) OVER (PARTITION BY entry ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, coalesce(lag(bad) OVER (PARTITION BY entry ORDER BY n), false) AS broken FROM g)
+s AS (SELECT *, last_value(digest IGNORE NULLS) OVER (PARTITION BY i ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, coalesce(lag(bad) OVER (PARTITION BY i ORDER BY n), false) AS broken FROM g)
 SELECT CASE WHEN bad THEN 'corrupt' WHEN before IS NULL THEN CASE WHEN broken THEN 'redone' ELSE 'new' END WHEN before = digest THEN 'same' WHEN broken THEN 'redone' ELSE 'changed' END AS status, count(*) AS n,
-  (SELECT count(DISTINCT entry) FROM g WHERE NOT bad) AS n_current FROM s GROUP BY 1"""
+  (SELECT count(*) FROM r) AS n_current, (SELECT count(*) FROM events) AS n_events FROM s GROUP BY 1"""
 )
 def ingest_entries(t: Tables) -> DataFrame:
-    """Entries that land up to three times in two calls, some of them broken at first or changed later: what each landing was, and how many entries there are now."""
+    """Each user's events as an entry that lands three times in two calls, broken at first for some and changed later for others: what each landing was, how many entries there are now,
+    and how many events their last versions hold."""
     at = f"{scratch_dir(t.spark)}/entries-{uuid.uuid4().hex}"
-    rows = t.events.where("event_id % 10 = 3")
-    i = F.col("event_id")
-    doc = lambda bad, twist: F.when(bad, F.lit('{"value": ')).otherwise(F.to_json(F.struct("value", twist.alias("twist"))))
+    rows = t.events.groupBy(F.col("user_id").alias("i")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    i = F.col("i")
+    doc = lambda bad, twist: F.when(bad, F.lit('{"n": ')).otherwise(F.to_json(F.struct("n", "total", twist.alias("twist"))))
     twist = F.when(i % 4 == 3, 1).otherwise(0)
     goes = [doc(i % 3 == 0, F.lit(0)), doc(i % 7 == 0, twist), doc(F.lit(False), twist)]
-    landed = [rows.where(F.lit(True) if n < 2 else i % 2 == 1).select(i.cast("string").alias("entry"), d.alias("doc"), F.lit(n).cast("long").alias("reached")) for n, d in enumerate(goes)]
+    landed = [rows.select(i.cast("string").alias("entry"), d.alias("doc"), F.lit(n).cast("long").alias("reached")) for n, d in enumerate(goes)]
     landed[0].write.json(f"{at}/landed")
     take_entries(t.spark, f"{at}/landed", f"{at}/table", f"{at}/checkpoint")
     landed[1].unionByName(landed[2]).write.mode("append").json(f"{at}/landed")
     landings = take_entries(t.spark, f"{at}/landed", f"{at}/table", f"{at}/checkpoint")
-    return landings.groupBy("status").agg(F.count("*").alias("n")).crossJoin(F.broadcast(current_entries(landings).agg(F.count("*").alias("n_current"))))
+    now = current_entries(landings).agg(F.count("*").alias("n_current"), F.sum(F.get_json_object("doc", "$.n").cast("long")).alias("n_events"))
+    return landings.groupBy("status").agg(F.count("*").alias("n")).crossJoin(F.broadcast(now))
