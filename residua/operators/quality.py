@@ -113,6 +113,19 @@ def provenance_summary(df: DataFrame, column: str, marker: str = "stamped") -> D
     return df.agg(F.count("*").alias("n_rows"), F.sum(F.when(ok, 0).otherwise(1)).alias("n_bad"), (F.coalesce(F.bool_and(ok), F.lit(False))).alias("stamped"))
 
 
+def gate(df: DataFrame, name: str, bad: Column, least: int = 0) -> DataFrame:
+    """One row (gate, n_rows, n_bad, passed): a gate is passed if no row is bad (null counts as bad) and there are ``least`` rows. An aggregation, so that
+    the gates of a pipeline can be unioned, written and read before anything that depends on them starts."""
+    off = F.count(F.when(F.coalesce(bad, F.lit(True)), 1))
+    return df.agg(F.lit(name).alias("gate"), F.count("*").alias("n_rows"), off.alias("n_bad"), ((off == 0) & (F.count("*") >= least)).alias("passed"))
+
+
+def require_gates(gates: DataFrame) -> None:
+    """Fail closed: an error that names the gates that were not passed; one row a gate comes to the driver."""
+    if failed := gates.where("not passed").collect():
+        raise ValueError("not passed: " + ", ".join(f"{r['gate']} ({r['n_bad']} of {r['n_rows']} rows)" for r in failed))
+
+
 def require_stamped(df: DataFrame, column: str = "provenance", marker: str = "stamped") -> DataFrame:
     """``df``, or an error before anything is written if the marker is missing in any row, or there is no row."""
     if column not in df.columns or not provenance_summary(df, column, marker).first()["stamped"]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -232,23 +233,18 @@ def fail_closed(t: Tables) -> DataFrame:
     u = folded(t).groupBy("user_id").agg(F.max("fold").alias("fold"))
     stamped = quality.stamp_folds(u.select("user_id"), u.where("fold > 2"), "user_id")
 
-    def passes(check) -> bool:
-        try:
-            check()
-        except ValueError:
-            return False
-        return True
-
     comps = u.select(F.col("user_id").alias("id"), "fold", F.col("user_id").alias("component"))
     groups = u.select(F.col("user_id").alias("id"), F.col("user_id").alias("grp"))
     none = u.where("fold > 9").select(F.col("user_id").alias("id"))
-    rows = [
-        ("stamped", stamped.where("fold > 2").count(), passes(lambda: quality.require_stamped(stamped.where("fold > 2")))),
-        ("not stamped", stamped.count(), passes(lambda: quality.require_stamped(stamped))),
-        ("leaks", comps.count(), passes(lambda: split.require_no_leak(split.leakage_report(comps, groups, none)))),
-        ("empty", none.count(), passes(lambda: quality.require_none(none, "offenders"))),
+    unmarked = F.col("provenance") != "stamped"
+    leaks = split.leakage_report(comps, groups, none).agg(F.sum("n").alias("n_bad"))
+    gates = [
+        quality.gate(stamped.where("fold > 2"), "stamped", unmarked, 1),
+        quality.gate(stamped, "not stamped", unmarked, 1),
+        quality.gate(comps, "leaks", F.lit(False)).drop("n_bad", "passed").crossJoin(F.broadcast(leaks)).withColumn("passed", F.col("n_bad") == 0),
+        quality.gate(none, "empty", F.lit(True)),
     ]
-    return t.spark.createDataFrame(rows, "gate string, n_rows long, passed boolean")
+    return reduce(DataFrame.unionByName, gates).select("gate", "n_rows", "passed")
 
 
 SEQS = """o AS (SELECT conv_id, turn, min(upper(substr(role, 1, 1))) AS l FROM conversations GROUP BY 1, 2), q AS (SELECT conv_id, string_agg(l, '' ORDER BY turn) AS seq FROM o GROUP BY 1),

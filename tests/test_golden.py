@@ -206,5 +206,10 @@ def test_gates(spark):
     with pytest.raises(ValueError):
         quality.require_stamped(df.limit(0))
     assert quality.require_stamped(df.where("id = 1")).count() == 1
+    gates = [quality.gate(x, str(i), F.col("provenance") != "stamped", 1) for i, x in enumerate((df, df.limit(0), df.where("id = 1")))]
+    assert [r["passed"] for r in gates[0].unionByName(gates[1]).unionByName(gates[2]).orderBy("gate").collect()] == [False, False, True]
+    quality.require_gates(gates[2])
+    with pytest.raises(ValueError, match="not passed: 0"):
+        quality.require_gates(gates[0])
     with pytest.raises(ValueError):
         X.ablate(df, {"a": ["id"]}, ["b"])
