@@ -101,6 +101,12 @@ def tokenizer_files(spark: SparkSession, first: str = DEFAULT_A, second: str = D
         return spark.sparkContext.broadcast((a.read(), b.read()))
 
 
+def vocabulary_size(second: bytes) -> int:
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_proto=second).vocab_size()
+
+
 class Tokens(NamedTuple):
     """Tokens of both kinds with the byte offsets where they end; offsets count from the document's start."""
 
@@ -378,7 +384,7 @@ def align_tokens(docs: DataFrame, key: str, text: str, first: str = DEFAULT_A, s
     """
     spark = docs.sparkSession
     files = tokenizer_files(spark, first, second)
-    n_b = Pair(*files.value).n_b
+    n_b = vocabulary_size(files.value[1])
     own = docs.select((F.monotonically_increasing_id() * 2).alias("row"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     large = F.coalesce(F.octet_length("text"), F.lit(0)) > chunk_bytes
     short = written(map_arrow(own.where(~large), _whole(files), _SHORT), "encoded")
