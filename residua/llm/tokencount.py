@@ -19,9 +19,9 @@ DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A leaf ends at the first safe cut after so many characters.
 LEAF_CHARS = 256
-#: A pre-token always ends between a visible character and a blank that a letter follows, and between a mark that is no apostrophe and a letter, whatever
-#: stands around.
-SAFE_CUT = regex.compile(r"(?<=\S) (?=\p{L})|(?<=[^\s\p{L}\p{N}'])(?=\p{L})")
+#: A pre-token always ends between a visible character and a blank that a letter follows, between a mark that is no apostrophe and a letter, and between a letter, a number or a
+#: mark and a new line, whatever stands around.
+SAFE_CUT = regex.compile(r"(?<=\S) (?=\p{L})|(?<=[^\s\p{L}\p{N}'])(?=\p{L})|(?<=[\p{L}\p{N}\p{P}\p{S}])(?=\n)")
 _ENCODERS: dict[bytes, object] = {}
 
 

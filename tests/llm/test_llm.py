@@ -511,6 +511,8 @@ def test_token_trees(spark, odd, none):
     def some(n):
         return "".join(rng.choice(parts) for _ in range(n))
 
+    columns = "".join(f"{rng.randrange(10**6)} {rng.randrange(99)}\n" for _ in range(400))
+    assert max(len(x) for x in tokencount.leaves(columns, 40)) < 80 and sum(len(enc.encode_ordinary(x)) for x in tokencount.leaves(columns, 40)) == len(enc.encode_ordinary(columns))
     for _ in range(150):
         text = some(rng.randrange(0, 400))
         own = tokencount.leaves(text, 40)
