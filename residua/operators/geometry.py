@@ -85,18 +85,18 @@ def atom_arrays(atoms: DataFrame, keys: list[str]) -> DataFrame:
     return ok.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("atom", "x", "y", "z"))).alias("atoms"))
 
 
+def _marked(atoms: str) -> Column:
+    """The atoms with ``h``, whether each is a hydrogen, told once for all pairs."""
+    return F.transform(atoms, lambda z: z.withField("h", is_hydrogen(z["atom"])))
+
+
 def intra_pairs(residues: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, a1, a2, d) of all pairs of atoms of a residue, names in order, but for two hydrogens. No shuffle."""
-    pairs = F.flatten(
-        F.transform(
-            "atoms",
-            lambda a: F.transform(
-                F.filter("atoms", lambda b: (a["atom"] < b["atom"]) & ~(is_hydrogen(a["atom"]) & is_hydrogen(b["atom"]))),
-                lambda b: F.struct(a["atom"].alias("a1"), b["atom"].alias("a2"), _pair_distance(a, b).alias("d")),
-            ),
-        )
-    )
-    return residues.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.a1", "p.a2", "p.d")
+    """(keys, a1, a2, d) of all pairs of atoms of a residue, names in order, but for two hydrogens. No shuffle; atoms are exploded twice, so that pairs are made and
+    measured in generated code."""
+    one = residues.select(*keys, _marked("atoms").alias("atoms"))
+    two = one.select(*keys, "atoms", F.explode("atoms").alias("a")).select(*keys, "a", F.explode("atoms").alias("b"))
+    two = two.where((F.col("a.atom") < F.col("b.atom")) & ~(F.col("a.h") & F.col("b.h")))
+    return two.select(*keys, F.col("a.atom").alias("a1"), F.col("b.atom").alias("a2"), _pair_distance(F.col("a"), F.col("b")).alias("d"))
 
 
 def sparse_topm(pairs: DataFrame, keys: list[str], m: int = 400, scale: float = 10.0, low: float = -5.0, high: float = 10.0) -> DataFrame:
@@ -135,21 +135,22 @@ def cross_pairs(residues: DataFrame, neighbours: DataFrame, entity: str, pos: st
     """(entity, pos, pairs): atom pairs from a residue to its partners within the cut-offs, nearest first.
 
     Order is (d, code, a1, a2), at most ``cap`` are kept, as the feature is defined; pairs of two hydrogens are left
-    out, and so are atoms outside the vocabulary. Two equi-joins bring the partners' atoms; distances are taken inside arrays.
+    out, and so are atoms outside the vocabulary. Two equi-joins bring the partners' atoms.
     """
-    own = residues.select(entity, pos, F.col("atoms").alias("own"))
-    other = residues.select(entity, F.col(pos).alias("partner"), F.col("atoms").alias("other"))
+    own = residues.select(entity, pos, _marked("atoms").alias("own"))
+    other = residues.select(entity, F.col(pos).alias("partner"), _marked("atoms").alias("other"))
     if vocabulary is not None:
         known = F.array(*[F.lit(a) for a in vocabulary])
         own = own.withColumn("own", F.filter("own", lambda z: F.array_contains(known, z["atom"])))
         other = other.withColumn("other", F.filter("other", lambda z: F.array_contains(known, z["atom"])))
     met = partners(residues, neighbours, entity, pos, w).join(own.hint("shuffle_hash"), [entity, pos]).join(other.hint("shuffle_hash"), [entity, "partner"])
-    code = F.col("code")
-    pairs = F.flatten(F.transform("own", lambda a: F.transform("other", lambda b: F.struct(_pair_distance(a, b).alias("d"), code.alias("code"), a["atom"].alias("a1"), b["atom"].alias("a2")))))
-    one_h = lambda z: is_hydrogen(z["a1"]) | is_hydrogen(z["a2"])
-    near = F.filter(pairs, lambda z: ~(is_hydrogen(z["a1"]) & is_hydrogen(z["a2"])) & (z["d"] <= F.when(one_h(z), h).otherwise(heavy)))
-    rows = met.select(entity, pos, near.alias("near"))
-    return rows.groupBy(entity, pos).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, cap).alias("pairs"))
+    # exploded twice, so that pairs are made, measured and filtered in generated code; a partner's first pair stays in any case, to leave a row where none is near
+    one = met.select(entity, pos, "code", "other", F.posexplode_outer("own").alias("i", "a"))
+    two = one.select(entity, pos, "code", "i", "a", F.posexplode_outer("other").alias("j", "b")).withColumn("d", _pair_distance(F.col("a"), F.col("b")))
+    near = F.coalesce(~(F.col("a.h") & F.col("b.h")) & (F.col("d") <= F.when(F.col("a.h") | F.col("b.h"), h).otherwise(heavy)), F.lit(False))
+    kept = two.where(near | ((F.coalesce("i", F.lit(0)) == 0) & (F.coalesce("j", F.lit(0)) == 0)))
+    pair = F.when(near, F.struct("d", "code", F.col("a.atom").alias("a1"), F.col("b.atom").alias("a2")))
+    return kept.groupBy(entity, pos).agg(F.slice(F.array_sort(F.collect_list(pair)), 1, cap).alias("pairs"))
 
 
 def knn_exclude_group(df: DataFrame, key: str, group: str, vec: str, k: int = 32, approx: bool = False) -> DataFrame:
