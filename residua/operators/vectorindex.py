@@ -16,8 +16,8 @@ from residua.ship import map_arrow
 
 #: The index is fitted on so many rows at most, those with the least hashes of their keys; it has so many cells and codewords at most.
 SAMPLE, MOST_CELLS, CODEWORDS = 20_000, 4096, 256
-#: Rows of a cell, and queries, that one task compares.
-ROWS, QUERIES = 65_536, 1_000_000
+#: Neighbouring cells are one shard until they hold so many rows, since each query sends on its candidates from each; rows of a shard, and queries, that one task compares.
+SHARD, ROWS, QUERIES = 8192, 65_536, 1_000_000
 #: So many rows of the sample measure the recall.
 MEASURED = 256
 
@@ -110,21 +110,22 @@ def _assigned(index):
     return run
 
 
-def _probed(index):
+def _probed(index, shards: np.ndarray):
+    """Each query with the shards of its best cells."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
         for b in batches:
             if b.num_rows:
                 x = np.asarray(b.column(2).flatten(), np.float64).reshape(b.num_rows, -1)
-                cells = _best(x @ own.cells.T, own.probes).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * cells.shape[1], pa.int32()), pa.array(cells.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*b.columns, lists], ["id", "g", "v", "cells"])
+                lists = [np.unique(shards[row]).tolist() for row in _best(x @ own.cells.T, own.probes)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, pa.list_(pa.int32()))], ["id", "g", "v", "shards"])
 
     return run
 
 
 def _scored(index):
-    """The best candidates of each query in each part of a cell. Codes stand before queries, so only the codes of one part are held."""
+    """The best candidates of each query in each part of a shard. Codes stand before queries, so only the codes of one part are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
@@ -132,7 +133,7 @@ def _scored(index):
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)  # cell, part, block, side
+            keys = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)  # shard, part, block, side
             cuts = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
                 here, side, some = tuple(keys[lo, :3]), keys[lo, 3], b.slice(lo, hi - lo)
@@ -140,14 +141,14 @@ def _scored(index):
                     at, codes, held = here, [], None
                 ids, groups = some.column(4).to_numpy(zero_copy_only=False), np.array(some.column(5).to_pylist(), object)
                 if side == 0:
-                    codes.append((ids, groups, np.array([np.frombuffer(c, np.uint8) for c in some.column(6).to_pylist()])))
+                    codes.append((ids, groups, np.array([np.frombuffer(c, np.uint8) for c in some.column(6).to_pylist()]), some.column(7).to_numpy(zero_copy_only=False).astype(np.int64)))
                     continue
                 if not codes:
                     continue
                 if held is None:
-                    cell = np.full(sum(len(c[0]) for c in codes), here[0])
-                    held = (np.concatenate([c[0] for c in codes]), np.concatenate([c[1] for c in codes]), decode(np.concatenate([c[2] for c in codes]), cell, own))
-                x = np.asarray(some.column(7).flatten(), np.float64).reshape(hi - lo, -1)
+                    ids_, groups_, codes_, cells_ = (np.concatenate([c[n] for c in codes]) for n in range(4))
+                    held = ids_, groups_, decode(codes_, cells_, own)
+                x = np.asarray(some.column(8).flatten(), np.float64).reshape(hi - lo, -1)
                 for i in range(0, hi - lo, 256):
                     scores = x[i : i + 256] @ held[2].T
                     scores[groups[i : i + 256, None] == held[1][None, :]] = -np.inf
@@ -163,7 +164,7 @@ def search(df: DataFrame, key: str, group: str, vec: str, index: Index, k: int =
     """(key, rank, neighbour, score): the ``k`` rows of another group with the highest dot product for each row, or for those that ``queries`` picks.
 
     Every row is indexed: it stands in its nearest cell as the codewords of what its cell's centre leaves. A query looks into the
-    index's ``probes`` best cells; the ``candidates`` best by the codewords are scored exactly. Large cells are cut into parts of
+    index's ``probes`` best cells; the ``candidates`` best by the codewords are scored exactly. Small cells share a shard, which is scored as a whole, large ones are cut into parts of
     ``ROWS`` rows, many queries into blocks, and a task holds the codes of one part. Null vectors and keys are left out; null groups are one group; ties go to the smaller neighbour; an empty table gives none.
     """
     spark = df.sparkSession
@@ -172,14 +173,23 @@ def search(df: DataFrame, key: str, group: str, vec: str, index: Index, k: int =
     sent = spark.sparkContext.broadcast(index)
     coded = written(map_arrow(own.select("id", "g", "v"), _assigned(sent), "id long, g string, cell int, codes binary"), "coded")
     blocks = max(1, -(-asks.count() // QUERIES))
-    # one row for each cell, MOST_CELLS at most
-    sizes = F.broadcast(written(coded.groupBy("cell").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("parts")), "cells"))
+    counts = np.zeros(len(index.cells), np.int64)
+    for r in coded.groupBy("cell").count().collect():  # one row for each cell, MOST_CELLS at most
+        counts[r["cell"]] = r["count"]
+    shards, held_rows = np.zeros(len(counts), np.int32), [0]
+    for c, n in enumerate(counts.tolist()):
+        if held_rows[-1] + n > SHARD and held_rows[-1]:
+            held_rows.append(0)
+        shards[c] = len(held_rows) - 1
+        held_rows[-1] += n
+    dealt = spark.createDataFrame([(c, int(s), -(-held_rows[s] // ROWS) or 1) for c, s in enumerate(shards.tolist())], "cell int, shard int, parts int")
+    parts = F.broadcast(dealt.select("shard", "parts").distinct())
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    none, vector = F.lit(None).cast("array<double>").alias("v"), F.lit(None).cast("binary").alias("codes")
-    held = coded.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), each(F.lit(blocks)).alias("block"), F.lit(0).alias("side"), "id", "g", "codes", none)
-    probed = map_arrow(asks, _probed(sent), "id long, g string, v array<double>, cells array<int>").withColumn("cell", F.explode("cells")).join(sizes, "cell")
-    probed = probed.select("cell", each(F.col("parts")).alias("part"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("side"), "id", "g", vector, "v")
-    both = held.unionByName(probed).repartition("cell", "part", "block").sortWithinPartitions("cell", "part", "block", "side")
+    none, vector = F.lit(None).cast("array<double>").alias("v"), [F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("int").alias("cell")]
+    held = coded.join(F.broadcast(dealt), "cell").select("shard", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), each(F.lit(blocks)).alias("block"), F.lit(0).alias("side"), "id", "g", "codes", "cell", none)
+    probed = map_arrow(asks, _probed(sent, shards), "id long, g string, v array<double>, shards array<int>").withColumn("shard", F.explode("shards")).join(parts, "shard")
+    probed = probed.select("shard", each(F.col("parts")).alias("part"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("side"), "id", "g", *vector, "v")
+    both = held.unionByName(probed).repartition("shard", "part", "block").sortWithinPartitions("shard", "part", "block", "side")
     found = map_arrow(both, _scored(sent), "id long, neighbour long, about double")
     near = Window.partitionBy("id").orderBy(F.desc("about"), "neighbour")
     found = written(found.withColumn("r", F.row_number().over(near)).where(F.col("r") <= index.candidates).select("id", "neighbour"), "found")

@@ -179,7 +179,8 @@ def test_vector_index(spark, monkeypatch):
     df = spark.createDataFrame([*rows, (9000, 1, None), (None, 1, rows[0][2]), (9001, None, rows[1][2])], "id long, grp long, v array<double>").repartition(3)
     index = vectorindex.fit(df, "id", "grp", "v", k=5)
     assert index.recall >= 0.95 and index.probes < len(index.cells)
-    for rows_a_part, queries in ((65_536, 1_000_000), (16, 40)):
+    for rows_a_part, queries, shard in ((65_536, 1_000_000, 8192), (16, 40, 8192), (65_536, 1_000_000, 1), (16, 40, 50)):
+        monkeypatch.setattr(vectorindex, "SHARD", shard)
         monkeypatch.setattr(vectorindex, "ROWS", rows_a_part)
         monkeypatch.setattr(vectorindex, "QUERIES", queries)
         got = {(r["id"], r["rank"]): (r["neighbour"], r["score"]) for r in vectorindex.search(df, "id", "grp", "v", index, k=5, queries=F.col("id") % 20 == 0).where("id < 9000").collect()}
