@@ -23,8 +23,8 @@ from residua.ship import map_arrow, shipped
 DEFAULT_A, DEFAULT_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts of more bytes are cut into byte ranges of about so many, which different tasks encode; so many neighbours are composed at once.
 CHUNK_BYTES, FAN = 1 << 16, 8
-#: So many bytes of short texts are encoded together.
-TOGETHER = 1 << 19
+#: So many bytes of short texts are encoded together, and so many links judged together.
+TOGETHER, LINKS = 1 << 19, 1 << 18
 #: At most so many id pairs, the most frequent ones, are broadcast; links of the others meet their counts in a join.
 FREQUENT = 1 << 20
 #: The first tokenizer's pre-tokens always end between something visible and a blank or a new line.
@@ -352,17 +352,20 @@ def _judge(frequent: Broadcast, n_b: int):
         known, count, best = frequent.value
         for batch in batches:
             lists = batch.column(1)
-            at = np.asarray(lists.offsets).astype(np.int64)
-            links = lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
-            at -= at[0]
-            i = np.minimum(np.searchsorted(known, links), max(0, len(known) - 1))
-            found = known[i] == links if len(known) else np.zeros(len(links), bool)
-            worth = np.where(found, count[i] if len(known) else 0, 0)
-            top = found & ((worth == best[links % n_b]) if len(known) else False)
-            sums = [np.diff(np.append(0, np.cumsum(x))[at]) for x in (top, worth)]
-            rest = np.append(0, np.cumsum(~found))[at].astype(np.int32)
-            columns = [batch.column(0), *[pa.array(x, pa.int64()) for x in (np.diff(at), *sums)], pa.ListArray.from_arrays(pa.array(rest), pa.array(links[~found], pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "n_links", "n_best", "count_sum", "rest"])
+            offsets, values = np.asarray(lists.offsets).astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
+            lo = 0
+            while lo < batch.num_rows:
+                hi = min(batch.num_rows, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + LINKS, "right")) - 1))
+                at, links = offsets[lo : hi + 1] - offsets[lo], values[offsets[lo] : offsets[hi]]
+                i = np.minimum(np.searchsorted(known, links), max(0, len(known) - 1))
+                found = known[i] == links if len(known) else np.zeros(len(links), bool)
+                worth = np.where(found, count[i] if len(known) else 0, 0)
+                top = found & ((worth == best[links % n_b]) if len(known) else False)
+                sums = [np.diff(np.append(0, np.cumsum(x))[at]) for x in (top, worth)]
+                rest = np.append(0, np.cumsum(~found))[at].astype(np.int32)
+                columns = [batch.column(0).slice(lo, hi - lo), *[pa.array(x, pa.int64()) for x in (np.diff(at), *sums)], pa.ListArray.from_arrays(pa.array(rest), pa.array(links[~found], pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "n_links", "n_best", "count_sum", "rest"])
+                lo = hi
 
     return run
 
