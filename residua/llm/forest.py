@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,7 +20,9 @@ TREES, LEAST_DEPTH, NEIGHBOURS, HASHES = 24, 4, 8, 128
 #: standard deviation of 3.4.
 LEAST_AGREE = 97
 #: Rows of a crowded region, and shingles in them, of either side, that one block of its exact comparison holds (or one longer row).
-BLOCK, BLOCK_SHINGLES = 256, 1 << 19
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+#: How many values below the region's prefix a candidate must share where a region has more rows than each bound.
+DEEPER = ((NEIGHBOURS + 1, 1), (64, 2), (1024, 3))
 #: A region is ordered in one task up to so many rows, or up to as many as leave at most ``LISTED`` larger regions in the table.
 REGION, LISTED = 1024, 100_000
 _RNG = np.random.default_rng(20240229)
@@ -110,28 +112,48 @@ def _sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(buf, offsets, size)
 
 
+def alike_pairs(sets: list[np.ndarray], asks: np.ndarray, comps: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each asking row, the other rows of other components whose set is alike enough.
+
+    Shingles are ranked from the rarest among all rows of the block to the most frequent. Two sets with ``percent`` % of their union in common share a shingle
+    among the first n - ceil(percent n / 100) + 1 of either, so only rows that meet there are counted in full: rows that merely have
+    the same frequent shingles never meet.
+    """
+    lengths = np.array([len(s) for s in sets], np.int64)
+    _, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.empty(len(held), np.int64)
+    place[np.argsort(held, kind="stable")] = np.arange(len(held))
+    row = np.repeat(np.arange(len(sets)), lengths)
+    ranks = place[at]
+    ranks = ranks[np.lexsort((ranks, row))]
+    starts = np.cumsum(lengths) - lengths
+    first = lengths - -(-percent * lengths // 100) + 1
+    early = np.flatnonzero((np.arange(len(ranks)) - starts[row] < first[row]) & ~asks[row])
+    early = early[np.argsort(ranks[early], kind="stable")]
+    index, owner = ranks[early], row[early]
+    mark = np.zeros(len(held), bool)
+    for i in np.flatnonzero(asks).tolist():
+        mine = ranks[starts[i] : starts[i] + lengths[i]]
+        lo, hi = (np.searchsorted(index, mine[: first[i]], side) for side in ("left", "right"))
+        met = np.unique(np.concatenate([owner[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True) if b > a] or [owner[:0]]))
+        met = met[(comps[met] != comps[i]) & (100 * np.minimum(lengths[met], lengths[i]) >= percent * np.maximum(lengths[met], lengths[i]))]
+        mark[mine] = True
+        both = np.array([np.count_nonzero(mark[ranks[starts[j] : starts[j] + lengths[j]]]) for j in met.tolist()], np.int64)
+        mark[mine] = False
+        yield i, met[100 * both >= percent * (lengths[met] + lengths[i] - both)]
+
+
 def _link_block(size: int, percent: int):
     """(lo, hi) of links between the asking rows of a block and its other rows, one for each component that a row meets."""
 
     def run(block: pa.Table) -> pa.Table:
         asks, ids, comps = (block.column(c).to_numpy() for c in ("asks", "id", "component"))
-        sets = [s for chunk in block.column("text").chunks for s in _sets(chunk, size)]
-        other = np.flatnonzero(~asks)
         links = []
-        if len(other):
-            lengths = np.array([len(sets[i]) for i in other])
-            known, at = np.unique(np.concatenate([sets[i] for i in other]), return_inverse=True)
-            starts = np.cumsum(lengths) - lengths
-            held = np.zeros(len(known), np.int32)
-            for i in np.flatnonzero(asks).tolist():
-                mine = np.searchsorted(known, sets[i])
-                mine = mine[(mine < len(known)) & (known[np.minimum(mine, len(known) - 1)] == sets[i])]
-                held[mine] = 1
-                both = np.add.reduceat(held[at], starts)
-                held[mine] = 0
-                alike = np.flatnonzero((100 * both >= percent * (lengths + len(sets[i]) - both)) & (comps[other] != comps[i]))
-                _, one = np.unique(comps[other][alike], return_index=True)
-                links += [(int(min(ids[i], y)), int(max(ids[i], y))) for y in ids[other][alike][one].tolist()]
+        if asks.any() and not asks.all():
+            sets = [s for chunk in block.column("text").chunks for s in _sets(chunk, size)]
+            for i, alike in alike_pairs(sets, asks, comps, percent):
+                _, one = np.unique(comps[alike], return_index=True)
+                links += [(int(min(ids[i], y)), int(max(ids[i], y))) for y in ids[alike][one].tolist()]
         return pa.table({"lo": pa.array([x for x, _ in links], pa.int64()), "hi": pa.array([y for _, y in links], pa.int64())})
 
     return run
@@ -163,6 +185,12 @@ def _apart(crowded: DataFrame, comps: DataFrame, texts: DataFrame, size: int, pe
     return whole.unionByName(asking).groupBy("tree", "k", "x", "y").applyInArrow(_link_block(size, percent), "lo long, hi long").distinct()
 
 
+def _common(x: Column, y: Column) -> Column:
+    """How many of the four values of two tails agree before the first that differs."""
+    apart = x.bitwiseXOR(y)
+    return sum((F.shiftrightunsigned(apart, 16 * d) == 0).cast("int") for d in range(4))
+
+
 def _with_parts(rows: DataFrame, total: int) -> DataFrame:
     """``rows`` with ``n``, the rows of their region if those are more than one task should order, else null, and ``part``, the part of it that each row stands in.
 
@@ -183,10 +211,10 @@ def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 2, percent
 
     Equal shingle sets are met first, by a 128-bit digest, so that thousands of copies cost one row. The rest stand in
     ``TREES`` orders, each sorted by its own sequence of min-hash values; rows that share the first ``LEAST_DEPTH`` values
-    are a region, and in it each row's nearest ``NEIGHBOURS`` in the order, those with the longest common prefix,
-    are candidates: sparse regions are used from depth ``LEAST_DEPTH``, dense ones as deep as their neighbours agree.
+    are a region, and in it each row's nearest ``NEIGHBOURS`` in the order, which have the longest prefixes in common with it,
+    are candidates if that prefix is as long as the region asks: ``LEAST_DEPTH`` values in a sparse region, up to three more the denser it is (``DEEPER``).
     A pair of likeness 0.8 shares a region in at least one tree with a probability of 0.999997. In regions of more rows,
-    what is farther apart in the order but still in different components is compared in blocks, on full sets. A region of very many
+    what is farther apart in the order, or agrees less deeply, but still in different components is compared in blocks, on full sets, behind an exact prefix filter. A region of very many
     rows is ordered in parts, which that comparison joins. Candidates
     must agree in ``LEAST_AGREE`` of 128 signature bits; links are confirmed on the full sets of both texts, first
     each document's best candidate, then those that would still join two components, since a link inside a component
@@ -211,11 +239,16 @@ def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 2, percent
     rows = _with_parts(rows.select("id", "size", "b1", "b2", "tree", F.col("at.keys").alias("k"), F.col("at.tails").alias("tail")), TREES * distinct.count())
     region = Window.partitionBy("tree", "k", "part")
     order = region.orderBy("tail", "id")
-    me = F.struct("id", "b1", "b2")
+    me = F.struct("id", "b1", "b2", "tail")
     nexts = F.array(*[F.lead(me, i).over(order) for i in range(1, NEIGHBOURS + 1)]).alias("next")
-    beside = rows.select("id", "size", "b1", "b2", "tree", "k", nexts, F.coalesce("n", F.count("*").over(region)).alias("n"))
+    beside = rows.select("id", "size", "b1", "b2", "tree", "k", "tail", nexts, F.coalesce("n", F.count("*").over(region)).alias("n"))
     agree = lambda z: 128 - F.bit_count(z["b1"].bitwiseXOR(F.col("b1"))) - F.bit_count(z["b2"].bitwiseXOR(F.col("b2")))
-    near = F.filter(F.transform("next", lambda z: F.struct(z["id"].alias("id"), agree(z).alias("agree"))), lambda z: z["agree"] >= LEAST_AGREE)
+    depth = F.lit(0)
+    for rows_above, values in DEEPER:
+        depth = F.when(F.col("n") > rows_above, values).otherwise(depth)
+    beside = beside.withColumn("depth", depth)
+    deep = F.filter("next", lambda z: _common(z["tail"], F.col("tail")) >= F.col("depth"))
+    near = F.filter(F.transform(deep, lambda z: F.struct(z["id"].alias("id"), agree(z).alias("agree"))), lambda z: z["agree"] >= LEAST_AGREE)
     beside = beside.select("id", "size", "tree", "k", "n", near.alias("near")).where((F.size("near") > 0) | (F.col("n") > NEIGHBOURS + 1))
     beside = written(beside, "beside")
     pairs = beside.select("id", F.explode("near").alias("z")).where("id <> z.id")

@@ -661,6 +661,34 @@ def test_crowded_regions(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == low and len(set(low)) == 30
 
 
+def test_pairs_of_a_block():
+    """The prefix filter of a block loses no pair: sets of many likenesses, equal ones and single shingles, under several thresholds."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64)) for n in (1, 1, 2, 5, 9, 40, 200)]
+    for base in list(sets):
+        for share in (0, 0.02, 0.1, 0.15, 0.3):
+            kept = base[rng.random(len(base)) >= share]
+            sets.append(np.unique(np.append(kept, rng.integers(0, 1 << 62, round(share * len(base)), dtype=np.uint64))))
+    common = rng.integers(0, 1 << 62, 80, dtype=np.uint64)
+    sets += [np.unique(np.append(common, rng.integers(0, 1 << 62, n, dtype=np.uint64))) for n in (5, 10, 15, 20, 40, 80)]
+    sets = [s for s in sets if len(s)]
+    asks, comps = rng.random(len(sets)) < 0.5, rng.integers(0, 20, len(sets))
+    for percent in (50, 80, 95, 100):
+        want = set()
+        for i, j in itertools.product(np.flatnonzero(asks).tolist(), np.flatnonzero(~asks).tolist()):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if comps[i] != comps[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                want.add((i, j))
+        assert {(i, j) for i, found in forest.alike_pairs(sets, asks, comps, percent) for j in found.tolist()} == want
+        assert want or percent > 80
+
+
+def test_common_values_of_tails(spark):
+    values = [(0x1111222233334444, 0x1111222233334444, 4), (0x1111222233334444, 0x1111222233334445, 3), (0x1111222233334444, 0x1111222233330444, 3), (0x1111222233334444, 0x1111222203334444, 2), (0x1111222233334444, 0x1111022233334444, 1), (1, -1, 0), (-1, -1, 4)]
+    rows = spark.createDataFrame(values, "x long, y long, want int")
+    assert rows.where(forest._common(F.col("x"), F.col("y")) != F.col("want")).count() == 0
+
+
 # 9
 
 
