@@ -195,9 +195,12 @@ def swap_huber(t: Tables) -> DataFrame:
     return r6(M.swap_huber(cells(t), ["user_id", "day"], "event_type", "y", "p", groups, pairs), "loss")
 
 
-@query(f"WITH {PRED}, h AS (SELECT CAST(least(floor((p - y + 100) / 4.0), 49) AS INTEGER) AS bin, count(*) AS n FROM preds WHERE p - y BETWEEN -100 AND 100 GROUP BY 1) SELECT bin, n, round(n / (sum(n) OVER () * 4.0), 9) AS density FROM h")
+@query(
+    f"WITH {PRED}, e AS (SELECT round(p - y, 9) AS e FROM preds), h AS (SELECT CAST(least(floor((e + 100) / 4.0), 49) AS INTEGER) AS bin, count(*) AS n FROM e WHERE e BETWEEN -100 AND 100 GROUP BY 1) SELECT bin, n, round(n / (sum(n) OVER () * 4.0), 9) AS density FROM h"
+)
 def error_histogram(t: Tables) -> DataFrame:
-    p = predictions(t).withColumn("e", F.col("p") - F.col("y"))
+    """Errors to 9 digits: the last bits of a mean follow the order of its sum, and errors on a bin's edge would fall to either side."""
+    p = predictions(t).withColumn("e", F.round(F.col("p") - F.col("y"), 9))
     return M.error_histogram(p, "e", -100.0, 100.0).withColumn("density", F.round("density", 9))
 
 

@@ -315,3 +315,17 @@ def test_store_in_order(spark, tmp_path, monkeypatch):
     by = {parts[0].row_group(0).column(c).path_in_schema: c for c in range(parts[0].num_columns)}
     held = [g.num_rows for g in groups if g.column(by["entity"]).statistics.min <= "e3" <= g.column(by["entity"]).statistics.max and g.column(by["pos"]).statistics.min <= 21_000 and g.column(by["pos"]).statistics.max >= 20_000]
     assert sum(held) < 0.7 * sum(g.num_rows for g in groups) and len(groups) > 1
+
+
+def test_error_histogram_edges(spark, tmp_path):
+    """Errors that stand on a bin's edge by decimal arithmetic, though not by the sum of doubles: all in the bin above it."""
+    from collections import Counter
+
+    from residua.plans import catalogue
+
+    cents = [(u, 7 * u + 1 + 400 * (1 + u % 3) * j) for u in range(300) for j in range(7)]
+    rows = [(i, u, "view", v / 100) for i, (u, v) in enumerate(cents)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    want = Counter((7 * u + 1 + 1200 * (1 + u % 3) - v + 10_000) // 400 for u, v in cents)
+    got = {r["bin"]: r["n"] for r in catalogue.queries()["error_histogram"](spark, str(tmp_path)).collect()}
+    assert got == dict(want)
