@@ -46,9 +46,10 @@ def train_stats(rows: DataFrame) -> DataFrame:
     return stats.norm_stats(long, "col", "value")
 
 
-def feature_table(t: Tables, targets: list[str], atoms: DataFrame) -> DataFrame:
+def feature_table(t: Tables, targets: list[str], atoms: DataFrame, given: DataFrame | None = None) -> DataFrame:
     rows = feature_rows(t)
-    return features.residue_features(rows if targets else rows.drop(*TARGETS), atoms, train_stats(rows), "label", "pos", targets, REPORT, **CUTS)
+    given = train_stats(rows) if given is None else given
+    return features.residue_features(rows if targets else rows.drop(*TARGETS), atoms, given, "label", "pos", targets, REPORT, **CUTS)
 
 
 def _z_sql(c: str) -> str:
@@ -102,8 +103,10 @@ def residue_features(t: Tables) -> DataFrame:
 def feature_parity(t: Tables) -> DataFrame:
     """Training features, read back from the store, and those that serving makes from loose atoms without targets: how many rows of each the other lacks."""
     path = f"{scratch_dir(t.spark)}/store-{uuid.uuid4().hex}"
-    train = feature_table(t, TARGETS, residues(t)).withColumn("fold", X.md5_fold(F.col("pos"), 5))
-    files.write_feature_store(train, train_stats(feature_rows(t)), path)
+    # written once: sums of doubles follow the order of their rows, so statistics taken twice differ in their last bits
+    own = written(train_stats(feature_rows(t)), "stats")
+    train = feature_table(t, TARGETS, residues(t), own).withColumn("fold", X.md5_fold(F.col("pos"), 5))
+    files.write_feature_store(train, own, path)
     train, given = files.read_feature_store(t.spark, path)
     atoms = residues(t).select("label", "pos", F.explode(F.shuffle("atoms")).alias("z")).select("label", "pos", "z.*")
     serve = features.residue_features(feature_rows(t).drop(*TARGETS), geometry.atom_arrays(atoms, ["label", "pos"]), given, "label", "pos", [], REPORT, **CUTS).drop("target_z", "target_mask")
