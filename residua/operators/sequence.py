@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from residua.scratch import written
+from residua.scratch import beside, written
 from residua.ship import map_arrow
 
 
@@ -222,48 +223,103 @@ def best_conformer(points: DataFrame, entry: str, model: str, pos: str, xyz: lis
     return first.join(best.hint("merge"), "e", "left").select(F.col("e").alias(entry), F.coalesce("b", "m1").alias(model), "rmsd")
 
 
+#: Shingles are counted in about so many documents, and so many of the most frequent go to the end of the order; how they are picked changes the work, never the pairs.
+COUNTED, FREQUENT = 100_000, 200_000
+#: One in so many of a set's shingles is asked for beyond the first that a pair must share.
+SHARED = 50
+#: Up to so many ids of candidates pick their sets by a broadcast.
+CANDIDATES = 2_000_000
+
+
+def _frequent(sets: DataFrame) -> np.ndarray:
+    """The most frequent shingles of a part of the documents, rarest first."""
+    part = max(1, sets.count() // COUNTED)
+    counts = sets.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).select(F.explode("s").alias("g")).groupBy("g").agg(F.count("*").alias("f")).where("f > 1")
+    found = counts.orderBy(F.desc("f"), "g").limit(FREQUENT).toArrow()
+    return found.column("g").to_numpy()[np.lexsort((found.column("g").to_numpy(), found.column("f").to_numpy()))]
+
+
+def _prefixes(frequent, width: Callable[[np.ndarray], np.ndarray]):
+    """Each set's first ``width(n)`` shingles, in the order of their hashes, the frequent ones last by frequency."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.sort(frequent.value)
+        rank = np.argsort(frequent.value) + 1
+        for b in batches:
+            flat = b.column(2).flatten().to_numpy(zero_copy_only=False)
+            n = b.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.cumsum(n) - n
+            late = np.zeros(len(flat), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                late = np.where(known[at] == flat, rank[at], 0)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((late, row))  # stable: sets come sorted by hash
+            kept = np.minimum(width(n), n)
+            first = order[np.arange(len(flat)) - starts[row] < kept[row]]
+            ends = np.concatenate([[0], np.cumsum(kept)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[first]))], ["id", "n", "first"])
+
+    return run
+
+
 def near_duplicates(df: DataFrame, key: str, text: Column, size: int = 3, threshold: float = 0.9, coverage: float = 0.8, mode: str = "both") -> DataFrame:
     """(a, b, common, n_a, n_b) with a < b: all pairs of different rows whose ``size``-token shingle sets are alike enough.
 
     ``text`` is an array of tokens. Mode ``both`` asks for common / union of ``threshold``; mode ``containment`` for common / the smaller set
     of ``threshold``. Both ask nothing of ``coverage`` beyond that unless it is above 0: the smaller set has at least
     that share of the larger one in mode ``both``. Exact: rows with equal sets are one class, linked by its smallest key;
-    classes are joined by prefix filtering, rarest shingles first, with the places of a common shingle as a second filter, and confirmed on the full sets. Rows with fewer
+    classes are joined by prefix filtering and confirmed on the full sets. Shingles stand in the order of their hashes, the most frequent of a part of the documents behind all
+    others, so a set's first ones are found without a shuffle, and only they are sent on. Any order gives the same pairs. In mode ``both`` sets of lengths too far apart
+    do not meet, and a pair must share several of its first shingles. Rows with fewer
     tokens than a shingle have one shingle of what there is; rows without tokens have none and match nothing.
     """
+    both = mode == "both"
     hashed = df.select(F.col(key).alias("id"), F.transform(text, lambda w: F.xxhash64(w)).alias("h"))
     gram = lambda i: F.xxhash64(*[F.col("h")[i + k] for k in range(size)])
     grams = F.when(F.size("h") >= size, F.transform(F.sequence(F.lit(0), F.size("h") - size), gram)).when(F.size("h") > 0, F.array(F.xxhash64("h")))
     # written once, before any filter: the sets are read by every step below, and a predicate on them that was pushed
     # under the projection would compute the tokens anew for every shingle
     s = F.array_sort(F.array_distinct(grams))
-    sets = written(hashed.select("id", s.alias("s")).select("id", "s", F.size("s").alias("n"), F.xxhash64("s").alias("d1"), F.xxhash64(F.lit(1), "s").alias("d2")), "sets")
+    sets = written(hashed.select("id", s.alias("s")).select("id", "s", F.size("s").alias("n"), F.xxhash64("s").alias("d1"), F.xxhash64(F.lit(1), "s").alias("d2")), "sets").where("n > 0")
     # equal sets meet by size and 128 bits of digest; only the smallest key's set goes on
     digest = ["n", "d1", "d2"]
-    classes = written(sets.where("n > 0").groupBy(*digest).agg(F.min("id").alias("rep")), "classes")
+    classes = written(sets.groupBy(*digest).agg(F.min("id").alias("rep")), "classes")
     members = written(sets.select("id", *digest).join(classes.hint("merge"), digest), "members")
     same = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.col("n").alias("common"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
-    reps = written(sets.select("id", "s", "n").join(members.where("id = rep").select("id").distinct().hint("merge"), "id", "left_semi"), "reps")
-    flat = written(reps.select("id", "n", F.explode("s").alias("g")), "shingles")
-    # a shingle of one class meets none; such shingles are the rarest, so they only count in the ranks of the others
-    seen = flat.groupBy("g").agg(F.count("*").alias("f")).where("f > 1")
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))
-    ranked = flat.join(written(seen, "seen").hint("merge"), "g").withColumn("r", alone + F.row_number().over(Window.partitionBy("id").orderBy("f", "g")))
-    ranked = written(ranked.select("id", "n", "g", "r"), "ranked")
-    # of the smaller set, so many shingles are in common at least; one of its n - that + 1 rarest is then among them
-    prefix = F.col("n") - F.ceil(F.col("n") * threshold) + 1
-    head = ranked.where(F.col("r") <= prefix).select("id", "n", "g", "r")
-    other = (ranked if mode == "containment" else ranked.where(F.col("r") <= prefix)).select(F.col("id").alias("id2"), F.col("n").alias("n2"), "g", F.col("r").alias("r2"))
-    least = F.ceil(F.col("n2") * threshold) if mode == "both" else F.lit(0)
-    # where both rank their first common shingle, what follows in either bounds what they share; later ones need not pass
-    union = F.ceil((F.col("n") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-9) if mode == "both" else F.ceil(F.col("n") * threshold - 1e-9)
-    follow = 1 + F.least(F.col("n") - F.col("r"), F.col("n2") - F.col("r2"))
-    met = head.join(other.hint("merge"), "g").where((F.col("id") != F.col("id2")) & (F.col("n") <= F.col("n2")) & (F.col("n") >= least) & (follow >= union))
-    pairs = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    full = pairs.join(reps.select(F.col("id").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").join(reps.select(F.col("id").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
+    # a pair has so many shingles in common at least, as a share of the smaller set and of the larger one
+    of_small, of_large = (2 * threshold / (1 + threshold), threshold) if both else (threshold, 0.0)
+    # if a pair has o in common, its first e + 1 are among the first n - o + 1 + e of either; e is below any such o unless the threshold is next to none
+    several = both and of_small > 2 / SHARED
+    width = lambda n: n - np.ceil(n * (of_large if both else of_small) - 1e-9).astype(np.int64) + 1 + (n // SHARED if several else 0)
+    sent = df.sparkSession.sparkContext.broadcast(_frequent(sets))
+    first = map_arrow(sets.select("id", "n", "s"), _prefixes(sent, width), f"id {dict(sets.dtypes)['id']}, n int, first array<bigint>")
+    first = written(first.join(members.where("id = rep").select("id").distinct().hint("merge"), "id", "left_semi"), "firsts")
+    # a set's length falls into its own range or the next one of the smaller set's
+    wide = max(-math.log(max(threshold, 1e-9)), 1e-3) * (1 + 1e-6)
+    span = F.floor(F.log(F.col("n").cast("double")) / wide).cast("int") if both else F.lit(0)
+    extra = F.floor(F.col("n") / SHARED) if several else F.lit(0)
+    narrow = F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * of_small - 1e-9) + 1 + extra).cast("int")
+    spans = F.explode(F.array(span, span + 1)) if both else F.lit(0)
+    head = first.select("id", "n", F.explode(F.slice("first", F.lit(1), narrow)).alias("g")).select("id", "n", "g", spans.alias("span"))
+    if both:
+        other = first.select(F.col("id").alias("id2"), F.col("n").alias("n2"), span.alias("span"), F.explode("first").alias("g"))
+    else:
+        reps = sets.join(members.where("id = rep").select("id").distinct().hint("merge"), "id", "left_semi")
+        other = reps.select(F.col("id").alias("id2"), F.col("n").alias("n2"), span.alias("span"), F.explode("s").alias("g"))
+    smaller = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") < F.col("id2")))
+    met = head.join(other.hint("merge"), ["g", "span"]).where(smaller)
+    if both:
+        met = met.where(F.col("n") >= F.col("n2") * threshold - 1e-9)
+    counted = met.groupBy("id", "id2", "n").agg(F.count("*").alias("shared"))
+    counted = counted.where(F.col("shared") > extra)
+    pairs = written(counted.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")), "pairs")
+    asked = beside(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), CANDIDATES)
+    own = sets.select("id", "s").join(asked, "id", "left_semi")
+    full = pairs.join(own.select(F.col("id").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").join(own.select(F.col("id").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
     full = full.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), F.size("sa").alias("n_a"), F.size("sb").alias("n_b"))
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    ok = F.col("common") >= threshold * (F.col("n_a") + F.col("n_b") - F.col("common")) if mode == "both" else F.col("common") >= threshold * small
-    if mode == "both":
+    ok = F.col("common") >= threshold * (F.col("n_a") + F.col("n_b") - F.col("common")) if both else F.col("common") >= threshold * small
+    if both:
         ok = ok & (small >= coverage * large)
     return same.unionByName(full.where(ok))

@@ -378,3 +378,34 @@ def test_cross_pairs_brute_force(spark):
                     if d <= (1.5 if is_h(a[0]) or is_h(b[0]) else 2.0):
                         pairs.append((d, code, a[0], b[0]))
         assert got.get(p, []) == sorted(pairs)[:15]
+
+
+def test_near_duplicates_any_order(spark, monkeypatch):
+    """Long and short texts with frequent passages, at several thresholds: the pairs are those of brute force whatever is counted as frequent."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for i in range(24):
+        own = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([3, 12, 90, 400]))] + (passage if i % 2 else [])
+        for _ in range(3):
+            texts.append([w if rng.random() > 0.01 else "x" for w in own][: len(own) - rng.randint(0, len(own) // 12)])
+    sets = [{tuple(t[i : i + 3]) for i in range(len(t) - 2)} or {tuple(t)} for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, w array<string>")
+    for threshold, frequent in ((0.9, 200_000), (0.9, 10), (0.6, 10)):
+        monkeypatch.setattr(sequence, "FREQUENT", frequent)
+        got = {(r["a"], r["b"]): r["common"] for r in sequence.near_duplicates(df, "id", F.col("w"), threshold=threshold, coverage=0.0).collect()}
+        want = {(a, b): len(sets[a] & sets[b]) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+        low = {ab: n for ab, n in want.items() if sets[ab[0]] != sets[ab[1]]}
+        # equal sets are linked by their smallest key, and only that one meets others
+        rep = {i: next(j for j, s in enumerate(sets) if s == sets[i]) for i in range(len(sets))}
+        assert got == {(a, b): n for (a, b), n in low.items() if rep[a] == a and rep[b] == b} | {(rep[i], i): len(sets[i]) for i in rep if rep[i] != i}
+
+
+def test_near_duplicates_send_few_shingles(spark, monkeypatch):
+    """Of texts that resemble none, an eighth of the shingles at most is sent on."""
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, [f"w{rng.randrange(10**6)}" for _ in range(300)]) for i in range(200)], "id long, w array<string>")
+    kept, once = {}, sequence.written
+    monkeypatch.setattr(sequence, "written", lambda table, name: kept.setdefault(name, once(table, name)))
+    assert sequence.near_duplicates(df, "id", F.col("w")).count() == 0
+    assert kept["firsts"].agg(F.sum(F.size("first"))).first()[0] <= 200 * 298 / 8
