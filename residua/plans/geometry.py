@@ -159,7 +159,7 @@ def knn_index(t: Tables) -> DataFrame:
 def knn_index_recall(t: Tables) -> DataFrame:
     """Whether the index finds 95 % of the true neighbours of every twentieth row, each with its true score."""
     found = written(knn_index(t), "found")
-    exact = written(geometry.knn_exclude_group(t.embeddings, "vec_id", "label", "embedding").where(_asked()), "exact")
+    exact = written(geometry.knn_exclude_group(t.embeddings, "vec_id", "label", "embedding", queries=_asked()), "exact")
     both = exact.join(found.select("vec_id", "neighbour", F.col("score").alias("s")).hint("merge"), ["vec_id", "neighbour"], "left")
     told = both.agg(F.avg(F.col("s").isNotNull().cast("int")).alias("recall"), F.coalesce(F.bool_and(F.abs(F.col("s") - F.col("score")) <= 1e-6), F.lit(True)).alias("scores_agree"))
     sizes = found.agg(F.count_distinct("vec_id").alias("n_queries"), F.count("*").alias("n_found"))

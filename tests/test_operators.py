@@ -409,3 +409,24 @@ def test_near_duplicates_send_few_shingles(spark, monkeypatch):
     monkeypatch.setattr(sequence, "written", lambda table, name: kept.setdefault(name, once(table, name)))
     assert sequence.near_duplicates(df, "id", F.col("w")).count() == 0
     assert kept["firsts"].agg(F.sum(F.size("first"))).first()[0] <= 200 * 298 / 8
+
+
+def test_knn_queries_alone(spark):
+    """Only the rows that are asked for are sent as queries; ties, large groups and a null group come out as by brute force."""
+    from residua.operators import blocks
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (3000, 4)).astype(float)
+    groups = [None if i % 9 == 0 else "a" if i % 3 else "b" for i in range(3000)]
+    df = spark.createDataFrame([(i, groups[i], list(map(float, v))) for i, v in enumerate(x)], "id long, g string, v array<double>")
+    got = {}
+    for r in geometry.knn_exclude_group(df, "id", "g", "v", 7, queries=F.col("id") % 20 == 0).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = (r["neighbour"], r["score"])
+    scores = x @ x.T
+    for q in range(0, 3000, 20):
+        best = sorted((-scores[q, j], j) for j in range(3000) if groups[j] != groups[q])[:7]
+        assert got.pop(q) == {n + 1: (j, -s) for n, (s, j) in enumerate(best)}
+    assert not got
+    best = blocks._Best(np.arange(600), np.zeros(600, np.int64), x[:600], 7)
+    best.meet(np.arange(3000), np.ones(3000, np.int64), x)
+    assert best.n_waiting < 600 * 3000 / 2
